@@ -17,12 +17,11 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from sceneline.llm.common import map_texts
 
 #: Words kept encoded between batches; the table is emptied when it is full, so memory is bounded.
 MAX_CACHED_WORDS = 400_000
@@ -32,7 +31,6 @@ MAX_CACHED_LENGTH = 64
 SLICE_WORDS = 200_000
 
 
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -239,25 +237,20 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-class EncodeBatches:
-    """For ``mapInPandas``: (doc_id, text) to (doc_id, ids, decoded)."""
+class Encode:
+    """For :func:`map_texts`: ids and decoded text, or their digests."""
 
     def __init__(self, path: str, digest: bool):
         self.path, self.digest = path, digest
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __call__(self, texts: list[str | None]):
         bpe = load(self.path)
+        ids = [bpe.encode(t) if t is not None else b"" for t in texts]
+        decoded = [bpe.decode(x) for x in ids]
+        if not self.digest:
+            return ids, decoded
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = bpe.encode(text) if isinstance(text, str) else b""
-                decoded = bpe.decode(ids)
-                rows.append((len(ids) // 4, sha(ids), sha(decoded.encode("utf-8"))) if self.digest else (ids, decoded))
-            cols = ["n_tokens", "ids_sha256", "decoded_sha256"] if self.digest else ["ids", "decoded"]
-            out = pd.DataFrame(rows, columns=cols)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+        return [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x.encode("utf-8")) for x in decoded]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -267,11 +260,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     repeated results, null ids stay null; other columns are ignored, so their names cannot
     clash; an empty table gives an empty result.
     """
-    return docs.select("doc_id", "text").mapInPandas(EncodeBatches(path or default_path(), False), "doc_id long, ids binary, decoded string")
+    return map_texts(docs, Encode(path or default_path(), False), {"ids": "binary", "decoded": "string"}, step=32)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As :func:`encode`, with counts and SHA-256 digests in place of the ids and the text."""
-    return docs.select("doc_id", "text").mapInPandas(
-        EncodeBatches(path or default_path(), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return map_texts(docs, Encode(path or default_path(), True), fields, step=32)

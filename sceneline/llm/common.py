@@ -55,3 +55,28 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     ``small`` should already be materialised: it is counted here.
     """
     return F.broadcast(small) if small.count() <= max_rows else small
+
+
+class TextMap:
+    """For ``mapInArrow``: passes a key column through and computes columns from the texts, a few rows at a time."""
+
+    def __init__(self, func, fields: dict[str, str], step: int):
+        self.func, self.fields, self.step = func, fields, step
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+        for batch in batches:
+            for k in range(0, batch.num_rows, self.step):
+                part = batch.slice(k, self.step)
+                found = self.func(part.column(1).to_pylist())
+                cols = [pa.array(v, type=types[t]) for v, t in zip(found, self.fields.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[part.schema.names[0], *self.fields])
+
+
+def map_texts(docs: DataFrame, func, fields: dict[str, str], key: str = "doc_id", text: str = "text", step: int = 256) -> DataFrame:
+    """``key`` and ``fields`` of every row: ``func`` gets the texts of some rows and returns a list for each field."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = ", ".join([f"{key} {kind}", *(f"{n} {t}" for n, t in fields.items())])
+    return docs.select(key, text).mapInArrow(TextMap(func, fields, step), schema)

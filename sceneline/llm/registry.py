@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
-from sceneline.llm import bpe
+from sceneline.llm import bpe, html_text, ivfpq, langid, mixing, quality, topk
 from sceneline.llm.common import read
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark, sf_dir):
+    return langid.identify_table(read(spark, sf_dir, "documents"))
+
+
+def op3_exact_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_encode_decode(spark, sf_dir):
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_ann_ivfpq(spark, sf_dir):
+    return ivfpq.search(read(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_mil(spark, sf_dir):
+    return quality.score_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_mix_sources(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("draws")
+
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op2_language_id": op2_language_id,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_ann_ivfpq": op5_ann_ivfpq,
+    "op6_quality_mil": op6_quality_mil,
+    "op10_mix_sources": op10_mix_sources,
 }
+
+ORACLE_SQL["op3_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
