@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneline.llm import bpe, html_text, ivfpq, langid, mixing, quality, topk
+from sceneline.llm import bpe, html_text, ivfpq, jaccard, langid, mixing, quality, topk, warc
 from sceneline.llm.common import read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,14 @@ def op6_quality_mil(spark, sf_dir):
     return quality.score_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.join_components(read(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).drop("draws")
 
@@ -43,6 +51,8 @@ QUERIES = {
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_ann_ivfpq": op5_ann_ivfpq,
     "op6_quality_mil": op6_quality_mil,
+    "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -56,3 +66,12 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE_SQL["op8_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""
