@@ -1,10 +1,60 @@
-"""The corpus pipeline: language ID, near-duplicates, personal data, mixing, tokens."""
+"""The corpus pipeline: language ID, near-duplicates, personal data, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again for the next one.  All but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from sceneline.llm import bpe, jaccard, langid, mixing, pii
+from sceneline.llm.common import materialize, read
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``lang`` becomes the language found; documents too far from all languages go."""
+    return langid.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by five-word shingles with a Jaccard similarity of 0.8 or more, the first stays."""
+    return jaccard.keep_one(docs, k=5, num=80, den=100)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become their kind in brackets."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that a document is drawn; words of the sources come near their targets."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and what they decode to."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_tokens),
+]
+
+#: Stages learn models and draw by hashes: not for SQL.  tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{k}")
+    return docs

@@ -181,7 +181,7 @@ class Predict:
 
 
 class Keep:
-    """For ``mapInArrow``: the rows whose text is not rejected."""
+    """For ``mapInArrow``: the rows whose text is not rejected, with the language found."""
 
     def __init__(self, model):
         self.model = model
@@ -192,7 +192,9 @@ class Keep:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rejected = self.model.value.predict(part.column("text").to_pylist())[2]
+                langs, _, rejected = self.model.value.predict(part.column("text").to_pylist())
+                at = part.schema.get_field_index("lang")
+                part = part.set_column(at, part.schema.field(at), pa.array(langs, type=part.schema.field(at).type))
                 yield part.filter(pa.array(~rejected))
 
 
@@ -216,6 +218,6 @@ def identify_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is not rejected."""
+    """The rows of ``docs``, with all their columns and ``lang`` as found, whose language is not rejected."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
     return docs.mapInArrow(Keep(model), docs.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneline.llm import bpe, html_text, ivfpq, jaccard, langid, mixing, quality, topk, warc
+from sceneline.llm import bpe, html_text, ivfpq, jaccard, langid, mixing, pii, quality, topk, warc
 from sceneline.llm.common import read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,10 @@ def op6_quality_mil(spark, sf_dir):
     return quality.score_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_pii_boosted(spark, sf_dir):
+    return pii.detect_table(read(spark, sf_dir, "documents"))
+
+
 def op8_warc_round_trip(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_ann_ivfpq": op5_ann_ivfpq,
     "op6_quality_mil": op6_quality_mil,
+    "op7_pii_boosted": op7_pii_boosted,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
