@@ -42,24 +42,29 @@ def threshold_search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: n
         seen = np.zeros(n, dtype=bool)
         seen[ids == me] = True
         best_id, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        depth, step = 0, max(16, n // 64)
+        depth, step = 0, max(16, n // 16)
         if not len(used):
             at = np.flatnonzero(~seen)[:k]
             found.append((ids[at], np.zeros(len(at))))
             continue
+        columns, row_of = order[:, used], np.zeros(n, dtype=bool)
         while depth < n:
             upto = min(n, depth + step)
-            rows = np.arange(depth, upto)
-            at = np.where(positive[None, :], n - 1 - rows[:, None], rows[:, None])
-            new = np.unique(order[at, used[None, :]])
-            new = new[~seen[new]]
+            row_of[columns[depth:upto, ~positive]] = True
+            row_of[columns[n - upto : n - depth, positive]] = True
+            new = np.flatnonzero(row_of & ~seen)
             if len(new):
                 seen[new] = True
-                best_id = np.concatenate((best_id, ids[new]))
-                best = np.concatenate((best, x[new] @ q))
+                score = (x @ q)[new] if 4 * len(new) > n else x[new] @ q
+                if len(score) > k:  # of the new rows only those that can be among the k best
+                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    new, score = new[keep], score[keep]
+                best_id, best = np.concatenate((best_id, ids[new])), np.concatenate((best, score))
                 top = np.lexsort((best_id, -best))[:k]
                 best_id, best = best_id[top], best[top]
             depth, step = upto, step * 2
+            if seen.all():
+                break
             if depth < n and len(best) == k:
                 edge = np.where(positive, n - 1 - depth, depth)
                 bound = float(ordered[edge, used] @ q[used])
