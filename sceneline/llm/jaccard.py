@@ -8,6 +8,11 @@ indexed); if these numbers add up to H + 1, linked sets agree in at least one
 segment.  How many segments get 2 is decided by band from a cost model: rows
 indexed against the pairs that chance agreement of small segments would make.
 
+Two empty parts agree without telling anything.  There are some more segments
+of number 1 than needed, so that nearly all sets have H + 1 without the empty
+ones; these sets do not index their empty parts.  The few other sets do, so
+that two of them still meet.
+
 A set of a band is indexed in the scheme of its band, and also in the scheme
 of the band below if it is small enough to link there.  Equal sets are one
 node.  Signatures are packed by hash range; within a task copies and frequent
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sceneline.llm.common import checked_broadcast, map_texts, materialize
 from sceneline.llm.components import components
-from sceneline.llm.shingles import BITMAP, GROUP, bitmaps, fingerprints, mix, mix_one, sum_by, token_sets
+from sceneline.llm.shingles import bitmaps, fingerprints, folded, mix, sum_by, token_sets
 
 #: Nodes of a signature up to which all pairs are taken.
 SMALL = 32
@@ -43,6 +48,8 @@ BUFFER = 2_000_000
 RANGE = 150_000
 #: Nodes of a block when frequent signatures are compared.
 BLOCK = 1024
+#: For the cost model: share of a text's tokens that are common, and share of the sets that have one of them.
+COMMON, PARTNERS = 0.1, 0.001
 
 _U = np.uint64
 _C = _U(0x9E3779B97F4A7C15)
@@ -50,12 +57,16 @@ _C = _U(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments of a size band: the first ``twos`` allow one difference, the other ``ones`` none."""
+    """Segments of a size band: the first ``twos`` allow one difference, the ``ones`` after them none.
+
+    ``needed`` of the ones have to be non-empty for a set to leave out its empty ones.
+    """
 
     low: int
     high: int
     ones: int
     twos: int
+    needed: int
 
     @property
     def segments(self) -> int:
@@ -67,20 +78,34 @@ def difference(size: int, num: int, den: int) -> int:
     return (den - num) * size // num
 
 
+def _ones(needed: int, twos: int, low: int) -> int:
+    """Segments of which at least ``needed`` are non-empty in nearly every set of ``low`` tokens."""
+    n = needed
+    while n and n < 8 * needed:
+        filled = n * (1 - math.exp(-low / (n + twos)))
+        if filled - 2 * math.sqrt(filled) >= needed:
+            break
+        n += max(1, n // 16)
+    return n
+
+
 def allocate(low: int, high: int, sets: float, num: int, den: int) -> Scheme:
-    """The cheapest split of H + 1 among segments: rows of a set plus its expected chance partners."""
+    """The cheapest way to H + 1: rows of a set plus its expected chance partners."""
     need = difference(high, num, den) + 1
     if need == 1:
-        return Scheme(low, high, 0, 0)  # only equal sets link
+        return Scheme(low, high, 0, 0, 0)  # only equal sets link
     best = None
     most = -(-need // 2)
     for twos in sorted({0, most // 4, most // 2, 3 * most // 4, most}):
-        ones = max(0, need - 2 * twos)
+        needed = max(0, need - 2 * twos)
+        ones = _ones(needed, twos, low)
         m = ones + twos
-        rows = ones + twos * (1 + high / m)
-        chance = sets * m * math.exp(-2 * low / m)  # a segment empty in both sets
-        if best is None or rows + chance < best[0]:
-            best = (rows + chance, Scheme(low, high, ones, twos))
+        rows = ones * (1 - math.exp(-high / m)) + twos * (1 + high / m)
+        # Partners by parts made of common tokens only, and by parts that are empty in both sets.
+        common = PARTNERS * sets * ones * (math.exp(-(1 - COMMON) * low / m) - math.exp(-low / m))
+        empty = sets * twos * math.exp(-2 * low / m)
+        if best is None or rows + common + empty < best[0]:
+            best = (rows + common + empty, Scheme(low, high, ones, twos, needed))
     return best[1]
 
 
@@ -104,8 +129,7 @@ class Sketch:
     def __call__(self, texts):
         at, tokens, sizes = token_sets(texts, self.k)
         fp = fingerprints(at, tokens, sizes)
-        bits = bitmaps(at, tokens, len(texts))
-        return [sizes, [int(f) if n else None for f, n in zip(fp, sizes, strict=True)], [b.tobytes() for b in bits]]
+        return [sizes, [int(f) if n else None for f, n in zip(fp, sizes, strict=True)], bitmaps(at, tokens, sizes)]
 
 
 class Sets:
@@ -136,6 +160,7 @@ def signatures(schemes: list[Scheme], num: int, den: int, at: np.ndarray, tokens
             use &= sizes * num <= highs[np.maximum(band, 0)] * den  # else too large to link there
         m = np.array([s.segments for s in schemes])[np.maximum(band, 0)]
         twos = np.array([s.twos for s in schemes])[np.maximum(band, 0)]
+        needed = np.array([s.needed for s in schemes])[np.maximum(band, 0)]
         use &= m > 0
         ids = np.flatnonzero(use)
         if not len(ids):
@@ -150,8 +175,12 @@ def signatures(schemes: list[Scheme], num: int, den: int, at: np.ndarray, tokens
         cell_doc = np.repeat(np.arange(len(ids)), m)
         cell_seg = np.arange(int(m.sum())) - begin[cell_doc]
         salt = mix((band[cell_doc].astype(_U) << _U(40)) + cell_seg.astype(_U) + _U(1))
-        out_sig.append(mix(sums ^ salt))
-        out_fp.append(fp[ids][cell_doc])
+        one = cell_seg >= twos[cell_doc]
+        filled = np.bincount(cell, minlength=len(sums)) > 0
+        short = np.bincount(cell_doc, one & filled, len(ids)) < needed[ids]
+        told = ~one | filled | short[cell_doc]
+        out_sig.append(mix(sums ^ salt)[told])
+        out_fp.append(fp[ids][cell_doc][told])
         lose = seg < twos[doc]
         if lose.any():
             c = cell[lose]
@@ -260,6 +289,25 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+class Near:
+    """For ``mapInPandas``: the pairs that sizes and bitmaps leave possible."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for n1, n2, x, y in zip(batch["n_a"], batch["n_b"], batch["bits_a"], batch["bits_b"], strict=True):
+                ok = min(n1, n2) * self.den >= max(n1, n2) * self.num
+                if ok:
+                    words = min(len(x), len(y)) // 8
+                    differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                    ok = differ * (self.den + self.num) <= (n1 + n2) * (self.den - self.num)
+                keep.append(ok)
+            yield batch.loc[keep, ["a", "b"]]
+
+
 class CompareBlocks:
     """Called by grouped ``applyInPandas``: nodes of a frequent signature, two blocks of them, to pairs of different components."""
 
@@ -270,7 +318,8 @@ class CompareBlocks:
         lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
         left, right = rows[rows["block"] == lo], rows[rows["block"] == hi]
         a, b, n1, n2 = left["node"].to_numpy(), right["node"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
-        maps = [np.frombuffer(b"".join(x["bits"]), dtype=_U).reshape(-1, BITMAP) for x in (left, right)]
+        words = min(map(len, rows["bits"])) // 8
+        maps = [np.array([folded(b, words) for b in x["bits"]], dtype=_U).reshape(-1, words) for x in (left, right)]
         total = n1[:, None] + n2[None, :]
         near = _differ(*maps) * (self.den + self.num) <= (self.den - self.num) * total
         near &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
@@ -344,11 +393,8 @@ class Join:
         """The distinct ``pairs`` (a, b) of nodes that link: by size and bitmap first, then on the whole sets."""
         nodes = self.nodes.select("node", "n", "bits")
         sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in ("a", "b")]
-        near = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
-        word = lambda s, w: F.conv(F.hex(F.substring(f"bits_{s}", 8 * w + 1, 8)), 16, -10).cast("long")
-        bits = sum((F.bit_count(word("a", w).bitwiseXOR(word("b", w))) for w in range(BITMAP)), F.lit(0))
-        near = near.where((F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num) & (bits * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)))
-        near = materialize(near.select("a", "b"), "jac-near")
+        sized = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+        near = materialize(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(Near(self.num, self.den), "a long, b long"), "jac-near")
         wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(wanted.join(self.nodes.select("node", "doc_id"), "node"), "jac-wanted")
         texts = self.docs.select("doc_id", "text").join(checked_broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")

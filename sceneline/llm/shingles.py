@@ -8,8 +8,8 @@ import numpy as np
 CHUNK = 1 << 20
 #: Documents hashed together; their number takes the upper bits of a sort key, the hash the lower ones.
 GROUP, TOKEN_BITS = 1024, 54
-#: Words of 64 bits of a document's parity bitmap.
-BITMAP = 8
+#: Bits of the smallest parity bitmap; a larger set has the next power of two above its size.
+LEAST_BITS = 512
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -141,9 +141,19 @@ def fingerprints(at: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.nd
     return mix(sum_by(at, tokens, len(sizes)) + sizes.astype(_U) * _U(_P)).view(np.int64)
 
 
-def bitmaps(at: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """Parity bitmaps (n x BITMAP, int64): two sets differ in at least as many tokens as their bitmaps in bits."""
-    bits = BITMAP * 64
-    place = (tokens >> _U(40)) % _U(bits)
-    odd = (np.bincount(at * bits + place.astype(np.int64), minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+def bitmaps(at: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: two sets differ in at least as many tokens as their bitmaps in bits."""
+    bits = LEAST_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / LEAST_BITS))).astype(np.int64)
+    begin = np.cumsum(bits) - bits
+    place = begin[at] + ((tokens >> _U(32)) % bits[at].astype(_U)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[b : b + n] for b, n in zip((begin // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
+
+def folded(bitmap: bytes, words: int) -> np.ndarray:
+    """A bitmap as ``words`` 64-bit words: halves are laid upon each other, as a smaller bitmap of the same set would be."""
+    x = np.frombuffer(bitmap, dtype=_U)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x

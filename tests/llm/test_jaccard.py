@@ -94,12 +94,13 @@ def test_edges(spark):
     assert kept.count() == 5
 
 
+@pytest.mark.parametrize("more", [0, 3, 30])
 @pytest.mark.parametrize("twos", [0, 1, 3])
-def test_pigeonhole(twos):
+def test_pigeonhole(twos, more):
     """Sets that differ in no more than allowed share a signature, whatever the split into ones and twos."""
     rng = np.random.default_rng(twos)
     need = jaccard.difference(60, 90, 100) + 1
-    scheme = [jaccard.Scheme(1, 39, 0, 0), jaccard.Scheme(40, 60, need - 2 * twos, twos)]
+    scheme = [jaccard.Scheme(1, 39, 0, 0, 0), jaccard.Scheme(40, 60, need - 2 * twos + more, twos, need - 2 * twos)]
     for _ in range(200):
         base = shingles.mix(rng.integers(1, 2**60, 60).astype(np.uint64))
         drop = int(rng.integers(0, need))
@@ -119,3 +120,16 @@ def test_long_texts_are_whole(monkeypatch):
     cut = shingles.token_sets([text, "a b"], 3)
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
     assert whole[2][0] == len(shingle_set(text, 3))
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in ((10, 12), (400, 600), (700, 2000), (3000, 3100)):
+        pool = shingles.mix(rng.integers(1, 2**60, 4000).astype(np.uint64))
+        sets = [rng.choice(pool, k, replace=False) for k in (n, m)]
+        at = np.repeat([0, 1], [n, m])
+        maps = shingles.bitmaps(at, np.concatenate(sets), np.array([n, m]))
+        words = min(map(len, maps)) // 8
+        bits = int(np.bitwise_count(shingles.folded(maps[0], words) ^ shingles.folded(maps[1], words)).sum())
+        assert bits <= len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+        assert len(maps[0]) * 8 >= n and (shingles.folded(maps[1], 4) == shingles.folded(shingles.folded(maps[1], 8).tobytes(), 4)).all()
