@@ -48,6 +48,8 @@ BUFFER = 2_000_000
 RANGE = 150_000
 #: Nodes of a block when frequent signatures are compared.
 BLOCK = 1024
+#: Frequent signatures that a node carries, its smallest, by which a pair is given in one of those it shares.
+CARRIED = 16
 #: For the cost model: share of a text's tokens that are common, and share of the sets that have one of them.
 COMMON, PARTNERS = 0.1, 0.001
 
@@ -308,8 +310,20 @@ class Near:
             yield batch.loc[keep, ["a", "b"]]
 
 
+def _shares_smaller(sig: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` and ``y``, carried signatures, whether they have one in common below ``sig``."""
+    out = np.zeros(len(x), dtype=bool)
+    for k in range(0, len(x), BLOCK):
+        a, b = x[k : k + BLOCK], y[k : k + BLOCK]
+        out[k : k + BLOCK] = ((a[:, :, None] == b[:, None, :]) & (a < sig)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
 class CompareBlocks:
-    """Called by grouped ``applyInPandas``: nodes of a frequent signature, two blocks of them, to pairs of different components."""
+    """Called by grouped ``applyInPandas``: nodes of a frequent signature, two blocks of them, to pairs of different components.
+
+    A pair that shares a smaller signature is left to that one, where it meets as well.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -326,6 +340,10 @@ class CompareBlocks:
         if lo == hi:
             near &= a[:, None] < b[None, :]
         i, j = np.nonzero(near)
+        sig = int(rows["sig"].iloc[0])
+        carried = [np.array([[*c, *[sig] * (CARRIED - len(c))] for c in x["carried"]], dtype=np.int64).reshape(-1, CARRIED) for x in (left, right)]
+        first = ~_shares_smaller(sig, carried[0][i], carried[1][j])
+        i, j = i[first], j[first]
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
 
 
@@ -417,10 +435,12 @@ class Join:
         rooted = materialize(rooted, "jac-rooted")
         mixed = rooted.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
         mixed = materialize(mixed.select("sig", F.ceil(F.col("size") / self.block).cast("int").alias("blocks")), "jac-mixed")
-        rows = rooted.join(mixed, "sig").join(self.nodes.select("node", "n", "bits"), "node")
+        rows = materialize(rooted.join(mixed, "sig"), "jac-mixed-rows")
+        carried = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, CARRIED).alias("carried"))
+        rows = rows.join(self.nodes.select("node", "n", "bits").join(carried, "node"), "node")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "bits")
+        rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "bits", "carried")
         compare = CompareBlocks(self.num, self.den)
 
         def per_pair(group: pd.DataFrame) -> pd.DataFrame:
