@@ -64,10 +64,13 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             if not a.any():
                 continue
             has[i] = True
-            p = np.concatenate(([0, 0], a, [0])).astype(np.uint32) if k == 0 else a
+            # Later chunks begin with two letters of the one before; the text's own ends are padded.
+            p = np.concatenate(([0, 0][: 2 * (k == 0)], a, [0][: k + CHUNK >= len(text)])).astype(np.uint32)
             two = (p[:-1] * np.uint32(0x9E3779B1)) ^ (p[1:] * np.uint32(0x85EBCA6B))
             three = (two[:-1] * np.uint32(0xC2B2AE35)) ^ (p[2:] * np.uint32(0x27D4EB2F))
-            for h, keep in ((two, (p[:-1] | p[1:]) != 0), (three, p[1:-1] != 0)):
+            pair = (p[:-1] | p[1:]) != 0
+            pair[: k > 0] = False  # counted with the chunk before
+            for h, keep in ((two, pair), (three, p[1:-1] != 0)):
                 h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 out[i] += np.bincount((h >> np.uint32(20))[keep], minlength=DIM)
     return out, has
