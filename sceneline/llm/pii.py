@@ -3,11 +3,16 @@
 Patterns of high recall propose spans that may overlap: the four base kinds
 (email, ip, card, phone, each with its check) and two loose generators
 (disguised addresses, and runs of digits with separators).  Boosted trees
-score the loose candidates from their format and context; they learn from weak
-labels - whether a candidate meets a valid base span of its kind - on a bounded
-sample, without the features by which the base patterns know them.  Thresholds
-are calibrated by kind on candidates held out from the trees.  Base spans stay;
-of the others those above the threshold and free of overlap are added.
+score the loose candidates from their format and context.  What can be added
+meets no base span, so that is no evidence against a candidate: positives are
+the candidates that meet a valid base span of their kind, without the sign by
+which the base pattern knows them (``+``, ``@``) and in other spellings;
+negatives are candidates that fail the check of their kind or are part of a
+word, and spellings of the positives that are no personal data.  All other
+candidates are unlabelled and teach nothing.  Trees learn from a bounded sample;
+thresholds are calibrated by kind on matches held out from them.  Base spans
+stay; of the others the valid ones above the threshold and free of overlap are
+added.
 
 Matches are found where the text is read, and only their lengths and short
 contexts go on, so no text is shuffled.
@@ -119,16 +124,31 @@ def spans(found: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).drop("gap", "i", "n")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Loose matches with kind, features and the weak label."""
-    match, pre, post = F.col("match"), F.lower("pre"), F.col("post")
-    digits = _digits(match)
-    n = F.length(digits)
-    kind = F.when(F.col("source") == "mail", "email").when((_count(match, ".") >= 3) & (n <= 12), "ip").when((n >= 13) & (n <= 19), "card").otherwise("phone")
+def _flag(c: Column) -> Column:
+    return F.coalesce(c.cast("double"), F.lit(0.0))
+
+
+def kind_of(source: Column, match: Column) -> Column:
+    """The kind that a loose match can be of."""
+    n = F.length(_digits(match))
+    octets = F.split(match, r"\.")
+    ip = (F.size(octets) == 4) & F.forall(octets, lambda p: p.rlike(r"^[0-9]{1,3}$"))
+    return F.when(source == "mail", "email").when(ip, "ip").when((n >= 13) & (n <= 19), "card").otherwise("phone")
+
+
+def undisguised(match: Column) -> Column:
+    """A loose address with @ and dots."""
+    match = F.regexp_replace(match, r"\x20?[(\[{]at[)\]}]\x20?", "@")
+    return F.regexp_replace(match, r"\x20?[(\[{]dot[)\]}]\x20?", ".")
+
+
+def shape(kind: Column, match: Column) -> dict[str, Column]:
+    """Features of a match; those of an address do not tell how it is disguised."""
+    match = F.when(kind == "email", undisguised(match)).otherwise(match)
+    n = F.length(_digits(match))
     groups = F.regexp_extract_all(match, F.lit("[A-Za-z0-9]+"), F.lit(0))
     size = F.transform(groups, F.length)
-    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    features = {
+    return {
         "f_length": F.length(match).cast("double"),
         "f_digits": n.cast("double"),
         "f_spaces": _count(match, " "),
@@ -140,39 +160,95 @@ def candidates(rows: DataFrame) -> DataFrame:
         "f_first": F.element_at(size, 1).cast("double"),
         "f_last": F.element_at(size, -1).cast("double"),
         "f_longest": F.array_max(size).cast("double"),
-        "f_octets": flag(F.forall(F.split(match, r"\."), lambda p: p.rlike(_PART))),
-        "f_luhn": flag(F.when((n >= 13) & (n <= 19), luhn(digits))),
-        "f_joined_before": flag(pre.rlike(r"[\p{L}0-9_=#/.-]$")),
-        "f_joined_after": flag(post.rlike(r"^[\p{L}0-9_=#/@-]")),
-        "f_said_phone": flag(pre.rlike(r"\b(?:tel|phone|call|fax|mobile|cell|contact)\b")),
-        "f_said_mail": flag(pre.rlike(r"\b(?:e-?mail|mail|write|contact)\b")),
-        "f_said_card": flag(pre.rlike(r"\b(?:card|visa|credit|account|iban)\b")),
-        "f_said_ip": flag(pre.rlike(r"\b(?:ip|host|address|server)\b")),
-        "f_said_other": flag(pre.rlike(r"\b(?:version|v|isbn|issn|no|section|page|id|order|date|license)\b[.:]?\s*$")),
+        "f_octets": _flag(F.forall(F.split(match, r"\."), lambda p: p.rlike(_PART))),
+        "f_luhn": _flag(F.when((n >= 13) & (n <= 19), luhn(_digits(match)))),
+        "f_domain": _flag(match.rlike(r"\.[A-Za-z][A-Za-z0-9-]+$")),
+    }
+
+
+def spellings(kind: Column, match: Column) -> Column:
+    """A valid base span as it can stand where no base pattern finds it: array of matches."""
+    digits = _digits(match)
+    rest = F.regexp_replace(match, r"^[0-9]+[\x20().:/-]+", "")  # without the country
+    spelt = [F.regexp_replace(c, r"[\x20().:/-]+", sep) for c in (match, rest) for sep in ("-", ".", " ")]
+    phone = F.filter(F.array(match, rest, *spelt), lambda v: v.rlike("[^0-9]"))  # a bare run of digits is any number
+    card = F.array(match, digits, *[F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in ("-", ".", " ", "/")])
+    every = F.when(kind == "phone", phone).when(kind == "card", card).otherwise(F.array(match))
+    return F.filter(F.array_distinct(every), lambda v: valid(kind, v))
+
+
+def failures(kind: Column, match: Column) -> Column:
+    """The characters of a valid base span as something else: a plain number, date, amount, wrong check digit or no domain."""
+    digits = _digits(match)
+    n = F.length(digits)
+    part = lambda a, k: F.substring(digits, a, k)
+    date = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+    time = F.concat(date, F.lit(" "), part(2, 2), F.lit(":"), part(4, 2))
+    day = F.concat_ws("/", part(1, 2), part(3, 2), part(5, 4))
+    amount = F.concat_ws(".", part(1, 3), part(4, 3), part(3, 3))
+    phone = F.array(digits, F.substring(digits, 1, 8), date, time, day, F.translate(day, "/", "."), amount, F.concat_ws("-", part(1, 3), part(4, 4)), F.concat_ws("-", digits, digits))
+    wrong = F.concat(F.left(digits, n - 1), ((F.right(digits, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    card = F.array(wrong, *[F.regexp_replace(wrong, "([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in ("-", ".", " ", "/")])
+    ip = F.array(F.regexp_replace(match, "[0-9]+$", "999"))
+    mail = F.array(F.regexp_replace(undisguised(match), "[^.]+$", "12"))
+    return F.array_distinct(F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).otherwise(mail))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Loose matches with kind, features of their context and the label: 1, 0 or null (unlabelled)."""
+    match, pre, post = F.col("match"), F.lower("pre"), F.col("post")
+    context = {
+        "f_joined_before": _flag(pre.rlike(r"[\p{L}0-9_=#/.-]$")),
+        "f_joined_after": _flag(post.rlike(r"^[\p{L}0-9_=#/@-]")),
+        "f_said_phone": _flag(pre.rlike(r"\b(?:tel|phone|call|fax|mobile|cell|contact)\b")),
+        "f_said_mail": _flag(pre.rlike(r"\b(?:e-?mail|mail|write|contact)\b")),
+        "f_said_card": _flag(pre.rlike(r"\b(?:card|visa|credit|account|iban)\b")),
+        "f_said_ip": _flag(pre.rlike(r"\b(?:ip|host|address|server)\b")),
+        "f_said_other": _flag(pre.rlike(r"\b(?:version|v|isbn|issn|no|section|page|id|order|date|license)\b[.:]?\s*$")),
     }
-    loose = rows.where(F.col("source").isin(*LOOSE)).withColumn("kind", kind)
+    loose = rows.where(F.col("source").isin(*LOOSE)).withColumn("kind", kind_of(F.col("source"), match))
     base = rows.where(F.col("source").isin(*BASE)).where(valid(F.col("source"), match))
     base = base.select("row", F.col("source").alias("kind"), F.struct("start", "end").alias("s"))
     by_row = base.groupBy("row").agg(F.collect_list(F.struct("kind", "s")).alias("_base"))
     loose = loose.join(by_row, "row", "left")
     over = lambda b: (b["s"]["start"] < F.col("end")) & (F.col("start") < b["s"]["end"])
+    within = pre.rlike(r"[\p{L}0-9_]$") | post.rlike(r"^[\p{L}0-9_]")
     loose = loose.withColumns(
         {
-            "label": flag(F.exists("_base", lambda b: over(b) & (b["kind"] == F.col("kind")))),
+            "met": F.coalesce(F.exists("_base", lambda b: over(b) & (b["kind"] == F.col("kind"))), F.lit(False)),
             "taken": F.coalesce(F.exists("_base", over), F.lit(False)),
+            "valid": valid(F.col("kind"), match) & ~within,
         }
     )
-    return loose.select("row", "kind", "start", "end", "match", "label", "taken", *[c.alias(n) for n, c in features.items()])
+    label = F.when(F.col("met"), 1.0).when(F.col("taken") | ~F.col("valid"), 0.0)
+    return loose.select("row", "kind", "start", "end", "match", label.alias("label"), "taken", "valid", *[c.alias(n) for n, c in context.items()])
+
+
+def examples(cands: DataFrame) -> DataFrame:
+    """Distinct labelled matches and their other spellings, with all features; ``group`` is the same for those of one match."""
+    context = [c for c in cands.columns if c.startswith("f_")]
+    kind, match = F.col("kind"), F.col("match")
+    seen = cands.where("label IS NOT NULL").select("kind", "label", "match", *context).distinct()
+    good = F.transform(spellings(kind, match), lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("label")))
+    bad = F.transform(failures(kind, match), lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("label")))
+    own = F.array(F.struct(match.alias("v"), F.lit(0.0).alias("label")))
+    drawn = seen.withColumn("e", F.explode(F.when(F.col("label") == 1, F.concat(good, bad)).otherwise(own)))
+    drawn = drawn.select("kind", F.xxhash64("match").alias("group"), F.col("e.v").alias("match"), F.col("e.label").alias("label"), *context)
+    # Only what the generators would give as a candidate of the kind.
+    source = F.when(kind == "email", "mail").otherwise("digits")
+    drawn = drawn.where((kind_of(source, match) == kind) & ((kind == "email") | (F.length(_digits(match)) >= 7)))
+    return drawn.withColumns(shape(kind, match))
 
 
 def select(cands: DataFrame) -> DataFrame:
     """row, kind, start, end, p of the loose candidates that trees and thresholds accept."""
     none = cands.select("row", "kind", "start", "end", F.lit(0.0).alias("p")).where(F.lit(False))
-    names = [c for c in cands.columns if c.startswith("f_")]
-    # Equal candidates teach once; a fifth of the rest is for the thresholds.
-    h = F.xxhash64("match", "kind", *names)
-    distinct = cands.groupBy("kind", "label", "match", *names).agg(F.count("*").alias("n")).withColumn("h", h)
-    fit = distinct.where(F.pmod(F.floor(F.col("h") / SAMPLE), F.lit(5)) != 0)
+    drawn = examples(cands)
+    names = [c for c in drawn.columns if c.startswith("f_")]
+    # A fifth of the matches, with all their spellings, is for the thresholds.
+    for_thresholds = F.pmod("group", F.lit(5)) == 0
+    h = F.xxhash64("kind", "label", "match", *names)
+    fit = drawn.where(~for_thresholds).withColumn("h", h)
     fit = fit.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("b")).agg(F.min(F.struct("h", "label", *names)).alias("m")).select("m.label", *[f"m.{n}" for n in names])
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     fit = materialize(fit.coalesce(4), "pii-sample")
@@ -181,8 +257,8 @@ def select(cands: DataFrame) -> DataFrame:
     train = assemble.transform(fit).select("label", "features")
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
     scored = lambda df: model.transform(assemble.transform(df)).withColumn("p", vector_to_array("probability")[1])
-    # Calibration: by kind, the lowest of 100 thresholds from which on enough of the held-out candidates are valid.
-    held = scored(distinct.where(F.pmod(F.floor(F.col("h") / SAMPLE), F.lit(5)) == 0))
+    # Calibration: by kind, the lowest of 100 thresholds from which on enough of the held-out examples are valid.
+    held = scored(drawn.where(for_thresholds))
     table = held.groupBy("kind", F.floor(F.col("p") * 100).alias("t")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()  # 400 rows
     limits = {}
     for kind in KINDS:
@@ -194,7 +270,8 @@ def select(cands: DataFrame) -> DataFrame:
     if not limits:
         return none
     passed = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("p") >= t) for k, t in limits.items()])
-    best = scored(cands.where(~F.col("taken"))).where(passed).select("row", "kind", "start", "end", "p")
+    free = cands.where(F.col("valid") & ~F.col("taken")).withColumns(shape(F.col("kind"), F.col("match")))
+    best = scored(free).where(passed).select("row", "kind", "start", "end", "p")
     # Of accepted spans that overlap, the likeliest of each run stays.
     w = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -93,3 +93,34 @@ def test_redact(spark):
 
 def test_empty(spark):
     assert pii.detect_table(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def with_check_digit(d):
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def test_spans_without_base_pattern_are_added(spark):
+    rng = random.Random(9)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    card = lambda: with_check_digit("4" + n(14))
+    texts = []
+    for i in range(300):
+        texts += [f"words +1 (9{n(2)}) 555-{n(4)} words", f"words bob{i}@m{n(2)}.example.com words", f"words {card()} words"]
+    planted = {}
+    for i in range(150):  # half as many as the base patterns find
+        c = card()
+        for kind, span in (
+            ("phone", rng.choice([f"1 (9{n(2)}) 555-{n(4)}", f"9{n(2)}-555-{n(4)}", f"9{n(2)}.555.{n(4)}"])),
+            ("email", rng.choice(["joe{} [at] example [dot] org", "ann.{}(at)mail.example.com", "x{}@example [dot] net"]).format(i)),
+            ("card", ".".join(c[k : k + 4] for k in range(0, 16, 4))),
+        ):
+            planted[len(texts)] = f"{kind}:6:{6 + len(span)}"
+            texts.append(f"words {span} words")
+    first_clean = len(texts)
+    for _ in range(150):
+        c = card()
+        texts += [f"words {c[:-1]}{(int(c[-1]) + 1) % 10} words", f"token ab{n(10)}cd{n(8)}f words", f"words 20{n(2)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)} 1{rng.randrange(10)}:3{rng.randrange(10)} words", f"words {rng.randrange(10**8, 10**9)} words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.detect_table(docs).collect()}
+    assert [(texts[i], got[i]) for i in planted if got[i] != planted[i]] == []
+    assert [(texts[i], got[i]) for i in range(first_clean, len(texts)) if got[i]] == []
