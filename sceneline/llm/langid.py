@@ -4,6 +4,10 @@ A text becomes a normalised TF-IDF vector of hashed letter bigrams and
 trigrams.  Each language has several centroids, found by spherical k-means on
 a bounded sample of labelled rows; a text gets the language of the centroid
 with the largest cosine, and is rejected if it is too far even from that one.
+How far is too far depends on the evidence: cosines grow with the number of
+n-grams, so a language has a limit for each class of that number (powers of
+two), from beginnings of the sample's texts against centroids fitted without
+them.
 
 Document frequencies are counted over all labelled training rows.  The sample
 has at most ``SAMPLE_PER_LANG`` rows of each language (one for each hash
@@ -13,6 +17,7 @@ The model - a few centroids per language - is small whatever the corpus size.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +34,12 @@ DIM = 4096
 SAMPLE_PER_LANG = 256
 #: Centroids of each language.
 CENTROIDS = 4
-#: A text is rejected below this share of the cosine that 99.5 % of the sample reaches.
-REJECT_SHARE = 0.4
+#: A text is rejected below this share of the cosine that 99.5 % of the sample of its class reaches.
+REJECT_SHARE = 0.85
+#: Classes of the number of n-grams (powers of two); one with fewer texts than LEAST_CLASS has the limit of the class below.
+CLASSES, LEAST_CLASS = 32, 20
+#: Parts of the sample: the limits of each come from centroids of the others.
+FOLDS = 4
 #: Code points turned into vectors at once.
 CHUNK = 1 << 19
 
@@ -76,17 +85,23 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def evidence(x: np.ndarray) -> np.ndarray:
+    """Class of the number of n-grams of each row of counts."""
+    return np.clip(np.log2(np.maximum(x.sum(axis=1, dtype=np.float64), 1.0)).astype(int), 0, CLASSES - 1)
+
+
+def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x, has = counts(texts)
+    size = evidence(x)
     np.log1p(x, out=x)
     x *= idf
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.maximum(norm, 1e-9), has
+    return x / np.maximum(norm, 1e-9), has, size
 
 
 @dataclass
 class Model:
-    """langs[i] is the language of row i of ``centroids``."""
+    """langs[i] is the language of row i of ``centroids``, least[i] its limits by class of evidence."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -98,13 +113,13 @@ class Model:
         """Language, cosine with its nearest centroid (0 to 1), rejected."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-        x, has = vectors(texts, self.idf)
+        x, has, size = vectors(texts, self.idf)
         cosines = x @ self.centroids.T
         best = cosines.argmax(axis=1)
         score = np.clip(cosines[np.arange(len(texts)), best], 0.0, 1.0).astype(float)
         score[~has] = 0.0
         langs = [(self.langs[b] if s > 0 else self.fallback) if h else UNDETERMINED for b, h, s in zip(best, has, score, strict=True)]
-        return langs, score, ~has | (score < self.least[best])
+        return langs, score, ~has | (score < self.least[best, size])
 
 
 def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +137,15 @@ def _sample_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for k in range(0, len(batch), 256):
             part = batch.iloc[k : k + 256]
-            x, has = counts(part["text"].tolist())
-            rows = [(lang, np.flatnonzero(v).astype("<u2").tobytes(), v[v > 0].astype("<f4").tobytes()) for lang, v, h in zip(part["lang"], x, has, strict=True) if h]
-            yield pd.DataFrame(rows, columns=["lang", "at", "n"])
+            for doc, lang, text in zip(part["doc_id"].astype(str), part["lang"], part["text"], strict=True):
+                ends = [n for n in (8 << i for i in range(CLASSES)) if n < len(text)]
+                whole = [False] * len(ends) + [True]
+                rows = []
+                for n, w in zip([*ends, len(text)], whole, strict=True):
+                    x, has = counts([text[:n]])
+                    if has[0]:
+                        rows.append((lang, doc, w, np.flatnonzero(x[0]).astype("<u2").tobytes(), x[0][x[0] > 0].astype("<f4").tobytes()))
+                yield pd.DataFrame(rows, columns=["lang", "doc", "whole", "at", "n"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -137,6 +158,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return centres
 
 
+def limits(near: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least cosine of each class of evidence."""
+    out = np.full(CLASSES, np.nan)
+    for c in range(CLASSES):
+        if (size == c).sum() >= LEAST_CLASS:
+            out[c] = REJECT_SHARE * float(np.quantile(near[size == c], 0.005))
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):  # a small sample: one limit
+        return np.full(CLASSES, REJECT_SHARE * float(np.quantile(near, 0.005)))
+    below = np.searchsorted(known, np.arange(CLASSES), side="right") - 1
+    return np.where(below >= 0, out[known[np.maximum(below, 0)]], min(out[known[0]], REJECT_SHARE * float(near.min())))
+
+
 def fit(train: DataFrame) -> Model:
     """Model from ``train`` (doc_id, text, lang); rows without language or letters teach nothing."""
     rows = train.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
@@ -153,7 +187,7 @@ def fit(train: DataFrame) -> Model:
         .select("lang", F.col("m.doc_id").alias("doc_id"))
     )
     sample = rows.join(checked_broadcast(ids), ["doc_id", "lang"], "left_semi")
-    got = sample.select("lang", "text").mapInPandas(_sample_counts, "lang string, at binary, n binary").toPandas()  # SAMPLE_PER_LANG rows of each language
+    got = sample.select("doc_id", "lang", "text").mapInPandas(_sample_counts, "lang string, doc string, whole boolean, at binary, n binary").toPandas()  # SAMPLE_PER_LANG texts of each language and their beginnings
     langs: list[str] = []
     centroids, least = [], []
     largest = ("", -1)
@@ -162,15 +196,21 @@ def fit(train: DataFrame) -> Model:
         x = np.zeros((len(own), DIM), dtype=np.float32)
         for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
             x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
+        size = evidence(x)
         x = np.log1p(x) * idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        centres = spherical_kmeans(x, CENTROIDS)
+        whole = own["whole"].to_numpy(dtype=bool)
+        fold = np.array([zlib.crc32(d.encode()) % FOLDS for d in own["doc"]])
+        centres = spherical_kmeans(x[whole], CENTROIDS)
         near = (x @ centres.T).max(axis=1)
+        for k in range(FOLDS):
+            if (fold == k).any() and (whole & (fold != k)).any():
+                near[fold == k] = (x[fold == k] @ spherical_kmeans(x[whole & (fold != k)], CENTROIDS).T).max(axis=1)
         langs += [lang] * len(centres)
         centroids.append(centres)
-        least += [REJECT_SHARE * float(np.quantile(near, 0.005))] * len(centres)
-        largest = max(largest, (lang, len(own)), key=lambda p: p[1])
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIM), np.float32), langs, np.array(least), largest[0] or UNDETERMINED)
+        least += [limits(near, size)] * len(centres)
+        largest = max(largest, (lang, int(whole.sum())), key=lambda p: p[1])
+    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIM), np.float32), langs, np.array(least).reshape(-1, CLASSES), largest[0] or UNDETERMINED)
 
 
 class Predict:

@@ -39,6 +39,26 @@ def test_language_edges(spark):
     assert langid.identify(frame.limit(0), spark.createDataFrame(train, "doc_id long, text string, lang string")).count() == 0
 
 
+def test_noise_and_other_languages_are_rejected(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    noise = [
+        " ".join(word() for _ in range(400)),
+        " ".join(word() for _ in range(120)),
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 2000)),
+        "Suomen kieli kuuluu uralilaiseen kielikuntaan ja sitä puhuu äidinkielenään noin viisi miljoonaa ihmistä. Kielessä on viisitoista sijamuotoa, eikä siinä ole lainkaan kieliopillista sukua.",
+        "Język polski należy do grupy języków zachodniosłowiańskich i jest językiem urzędowym w Polsce. Posługuje się nim około czterdziestu milionów ludzi na całym świecie.",
+        "Русский язык является одним из восточнославянских языков и государственным языком России.",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    clean = docs.where("doc_id % 5 = 0").selectExpr("doc_id", "substring(text, 1, 40 + cast(doc_id % 400 as int)) AS text", "lang").unionByName(docs)
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    got = langid.identify(clean.select("doc_id", "text").union(planted), docs.where(~langid.held_out())).collect()
+    assert [noise[-1 - r["doc_id"]][:30] for r in got if r["doc_id"] < 0 and not r["rejected"]] == []
+    kept = [not r["rejected"] for r in got if r["doc_id"] >= 0]
+    assert np.mean(kept) > 0.99
+
+
 def test_chunks_add_up(monkeypatch):
     text = "Ein Satz mit Wörtern, und noch einer. " * 50
     whole, _ = langid.counts([text])
