@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,16 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system: workers are used again and would hold on to it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 class TextMap:
     """For ``mapInArrow``: passes a key column through and computes columns from the texts, a few rows at a time."""
 
@@ -73,6 +84,7 @@ class TextMap:
                 found = self.func(part.column(1).to_pylist())
                 cols = [pa.array(v, type=types[t]) for v, t in zip(found, self.fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[part.schema.names[0], *self.fields])
+        trim()
 
 
 def map_texts(docs: DataFrame, func, fields: dict[str, str], key: str = "doc_id", text: str = "text", step: int = 256) -> DataFrame:

@@ -18,11 +18,13 @@ of the band below if it is small enough to link there.  Equal sets are one
 node.  Signatures are packed by hash range; within a task copies and frequent
 signatures are combined before the shuffle, so no key gathers unbounded rows.
 
-Signatures shared by up to ``SMALL`` nodes give all their pairs.  A frequent
-signature first ties all its nodes to one of them; after components are known,
-only nodes of different components are compared, block against block, by
-parity bitmaps (a lower bound of the difference, so nothing is lost).  Every
-candidate is verified on the whole sets.
+Signatures shared by up to ``SMALL`` nodes give all their pairs.  Of a frequent
+signature the nodes are dealt into blocks.  First each block gives the pairs of
+a minimum spanning forest over what sizes and parity bitmaps (a lower bound of
+the difference) leave possible: no more pairs than nodes, which contract a group
+of near copies, however large, to a few components.  After that all nodes of
+different components are compared, block against block, by size and bitmap, so
+nothing is lost.  Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -36,18 +38,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneline.llm.common import checked_broadcast, map_texts, materialize
+from sceneline.llm.common import checked_broadcast, map_texts, materialize, trim
 from sceneline.llm.components import components
 from sceneline.llm.shingles import bitmaps, fingerprints, folded, mix, sum_by, token_sets
 
 #: Nodes of a signature up to which all pairs are taken.
-SMALL = 32
+SMALL = 8
 #: Signatures held by a task before they are combined and handed on.
-BUFFER = 2_000_000
+BUFFER = 500_000
 #: Signatures of a hash range, about.
 RANGE = 150_000
 #: Nodes of a block when frequent signatures are compared.
 BLOCK = 1024
+#: Rounds in which the blocks of frequent signatures are contracted, and rows of such blocks worked on together, about.
+ROUNDS, PACK = 2, 20_000
 #: Frequent signatures that a node carries, its smallest, by which a pair is given in one of those it shares.
 CARRIED = 16
 #: For the cost model: share of a text's tokens that are common, and share of the sets that have one of them.
@@ -203,18 +207,30 @@ def _runs(sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return sig, fp, start, np.diff(np.concatenate((start, [len(sig)])))
 
 
+def _parts(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key with the rows that have it."""
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order])) + 1
+    for at in np.split(order, edges):
+        if len(at):
+            yield int(key[at[0]]), at
+
+
 class Index:
     """For ``mapInPandas``: texts to packed signatures (range, signatures, nodes).
 
     Ranges from ``ranges`` on hold rows of signatures that were frequent within a task; these
-    rows need not meet, so they are dealt out by the node.
+    rows need not meet, so they are dealt out by the node.  Of such a signature a task hands on
+    ``small`` + 1 nodes in the range proper, which marks it as frequent.
     """
 
     def __init__(self, k: int, num: int, den: int, schemes: list[Scheme], ranges: int, small: int):
         self.k, self.num, self.den, self.schemes, self.ranges, self.small = k, num, den, schemes, ranges, small
+        self.marked = np.zeros(0, dtype=_U)  # signatures that this task has marked as frequent
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
+        self.marked = np.zeros(0, dtype=_U)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 texts = [t if isinstance(t, str) else None for t in batch["text"].iloc[k : k + 256]]
@@ -224,31 +240,28 @@ class Index:
                 n += len(rows[0])
                 if n >= BUFFER:
                     yield self.pack(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield self.pack(held)
+        trim()
 
     def pack(self, held) -> pd.DataFrame:
         sig, fp, start, length = _runs(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        held.clear()
         out = []
-        frequent = length > self.small + 1
+        known = np.isin(sig[start], self.marked)
+        frequent = (length > self.small + 1) | known
         if frequent.any():
             row = np.repeat(np.arange(len(start)), length)
             place = np.arange(len(sig)) - start[row]
-            extra = frequent[row] & (place > self.small)  # small + 1 nodes go on, which marks the signature as frequent
+            extra = frequent[row] & ((place > self.small) | known[row])
+            self.marked = np.union1d(self.marked, sig[start][frequent])
             s, f = sig[extra], fp[extra]
-            salt = (mix(f.view(_U)) % _U(self.ranges)).astype(np.int64)
-            for r in np.unique(salt):
-                out.append((self.ranges + int(r), s[salt == r].astype("<u8").tobytes(), f[salt == r].astype("<i8").tobytes()))
+            for r, at in _parts((mix(f.view(_U)) % _U(self.ranges)).astype(np.int64)):
+                out.append((self.ranges + r, s[at].astype("<u8").tobytes(), f[at].astype("<i8").tobytes()))
             sig, fp = sig[~extra], fp[~extra]
-        part = (sig % _U(self.ranges)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sig, fp, part = sig[order], fp[order], part[order]
-        edges = np.searchsorted(part, np.arange(self.ranges + 1))
-        for r in range(self.ranges):
-            a, b = edges[r], edges[r + 1]
-            if b > a:
-                out.append((r, (sig[a:b] // _U(self.ranges)).astype("<u4").tobytes(), fp[a:b].astype("<i8").tobytes()))
+        for r, at in _parts((sig % _U(self.ranges)).astype(np.int64)):
+            out.append((r, (sig[at] // _U(self.ranges)).astype("<u4").tobytes(), fp[at].astype("<i8").tobytes()))
         return pd.DataFrame(out, columns=["range", "sigs", "nodes"])
 
 
@@ -319,32 +332,67 @@ def _shares_smaller(sig: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def spanning_forest(far: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of a minimum spanning forest of the graph with lengths ``far`` (negative: no edge); nodes of one root count as joined."""
+    n, none = len(far), np.iinfo(np.int32).max
+    d = np.where(far < 0, none - 1, far).astype(np.int32)
+    d[root[:, None] == root[None, :]] = -1
+    best, came = np.full(n, none - 1, dtype=np.int32), np.full(n, -1)
+    i_out, j_out = [], []
+    for _ in range(n):
+        j = int(best.argmin())
+        if 0 <= best[j] < none - 1:
+            i_out.append(came[j])
+            j_out.append(j)
+        best[j] = none  # done
+        nearer = (d[j] < best) & (best != none)
+        best[nearer] = d[j][nearer]
+        came[nearer] = j
+    return np.array(i_out, dtype=np.intp), np.array(j_out, dtype=np.intp)
+
+
 class CompareBlocks:
-    """Called by grouped ``applyInPandas``: nodes of a frequent signature, two blocks of them, to pairs of different components.
+    """Called by grouped ``applyInPandas``: nodes of frequent signatures, two blocks of each, to pairs of different components that may link.
 
-    A pair that shares a smaller signature is left to that one, where it meets as well.
+    With ``contract`` only the pairs of a spanning forest, within one block.  Without, all of them;
+    a pair that shares a smaller signature is left to that one, where it meets as well.
     """
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, contract: bool):
+        self.num, self.den, self.contract = num, den, contract
 
     def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        left, right = rows[rows["block"] == lo], rows[rows["block"] == hi]
-        a, b, n1, n2 = left["node"].to_numpy(), right["node"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+        rows = rows.sort_values(["sig", "lo", "hi", "node"], kind="stable", ignore_index=True)
+        key = rows[["sig", "lo", "hi"]].to_numpy()
+        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        found = [self.one(rows.iloc[a:b]) for a, b in zip([0, *edges], [*edges, len(rows)], strict=True) if b - a > 1]
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        trim()
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def one(self, rows: pd.DataFrame) -> np.ndarray:
+        sig, lo, hi = (int(rows[c].iloc[0]) for c in ("sig", "lo", "hi"))
+        root, block = rows["root"].to_numpy(), rows["block"].to_numpy()
+        if (root == root[0]).all():
+            return np.zeros((0, 2), dtype=np.int64)
+        node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
         words = min(map(len, rows["bits"])) // 8
-        maps = [np.array([folded(b, words) for b in x["bits"]], dtype=_U).reshape(-1, words) for x in (left, right)]
-        total = n1[:, None] + n2[None, :]
-        near = _differ(*maps) * (self.den + self.num) <= (self.den - self.num) * total
-        near &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
-        if lo == hi:
-            near &= a[:, None] < b[None, :]
-        i, j = np.nonzero(near)
-        sig = int(rows["sig"].iloc[0])
-        carried = [np.array([[*c, *[sig] * (CARRIED - len(c))] for c in x["carried"]], dtype=np.int64).reshape(-1, CARRIED) for x in (left, right)]
-        first = ~_shares_smaller(sig, carried[0][i], carried[1][j])
-        i, j = i[first], j[first]
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+        bits = np.array([folded(b, words) for b in rows["bits"]], dtype=_U).reshape(-1, words)
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        far = _differ(bits[x], bits[y]) * (self.den + self.num)
+        most = (self.den - self.num) * (n[x][:, None] + n[y][None, :])
+        if self.contract:
+            i, j = spanning_forest(np.where(far <= most, (far << 10) // np.maximum(most, 1), -1), root)
+        else:
+            near = (far <= most) & (root[x][:, None] != root[y][None, :])
+            if lo == hi:
+                near &= node[x][:, None] < node[y][None, :]
+            i, j = np.nonzero(near)
+            i, j = x[i], y[j]
+            carried = np.array([[*c, *[sig] * (CARRIED - len(c))] for c in rows["carried"]], dtype=np.int64).reshape(-1, CARRIED)
+            first = ~_shares_smaller(sig, carried[i], carried[j])
+            i, j = i[first], j[first]
+        return np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1)
 
 
 class Verify:
@@ -377,10 +425,12 @@ class Join:
     block: int = BLOCK
 
     def __post_init__(self):
-        docs = self.docs.select("doc_id", "text")
-        sketched = map_texts(docs, Sketch(self.k), {"n": "long", "node": "long", "bits": "binary"})
-        self.sketch = materialize(sketched, "jac-sketch")
-        per_node = self.sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+        # Equal texts are known by a hash, so that rows without an id are found again.
+        self.docs = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+        keyed = self.docs.select(F.struct("doc_id", "text_key").alias("row"), "text")
+        sketched = map_texts(keyed, Sketch(self.k), {"n": "long", "node": "long", "bits": "binary"}, key="row")
+        self.sketch = materialize(sketched.select("row.*", "n", "node", "bits"), "jac-sketch")
+        per_node = self.sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("bits").alias("bits"))
         self.nodes = materialize(per_node, "jac-nodes")
 
     def schemes(self) -> tuple[list[Scheme], int]:
@@ -394,12 +444,12 @@ class Join:
             sets = sum(v for c, v in count.items() if 2 ** (c / 4) <= high * self.den / self.num and 2 ** ((c + 1) / 4) >= low)
             out.append(allocate(low, high, sets, self.num, self.den))
         rows = sum(r["tokens"] for r in classes) * 2.0 * (self.den - self.num) / self.num
-        return out, max(8, min(1 << 15, math.ceil(rows / RANGE)))
+        return out, max(8, math.ceil(rows / RANGE))
 
     def candidates(self) -> DataFrame:
         """(kind, a, b): pairs of nodes, and (signature, node) of frequent signatures."""
         schemes, ranges = self.schemes()
-        packed = self.docs.select("text").mapInPandas(Index(self.k, self.num, self.den, schemes, ranges, self.small), "range int, sigs binary, nodes binary")
+        packed = self.docs.select("text").mapInPandas(Index(self.k, self.num, self.den, schemes, ranges, self.small), "range long, sigs binary, nodes binary")
         meet = Meet(ranges, self.small)
 
         def per_range(rows: pd.DataFrame) -> pd.DataFrame:
@@ -414,40 +464,54 @@ class Join:
         sized = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
         near = materialize(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(Near(self.num, self.den), "a long, b long"), "jac-near")
         wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(wanted.join(self.nodes.select("node", "doc_id"), "node"), "jac-wanted")
-        texts = self.docs.select("doc_id", "text").join(checked_broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = map_texts(texts, Sets(self.k), {"node": "long", "tokens": "binary"}).where("node IS NOT NULL").join(checked_broadcast(wanted.select("node")), "node", "left_semi")
+        wanted = materialize(wanted.join(self.nodes.select("node", "text_key"), "node").select("text_key"), "jac-wanted")
+        texts = self.docs.select("text_key", "text").where("text IS NOT NULL").join(checked_broadcast(wanted), "text_key", "left_semi")
+        # Of equal texts, one; texts of one set that differ are already one in ``wanted``, but for equal keys.
+        sets = map_texts(texts, Sets(self.k), {"node": "long", "tokens": "binary"}, key="text_key").where("node IS NOT NULL")
         sets = materialize(sets.dropDuplicates(["node"]).select("node", "tokens"), "jac-sets")
         of = lambda s: sets.select(F.col("node").alias(s), F.col("tokens").alias(f"set_{s}"))
         return materialize(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(Verify(self.num, self.den), "a long, b long"), "jac-links")
 
+    def members(self, found: DataFrame) -> DataFrame:
+        """Each node of a frequent signature with its signatures and the number of blocks of each: as many as its text gives."""
+        frequent = materialize(found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "jac-frequent")
+        blocks = F.ceil(F.count("*") / self.block).cast("int").alias("blocks")
+        wide = materialize(frequent.groupBy("sig").agg(blocks).where("blocks > 1"), "jac-wide")  # one in ``block`` rows at most
+        of = F.struct("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        sigs = frequent.join(checked_broadcast(wide), "sig", "left").groupBy("node").agg(F.array_sort(F.collect_list(of)).alias("sigs"))
+        return materialize(self.nodes.select("node", "n", "bits").join(sigs, "node"), "jac-members")
+
+    def compared(self, members: DataFrame, root: DataFrame, contract: bool) -> DataFrame:
+        """Pairs (a, b) of different components that may link, from the blocks of the frequent signatures."""
+        rows = members.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        carried = F.slice(F.transform("sigs", lambda s: s["sig"]), 1, CARRIED) if not contract else F.array().cast("array<long>")
+        rows = rows.withColumn("carried", carried).withColumn("s", F.explode("sigs")).drop("sigs").select("*", "s.*")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if not contract else block
+        rows = rows.withColumn("block", block).withColumn("other", other)
+        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        packs = max(1, math.ceil(self.rows / PACK))
+        rows = rows.withColumn("pack", F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(packs)))
+        compare = CompareBlocks(self.num, self.den, contract)
+
+        def per_pack(group: pd.DataFrame) -> pd.DataFrame:
+            return compare(group)
+
+        rows = rows.select("pack", "sig", "lo", "hi", "block", "node", "root", "n", "bits", "carried")
+        return rows.groupBy("pack").applyInPandas(per_pack, "a long, b long")
+
     def links(self) -> DataFrame:
         """Links that connect the nodes as all links do."""
         found = self.candidates()
-        frequent = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
-        head = materialize(frequent.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("size")), "jac-heads")
-        star = frequent.join(head, "sig").where("a < node").select("a", F.col("node").alias("b"))
-        first = self.verified(found.where("kind = 0").select("a", "b").union(star))
-        if head.limit(1).count() == 0:
-            return first
-        root = materialize(components(first), "jac-roots")
-        rooted = frequent.join(root.withColumnRenamed("u", "node"), "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        rooted = materialize(rooted, "jac-rooted")
-        mixed = rooted.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
-        mixed = materialize(mixed.select("sig", F.ceil(F.col("size") / self.block).cast("int").alias("blocks")), "jac-mixed")
-        rows = materialize(rooted.join(mixed, "sig"), "jac-mixed-rows")
-        carried = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, CARRIED).alias("carried"))
-        rows = rows.join(self.nodes.select("node", "n", "bits").join(carried, "node"), "node")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "n", "bits", "carried")
-        compare = CompareBlocks(self.num, self.den)
-
-        def per_pair(group: pd.DataFrame) -> pd.DataFrame:
-            return compare(group)
-
-        more = rows.groupBy("sig", "lo", "hi").applyInPandas(per_pair, "a long, b long")
-        return first.union(self.verified(more.distinct()))
+        links = self.verified(found.where("kind = 0").select("a", "b"))
+        self.rows = found.where("kind = 1").count()
+        if not self.rows:
+            return links
+        members = self.members(found)
+        for step in range(ROUNDS + 1):
+            more = self.compared(members, materialize(components(links), "jac-roots"), contract=step < ROUNDS)
+            links = materialize(links.union(self.verified(more)), "jac-links")
+        return links
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
