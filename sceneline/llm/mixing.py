@@ -5,16 +5,18 @@ whole copies of all its blocks, then the first blocks of a permutation, then a
 part of one more block.  The exact quotas, in block copies, are divided among
 the output shards by a tree: at each node a random half of the block copies -
 a multivariate-hypergeometric draw of the quotas of all sources - goes left.
-Each leaf then draws its quota of each source from a second permutation of
-that source's block copies, so the draws are disjoint; documents are ordered
-within a shard by a hash.
+Each shard then draws its quota of each source from a second permutation of
+that source's block copies, so the draws are disjoint; within a shard the
+documents are shuffled: each draw has a place, and the mix is in the order of
+shard and place.  What is taken of a document is the sum of its draws.
 
 Everything is DataFrame expressions.  Documents are aggregated to at most
 ``BLOCKS`` rows of a source before any window, so a source with a third of all
-rows is as good as any other; what documents are joined with afterwards has a
-row for each source or block and is broadcast only below a checked size.  All
-randomness is a hash of ids and the seed, so a rerun, or a task run again after
-an executor is lost, gives the same rows.
+rows is as good as any other.  The half of a node is found by a histogram of
+random keys, so no window holds all block copies.  What documents are joined
+with has a row for each source or block and is broadcast only below a checked
+size.  All randomness is a hash of ids and the seed, so a rerun, or a task run
+again after an executor is lost, gives the same rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MAX_COPIES = 3
 BLOCKS, SUB_BLOCKS = 256, 1024
 #: Levels of the tree; 2 ** LEVELS shards.
 LEVELS = 4
+#: Classes of the histogram by which a node is halved.
+CLASSES = 1024
 
 
 def _hash(seed: int, salt: int, *cols: str | Column) -> Column:
@@ -40,15 +44,16 @@ def _hash(seed: int, salt: int, *cols: str | Column) -> Column:
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with source key (null last), size in words and the hashes that place a row."""
-    return docs.withColumns(
-        {
-            "_sk": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")),
-            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_block": F.pmod(_hash(seed, 1, "doc_id"), F.lit(BLOCKS)).cast("int"),
-            "_sub": F.pmod(_hash(seed, 2, "doc_id"), F.lit(SUB_BLOCKS)).cast("int"),
-            "_leaf": _hash(seed, 3, "doc_id"),
-        }
+    """A row for each of ``docs``: ``row`` (all its columns), source key (null last), size in words and the hashes that place it."""
+    doc_id = F.col("row.doc_id")
+    return docs.select(F.struct(*docs.columns).alias("row")).select(
+        "row",
+        F.when(F.col("row.source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "row.source")).alias("_sk"),
+        F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.pmod(_hash(seed, 1, doc_id), F.lit(BLOCKS)).cast("int").alias("_block"),
+        F.pmod(_hash(seed, 2, doc_id), F.lit(SUB_BLOCKS)).cast("int").alias("_sub"),
+        _hash(seed, 3, doc_id).alias("_leaf"),
+        doc_id.alias("_id"),
     )
 
 
@@ -82,6 +87,33 @@ def _end(parts: DataFrame, place: str, size: str, rest: str) -> DataFrame:
     )
 
 
+def tree(units: DataFrame, seed: int, levels: int = LEVELS) -> DataFrame:
+    """(_sk, _at, shard): the places (_sk, _at) of all quotas, halved at each node of the tree at random.
+
+    Of a node's n places those with the floor(n / 2) smallest random keys go left (one more if a
+    coin says so and n is odd): a histogram tells in which class of keys the half ends, and only
+    the places of that class are ranked.
+    """
+    nodes = units.select("_sk", "_at", F.lit(0).alias("shard"))
+    for level in range(levels):
+        key = _hash(seed, 10 + level, "_sk", "_at")
+        nodes = nodes.withColumn("_key", key).withColumn("_class", F.pmod(F.shiftright("_key", 20), F.lit(CLASSES)).cast("int"))
+        count = nodes.groupBy("shard", "_class").agg(F.count("*").alias("n"))
+        upto = Window.partitionBy("shard").orderBy("_class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = Window.partitionBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        odd = F.pmod(_hash(seed, 50 + level, "shard"), F.lit(2))  # which child gets the one that is over
+        count = count.withColumns({"cum": F.sum("n").over(upto), "half": F.floor((F.sum("n").over(every) + odd) / 2)})
+        half = count.where("cum - n <= half AND half < cum").select("shard", F.col("_class").alias("_end"), (F.col("half") - F.col("cum") + F.col("n")).alias("_rest"))
+        half = materialize(half, "mix-half")  # a row for each node; a node whose left child takes all has none
+        nodes = nodes.join(checked_broadcast(half), "shard", "left").withColumn("_mine", F.col("_class") == F.col("_end"))
+        rank = F.row_number().over(Window.partitionBy("shard", "_mine").orderBy("_key", "_sk", "_at"))
+        ended = nodes.where("_mine").withColumn("left", rank <= F.col("_rest"))
+        other = nodes.where("_mine IS NULL OR NOT _mine").withColumn("left", F.coalesce(F.col("_class") < F.col("_end"), F.lit(True)))
+        child = (F.col("shard") * 2 + F.when(F.col("left"), 0).otherwise(1)).cast("int").alias("shard")
+        nodes = materialize(ended.unionByName(other).select("_sk", "_at", child), "mix-tree")
+    return nodes
+
+
 def plan(sizes: DataFrame, seed: int, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """From rows (_sk, _size, _block, _sub, _leaf): a row for each source, and the shards of each block's copies."""
     blocks = materialize(sizes.groupBy("_sk", "_block").agg(F.sum("_size").alias("_size"), F.count("*").alias("_rows")), "mix-blocks")
@@ -108,24 +140,17 @@ def plan(sizes: DataFrame, seed: int, levels: int = LEVELS) -> tuple[DataFrame,
     copies = F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_block") <= F.col("end_block")), 1).otherwise(0)
     units = quota.withColumn("n", copies).where("n > 0").select("_sk", "_block", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
     units = materialize(units.withColumn("_at", F.row_number().over(Window.partitionBy("_sk").orderBy(_hash(seed, 4, "_sk", "_block", "copy"), "_block", "copy"))), "mix-units")
-    # The tree deals out places 1..quota of each source; which blocks take them is drawn apart from it.
-    tree = units.select("_sk", "_at", F.lit(0).alias("shard"))
-    for level in range(levels):
-        node = Window.partitionBy("shard")
-        drawn = F.row_number().over(node.orderBy(_hash(seed, 10 + level, "_sk", "_at"), "_sk", "_at"))
-        n = F.count("*").over(node)
-        odd = F.pmod(_hash(seed, 50 + level, "shard"), F.lit(2))  # which child gets the one that is over
-        left = drawn <= F.floor((n + odd) / 2)
-        tree = tree.select("_sk", "_at", (F.col("shard") * 2 + F.when(left, 0).otherwise(1)).cast("int").alias("shard"))
-    quotas = tree.select("_sk", "shard", F.row_number().over(Window.partitionBy("_sk").orderBy("shard", "_at")).alias("_at"))
-    shards = units.join(quotas, ["_sk", "_at"]).groupBy("_sk", "_block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("_copies"))
+    # The tree deals out places 1..quota of each source to the shards: a quota for each shard and source.
+    quotas = tree(units, seed, levels).groupBy("_sk", "shard").agg(F.count("*").alias("quota"))
+    last = F.sum("quota").over(Window.partitionBy("_sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Each shard draws its quota from the permuted block copies of the source, after the shards before it.
+    runs = quotas.withColumn("last", last).select("_sk", "shard", F.explode(F.sequence(F.col("last") - F.col("quota") + 1, "last")).alias("_at"))
+    shards = units.join(runs, ["_sk", "_at"]).groupBy("_sk", "_block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("_copies"))
     return materialize(sources, "mix-plan"), materialize(shards, "mix-shards")
 
 
-def with_draws(docs: DataFrame, seed: int = 1, levels: int = LEVELS) -> DataFrame:
-    """``docs`` with _size, source_size, target, taken and draws: array of (copy, shard, words, place)."""
-    placed = sized(docs, seed)
-    sizes = materialize(placed.select("_sk", "_size", "_block", "_sub", "_leaf"), "mix-sizes")
+def with_draws(placed: DataFrame, sizes: DataFrame, seed: int, levels: int) -> DataFrame:
+    """``placed`` (as by :func:`sized`) with source_size, target, taken and draws: array of (copy, shard, words, place)."""
     sources, shards = plan(sizes, seed, levels)
     found = placed.join(checked_broadcast(sources), "_sk", "left").join(checked_broadcast(shards), ["_sk", "_block"], "left")
     part = F.expr("CASE WHEN _leaf < end_leaf THEN _size WHEN _leaf = end_leaf THEN (_size * _num) div _den ELSE 0L END")
@@ -136,7 +161,7 @@ def with_draws(docs: DataFrame, seed: int = 1, levels: int = LEVELS) -> DataFram
         c["copy"].alias("copy"),
         c["shard"].alias("shard"),
         F.when(c["copy"] <= F.col("_whole"), F.col("_size")).otherwise(F.col("_part")).alias("words"),
-        _hash(seed, 90, c["shard"], c["copy"], "doc_id").alias("place"),
+        _hash(seed, 90, c["shard"], c["copy"], "_id").alias("place"),
     )
     draws = F.filter(F.transform(F.coalesce("_copies", F.array()), draw), lambda d: d["words"] > 0)
     found = found.withColumn("draws", draws)
@@ -144,23 +169,29 @@ def with_draws(docs: DataFrame, seed: int = 1, levels: int = LEVELS) -> DataFram
 
 
 def mix(docs: DataFrame, seed: int = 1, levels: int = LEVELS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and draws of every row of ``docs``.
+    """doc_id, size, source_size, target, taken and draws (copy, shard, words, place) of every row of ``docs``.
 
     A null text has size 0 and is never taken.  Null is a source of its own, after all others.
     Rows with the same doc_id fall in the same block; if a quota ends at them, they share what
     is left by their size.  Other columns are ignored; an empty table gives an empty result.
     """
-    found = with_draws(docs.select("doc_id", "source", "text"), seed, levels)
-    return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "draws")
+    sizes = materialize(sized(docs.select("doc_id", "source", "text"), seed).drop("row"), "mix-sizes")  # words are counted once
+    found = with_draws(sizes, sizes, seed, levels)
+    return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "draws")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, levels: int = LEVELS) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is drawn; of a part, the first words of its text."""
-    names = docs.columns
-    found = with_draws(docs, seed, levels).withColumn("_draw", F.explode("draws"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    text = F.when(F.col("_draw.words") < F.col("_size"), cut).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    """The mix itself, shard by shard, each shuffled: a row of ``docs`` for each time it is drawn; of a part, the first words of its text.
+
+    Rows come in the order of shard and place.  Nulls, ties and repeated rows are as in
+    :func:`mix`; all columns of ``docs`` stay as they are (``text``, and ``n_chars`` if there, follow
+    a part), whatever their names; an empty table gives an empty result.
+    """
+    placed = sized(docs, seed)
+    sizes = materialize(placed.drop("row"), "mix-sizes")
+    found = with_draws(placed, sizes, seed, levels).select("row", "_size", F.explode("draws").alias("draw"))
+    part = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") < F.col("_size"), part).otherwise(F.col("row.text"))
+    found = found.withColumn("text", text).orderBy("draw.shard", "draw.place", "row.doc_id")
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -45,7 +45,7 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_mix_sources(spark, sf_dir):
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("draws")
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {

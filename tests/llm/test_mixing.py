@@ -1,5 +1,6 @@
 """Targets against plain resharing; what is drawn against the targets."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -66,16 +67,38 @@ def test_mix(spark, rows):
     assert sorted(map(str, got)) != sorted(map(str, mixing.mix(docs, seed=2).collect()))
 
 
-def test_tree_is_even(spark, rows):
-    """Shards get equal numbers of block copies, and every source is spread over them."""
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string")
-    sizes = mixing.sized(docs, 1).select("_sk", "_size", "_block", "_sub", "_leaf")
-    _, shards = mixing.plan(sizes, 1)
-    units = [(r["_sk"], c["shard"]) for r in shards.collect() for c in r["_copies"]]
-    per = Counter(s for _, s in units)
-    assert max(per.values()) - min(per.values()) <= 1
-    large = Counter(s for sk, s in units if sk == "0a")
-    assert len(large) == 16 and max(large.values()) < 3 * min(large.values())
+def hypergeometric(total, own, drawn):
+    """Probabilities of 0..drawn of the ``own`` ones among ``drawn`` of ``total``."""
+    return [math.comb(own, k) * math.comb(total - own, drawn - k) / math.comb(total, drawn) if drawn - k <= total - own else 0.0 for k in range(min(own, drawn) + 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_is_multivariate_hypergeometric(spark, seed):
+    """Shards get equal numbers of places; what a source has in them is spread as a draw without replacement spreads it."""
+    own = {f"s{i:02}": 20 + 5 * i for i in range(40)}
+    places = spark.createDataFrame([(sk, at) for sk, n in own.items() for at in range(1, n + 1)], "_sk string, _at int")
+    got = mixing.tree(places, seed).collect()
+    assert sorted((r["_sk"], r["_at"]) for r in got) == sorted((sk, at) for sk, n in own.items() for at in range(1, n + 1))
+    shards = Counter(r["shard"] for r in got)
+    assert sorted(shards) == list(range(16)) and max(shards.values()) - min(shards.values()) <= 1
+    cell = Counter((r["_sk"], r["shard"]) for r in got)
+    total, squares, var = sum(own.values()), 0.0, 0.0
+    for sk, n in own.items():
+        p = hypergeometric(total, n, total // 16)
+        mean = sum(k * q for k, q in enumerate(p))
+        var += 16 * sum(k * k * q for k, q in enumerate(p)) - 16 * mean * mean
+        for shard in range(16):
+            k = cell[sk, shard]
+            squares += (k - mean) ** 2
+            assert sum(p[: k + 1]) > 1e-6 and sum(p[k:]) > 1e-6  # 640 cells: one in a thousand runs at most
+    assert 0.8 < squares / var < 1.2  # the spread is that of the draw: 640 cells know it within about 6 %
+
+
+def test_odd_and_small_nodes(spark):
+    for n in (0, 1, 2, 3, 17):
+        places = spark.createDataFrame([("0a", at) for at in range(1, n + 1)], "_sk string, _at int")
+        shards = Counter(r["shard"] for r in mixing.tree(places, 3, levels=2).collect())
+        assert sum(shards.values()) == n and (not n or max(shards.values()) - min([*shards.values(), *[0] * (4 - len(shards))]) <= 2)
 
 
 def test_documents(spark, rows):
@@ -90,6 +113,18 @@ def test_documents(spark, rows):
     assert words == Counter({d: n for d, n in taken.items() if n})
 
 
+def test_order_and_clashing_names(spark):
+    """The mix is in the order of shards and places, which is not that of the documents; columns keep their values, whatever their names."""
+    names = ["doc_id", "text", "source", "_row", "_size", "_spans", "target", "source_size", "draws", "shard", "row", "_sk"]
+    docs = spark.createDataFrame([(i, f"a b c {i}", f"s{i % 3}", *[f"{n}{i}" for n in names[3:]]) for i in range(300)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = mixing.mixed_documents(docs).collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in out for n in names[3:])
+    draws = sorted((d["shard"], d["place"], r["doc_id"]) for r in mixing.mix(docs).collect() for d in r["draws"])
+    assert [r["doc_id"] for r in out] == [d for _, _, d in draws]
+    inside = [d for s, _, d in draws if s == 0]
+    assert inside != sorted(inside) and len({s for s, _, _ in draws}) == 16
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
