@@ -1,6 +1,7 @@
 """Vector searches against brute force."""
 
 import numpy as np
+import pytest
 
 from sceneline.llm import ivfpq, topk
 
@@ -44,13 +45,42 @@ def test_top_k(spark, monkeypatch):
     assert got == [(q, r, i, int(s)) for q, r, i, s in brute(rows, 5, 20, 256)]
 
 
-def test_threshold_stops_early():
-    """With a clear winner per dimension the lists are not read to their ends, and the result is exact."""
-    rng = np.random.default_rng(0)
-    x = np.floor(256 * np.abs(rng.normal(0, 0.01, (2000, 2))))
-    x[7] = [9000, 9000]
-    got = topk.threshold_search(np.arange(2000), x, np.array([[1.0, 2.0], [-1.0, 0.0], [0.0, 0.0]]), np.array([-1, -1, -1]), 1)
-    assert got[0][0].tolist() == [7] and got[1][0].tolist() == [int(np.flatnonzero(x[:, 0] == x[:, 0].min())[0])] and got[2][0].tolist() == [0]
+def plain(x, q, me, k):
+    return sorted((-float(v @ q), i) for i, v in enumerate(x) if i != me)[:k]
+
+
+@pytest.mark.parametrize("dim", [2, 3, 5])
+def test_threshold_stops_early(dim):
+    """In few dimensions the bound ends the search well before all rows are scored, and the result is exact."""
+    rng = np.random.default_rng(dim)
+    x = np.floor(256 * rng.normal(0, 1, (4000, dim)))
+    lists = topk.Lists(np.arange(4000), x)
+    for q, me in [*[(x[i], i) for i in range(0, 4000, 200)], (-np.eye(dim)[0], -1)]:
+        ids, score, depth, scored = lists.search(q, me, 5)
+        assert [(-s, i) for s, i in zip(score, ids, strict=True)] == plain(x, q, me, 5)
+        assert depth < 1000 and scored < 3000
+
+
+def test_threshold_without_a_bound():
+    """In many dimensions nearly all rows are met before the bound can bite: each is scored once, none is read twice as often as there are rows."""
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * rng.normal(0, 0.125, (1000, 64)))
+    lists = topk.Lists(np.arange(1000), x)
+    for i in range(0, 1000, 100):
+        ids, score, depth, scored = lists.search(x[i], i, 5)
+        assert [(-s, j) for s, j in zip(score, ids, strict=True)] == plain(x, x[i], i, 5)
+        assert scored <= 999 and depth * 64 <= 2000
+    ids, score, _, scored = lists.search(np.zeros(64), 0, 3)
+    assert ids.tolist() == [1, 2, 3] and score.tolist() == [0.0] * 3
+
+
+def test_top_k_repeated_id(spark, monkeypatch):
+    """Copies of one id are spread over the shards; each is a candidate, and as a query they are one."""
+    monkeypatch.setattr(topk, "SHARD", 64)
+    rows = [(50, [1.0, 0.5])] * 300 + [(i, [i / 100, 1.0]) for i in range(1, 40)]
+    got = sorted(tuple(r) for r in topk.top_k(frame(spark, rows), 3, 50).collect())
+    want = sorted(((-(256 * int(256 * v[0] // 1) + 128 * int(256 * v[1] // 1)), i) for i, v in rows if i != 50))[:3]
+    assert got == [(50, r, i, -s) for r, (s, i) in enumerate(want, 1)]
 
 
 def test_top_k_edges(spark):
