@@ -1,15 +1,17 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 Patterns of high recall propose spans that may overlap: the four base kinds
-(email, ip, card, phone, each with its check) and two loose generators
-(disguised addresses, and runs of digits with separators).  Boosted trees
+(email, ip, card, phone, each with its check) and three loose generators
+(disguised addresses, runs of digits with separators, and long runs of letters
+and digits, which may be secrets: keys, tokens, passwords).  Boosted trees
 score the loose candidates from their format and context.  What can be added
 meets no base span, so that is no evidence against a candidate: positives are
 the candidates that meet a valid base span of their kind, without the sign by
-which the base pattern knows them (``+``, ``@``) and in other spellings;
-negatives are candidates that fail the check of their kind or are part of a
-word, and spellings of the positives that are no personal data.  All other
-candidates are unlabelled and teach nothing.  Trees learn from a bounded sample;
+which the base pattern knows them (``+``, ``@``) and in other spellings, and
+for secrets the ones that are assigned to a name that says so (which is no
+feature); negatives are candidates that fail the check of their kind or are
+part of a word, and spellings of the positives that are no personal data.  All
+other candidates are unlabelled and teach nothing.  Trees learn from a bounded sample;
 thresholds are calibrated by kind on matches held out from them.  Base spans
 stay; of the others the valid ones above the threshold and free of overlap are
 added.
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from sceneline.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans: the base kinds, and those that only the method finds.
+SPAN_KINDS = (*KINDS, "secret")
 #: The base patterns, written so that no match attempt is repeated within a run of characters.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,7 +45,10 @@ BASE = {
 LOOSE = {
     "mail": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[{]at[)\]}]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{]dot[)\]}]\x20?)[A-Za-z0-9-]++)++",
     "digits": r"(?<![0-9])[0-9](?:[\x20().:/-]{0,2}+[0-9]){6,}+",
+    "secret": r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]{0,24}[0-9])(?=[0-9+/_-]{0,24}[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![.@]?[A-Za-z0-9])",
 }
+#: What stands before a secret that is given as one.
+_ASSIGNED = r"(?:token|secret|passw(?:or)?d|pwd|credentials?|(?:api|access|private|secret|auth)[ _-]?key)[\"'\u201d]?\s{0,2}(?:[:=]|=>|is)\s{0,2}[\"'\u201c]?$"
 #: Candidates that the trees are fitted on, at most (one for each hash bucket), and rounds of boosting.
 SAMPLE, ROUNDS, DEPTH = 20_000, 12, 3
 #: Share of the held-out candidates above a threshold that must be valid.
@@ -81,6 +88,7 @@ def valid(kind: Column, match: Column) -> Column:
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", F.forall(F.split(match, r"\."), lambda p: p.rlike(_PART)))
         .when(kind == "card", F.when((n >= 16) & (n <= 19), luhn(digits)).otherwise(F.lit(False)))
+        .when(kind == "secret", (n >= 3) & (F.length(F.regexp_replace(match, "[^A-Za-z]", "")) >= 3) & (F.length(match) >= 16))
         .otherwise((n >= 8) & (n <= 15))
     )
 
@@ -109,6 +117,7 @@ def matches(docs: DataFrame) -> DataFrame:
         "phone": text.rlike(r"\+[0-9]"),
         "mail": text.rlike(r"@|[(\[{]at[)\]}]"),
         "digits": text.rlike(r"[0-9][\x20().:/-]{0,2}[0-9]"),
+        "secret": text.rlike(LOOSE["secret"]),
     }
     every = [F.struct(F.lit(name).alias("source"), F.when(has[name], _found(text, p)).alias("m")) for name, p in {**BASE, **LOOSE}.items()]
     some = text.rlike("[0-9@]|[(\\[{]at[)\\]}]")
@@ -133,7 +142,7 @@ def kind_of(source: Column, match: Column) -> Column:
     n = F.length(_digits(match))
     octets = F.split(match, r"\.")
     ip = (F.size(octets) == 4) & F.forall(octets, lambda p: p.rlike(r"^[0-9]{1,3}$"))
-    return F.when(source == "mail", "email").when(ip, "ip").when((n >= 13) & (n <= 19), "card").otherwise("phone")
+    return F.when(source == "mail", "email").when(source == "secret", "secret").when(ip, "ip").when((n >= 13) & (n <= 19), "card").otherwise("phone")
 
 
 def undisguised(match: Column) -> Column:
@@ -148,7 +157,14 @@ def shape(kind: Column, match: Column) -> dict[str, Column]:
     n = F.length(_digits(match))
     groups = F.regexp_extract_all(match, F.lit("[A-Za-z0-9]+"), F.lit(0))
     size = F.transform(groups, F.length)
+    of_secret = lambda c: F.when(kind == "secret", c).otherwise(F.lit(0)).cast("double")
+    runs = F.transform(F.regexp_extract_all(match, F.lit("[A-Za-z]+"), F.lit(0)), F.length)
     return {
+        "f_kind": F.array_position(F.array(*map(F.lit, SPAN_KINDS)), kind).cast("double"),
+        "f_letters": of_secret(F.aggregate(runs, F.lit(0), lambda a, n: a + n)),
+        "f_letter_run": of_secret(F.coalesce(F.array_max(runs), F.lit(0))),
+        "f_switches": of_secret(F.regexp_count(match, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))),
+        "f_distinct": of_secret(F.size(F.array_distinct(F.split(match, "")))),
         "f_length": F.length(match).cast("double"),
         "f_digits": n.cast("double"),
         "f_spaces": _count(match, " "),
@@ -173,7 +189,8 @@ def spellings(kind: Column, match: Column) -> Column:
     spelt = [F.regexp_replace(c, r"[\x20().:/-]+", sep) for c in (match, rest) for sep in ("-", ".", " ")]
     phone = F.filter(F.array(match, rest, *spelt), lambda v: v.rlike("[^0-9]"))  # a bare run of digits is any number
     card = F.array(match, digits, *[F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in ("-", ".", " ", "/")])
-    every = F.when(kind == "phone", phone).when(kind == "card", card).otherwise(F.array(match))
+    secret = F.array(match, F.upper(match), F.lower(match), F.reverse(match))
+    every = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "secret", secret).otherwise(F.array(match))
     return F.filter(F.array_distinct(every), lambda v: valid(kind, v))
 
 
@@ -191,7 +208,15 @@ def failures(kind: Column, match: Column) -> Column:
     card = F.array(wrong, *[F.regexp_replace(wrong, "([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in ("-", ".", " ", "/")])
     ip = F.array(F.regexp_replace(match, "[0-9]+$", "999"))
     mail = F.array(F.regexp_replace(undisguised(match), "[^.]+$", "12"))
-    return F.array_distinct(F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).otherwise(mail))
+    # Of a secret: words with a year, a dated path, a slug, a numbered item, a measure with a long number.
+    word = F.lower(F.translate(F.regexp_replace(match, "[^A-Za-z0-9]", ""), "0123456789", "aeioulnrst"))
+    w = lambda a, k: F.substring(word, a, k)
+    year = F.concat(F.lit("20"), F.lpad(F.pmod(F.length(word), F.lit(30)).cast("string"), 2, "0"))
+    secret = F.array(
+        F.concat(w(1, 14), year), F.concat(F.initcap(w(1, 7)), F.initcap(w(8, 9)), F.lit("2")), F.concat_ws("-", w(1, 6), w(7, 4), w(11, 5), year),
+        F.concat_ws("/", w(1, 5), year, F.lit("05"), w(6, 9)), F.concat_ws("_", w(1, 8), w(9, 6), F.lit("1")), F.concat(w(1, 3), F.lit("-"), F.rpad(F.left(digits, F.lit(14)), 14, "0")), F.repeat(F.lit("a1"), 12),
+    )
+    return F.array_distinct(F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", secret).otherwise(mail))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -220,7 +245,8 @@ def candidates(rows: DataFrame) -> DataFrame:
             "valid": valid(F.col("kind"), match) & ~within,
         }
     )
-    label = F.when(F.col("met"), 1.0).when(F.col("taken") | ~F.col("valid"), 0.0)
+    assigned = (F.col("kind") == "secret") & F.col("valid") & ~F.col("taken") & pre.rlike(_ASSIGNED)
+    label = F.when(F.col("met") | assigned, 1.0).when(F.col("taken") | ~F.col("valid"), 0.0)
     return loose.select("row", "kind", "start", "end", "match", label.alias("label"), "taken", "valid", *[c.alias(n) for n, c in context.items()])
 
 
@@ -235,8 +261,9 @@ def examples(cands: DataFrame) -> DataFrame:
     drawn = seen.withColumn("e", F.explode(F.when(F.col("label") == 1, F.concat(good, bad)).otherwise(own)))
     drawn = drawn.select("kind", F.xxhash64("match").alias("group"), F.col("e.v").alias("match"), F.col("e.label").alias("label"), *context)
     # Only what the generators would give as a candidate of the kind.
-    source = F.when(kind == "email", "mail").otherwise("digits")
-    drawn = drawn.where((kind_of(source, match) == kind) & ((kind == "email") | (F.length(_digits(match)) >= 7)))
+    source = F.when(kind == "email", "mail").when(kind == "secret", "secret").otherwise("digits")
+    given = F.when(kind == "secret", match.rlike(f"^(?:{LOOSE['secret']})$")).otherwise((kind == "email") | (F.length(_digits(match)) >= 7))
+    drawn = drawn.where((kind_of(source, match) == kind) & given)
     return drawn.withColumns(shape(kind, match))
 
 
@@ -261,7 +288,7 @@ def select(cands: DataFrame) -> DataFrame:
     held = scored(drawn.where(for_thresholds))
     table = held.groupBy("kind", F.floor(F.col("p") * 100).alias("t")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()  # 400 rows
     limits = {}
-    for kind in KINDS:
+    for kind in SPAN_KINDS:
         good = total = 0
         for r in sorted((r for r in table if r["kind"] == kind), key=lambda r: -r["t"]):
             good, total = good + r["good"], total + r["all"]
@@ -285,7 +312,7 @@ def detect(docs: DataFrame) -> DataFrame:
     found = materialize(matches(docs), "pii-found")
     rows = materialize(spans(found), "pii-spans")
     cands = materialize(candidates(rows), "pii-candidates")
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, SPAN_KINDS)), F.col("kind"))
     base = rows.where(F.col("source").isin(*BASE)).where(valid(F.col("source"), F.col("match"))).select("row", F.col("source").alias("kind"), "start", "end", F.lit(True).alias("base"))
     every = base.union(select(cands).select("row", "kind", "start", "end", F.lit(False).alias("base")))
     lists = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "base"))).alias("spans"))
@@ -298,7 +325,7 @@ def _joined(spans: Column) -> Column:
 
 
 def detect_table(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind and digest of the base spans, and all spans, of every row of ``docs``.
+    """doc_id, counts by kind and digest of the base spans, all spans, and counts of those added and of secrets, of every row of ``docs``.
 
     A null text is empty.  Repeated rows give repeated results, null ids stay null, other
     columns are ignored; an empty table gives an empty result.  Without weak labels of both
@@ -308,30 +335,35 @@ def detect_table(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    added = F.filter("spans", lambda s: ~s["base"])
+    secrets = F.filter("spans", lambda s: s["kind"] == "secret")
+    more = [F.size(added).cast("long").alias("n_added"), F.size(secrets).cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, each span of personal data replaced by its kind in brackets.
 
-    Overlapping spans are replaced as one, by the kind of the first.
+    Overlapping spans are replaced as one, by the kind of the first.  A null or empty text stays as
+    it is, repeated rows stay repeated, and all columns but ``text`` (and ``n_chars`` if there) keep
+    their values, whatever their names; an empty table gives an empty result.
+
+    Spans depend on the text alone, so they are joined by two 64-bit hashes of it: the documents
+    are read again, never written.
     """
-    names = docs.columns
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    found = detect(rows.select(F.col("_row").alias("doc_id"), "text"))
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind")))).alias("_spans"))
-    out = rows.join(materialize(hit, "pii-hit"), "_row", "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        start, end = s["start"].cast("int"), (-s["less"]).cast("int")
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(start - acc["at"], F.lit(0)))
-        fresh = start >= acc["at"]
-        parts = F.when(fresh, F.concat(acc["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], end).alias("at"), parts.alias("parts"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    key = lambda text: F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text).alias("y"))
+    found = detect(docs.select(key(F.col("text")).alias("doc_id"), "text"))
+    span = found.where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), F.explode("spans").alias("s"))
+    before = Window.partitionBy("key").orderBy("s.start", F.desc("s.end"), "s.place").rowsBetween(Window.unboundedPreceding, -1)
+    span = span.withColumn("from", F.coalesce(F.max("s.end").over(before), F.lit(0)))
+    cut = F.when(F.col("s.start") >= F.col("from"), F.struct("from", (F.col("s.start") - F.col("from")).alias("n"), F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("by")))
+    hit = materialize(span.groupBy("key").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("s.end").alias("last")), "pii-hit")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", key(F.col("row.text")))
+    rows = rows.join(hit, "key", "left")
+    part = lambda a, n: F.substring(F.col("row.text"), a.cast("int") + 1, n.cast("int"))
+    parts = F.array_join(F.transform("cuts", lambda c: F.concat(part(c["from"], c["n"]), c["by"])), "")
+    done = F.concat(parts, F.substring(F.col("row.text"), F.col("last").cast("int") + 1, F.length("row.text")))
+    text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(done)
+    rows = rows.withColumn("text", text)
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -124,3 +124,33 @@ def test_spans_without_base_pattern_are_added(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.detect_table(docs).collect()}
     assert [(texts[i], got[i]) for i in planted if got[i] != planted[i]] == []
     assert [(texts[i], got[i]) for i in range(first_clean, len(texts)) if got[i]] == []
+
+
+def test_secrets_are_added(spark):
+    """Learnt from those that are assigned to a name; found without it as well; long words, slugs, paths and numbers stay."""
+    rng = random.Random(5)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(26, 41)))
+    mixed = lambda: "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
+    texts, want = [], []
+    for i in range(200):
+        v = rng.choice((hexes, mixed))()
+        before = rng.choice(('words token = "', "words api_key: ", 'words SECRET="', "words of the "))
+        texts.append(f"{before}{v} words")
+        want.append([f"secret:{len(before)}:{len(before) + len(v)}"] if len(re.sub("[^0-9]", "", v)) >= 3 else None)
+    first_clean = len(texts)
+    texts += ["words Donaudampfschifffahrtsgesellschaft2 words", "words https://example.org/archive/2024/05/an-article-on-words words", "words release-notes-for-version-2024 words", "words internationalization2025 words", "words ab-1234567890123456 words"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect_table(docs).collect()}
+    missed = [texts[i] for i in range(first_clean) if want[i] and got[i]["spans"].split(",") != want[i]]
+    assert len(missed) <= 0.02 * first_clean, missed
+    assert [(texts[i], got[i]["spans"]) for i in range(first_clean, len(texts)) if got[i]["spans"]] == []
+    assert all(r["n_added"] == r["n_secret"] == r["n_spans"] for r in got.values())
+
+
+def test_redact_clashing_names(spark):
+    names = ["doc_id", "text", "row", "_row", "_spans", "key", "cuts", "last", "spans", "from"]
+    rows = [(str(i), t, *[f"{n}{i}" for n in names[2:]]) for i, t in enumerate(["me@me.org", None, "", "x 10.0.0.1 me@me.org y", "clean"])] * 2
+    got = pii.redact(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)))
+    assert got.columns == names
+    want = [(r[0], {"me@me.org": "[EMAIL]", "x 10.0.0.1 me@me.org y": "x [IP] [EMAIL] y"}.get(r[1], r[1]), *r[2:]) for r in rows]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
