@@ -2,6 +2,10 @@
 
 import html
 import re
+import time
+import tracemalloc
+
+import pytest
 
 from sceneline.llm import html_text as ht
 
@@ -34,6 +38,59 @@ def test_broken_markup():
     assert ht.main_text("<p>a <") != ""
 
 
+@pytest.mark.parametrize("names", ["content no-sidebar", "post social-science", "has-comments", "page has-sidebar", "no-comments", "elementor-widget-container", "entry related-posts-on", "sidebar", "comments", "ad"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<div><div>{}</div></div>"])
+def test_no_name_empties_a_page(names, inner):
+    text = f"<h1>Title</h1><p>{PARA}</p><p>{PARA}</p>"
+    body = f"<nav><a href=x>Home</a></nav><div class='{names}'>{inner.format(text)}</div><footer>(c) site</footer>"
+    assert ht.main_text(page(body)) == f"Title {PARA} {PARA}"
+    assert ht.main_text(page(f"<form id=all>{body}</form>")) == f"Title {PARA} {PARA}"
+
+
+@pytest.mark.parametrize("names", ["cookie-notice", "ad", "ad-slot-3", "sidebar-left", "site-header", "comments-area", "newsletter-box", "social-share", "related", "elementor-widget-container"])
+def test_named_parts_go(names):
+    other = f"<div class='{names}'><p>{PARA}</p></div>"
+    text = f"<div><h1>Title</h1><p>{PARA}</p><p>{PARA} {PARA}</p></div>"
+    assert ht.main_text(page(f"{other}{text}{other}")) == f"Title {PARA} {PARA} {PARA}"
+
+
+def test_comments_longer_than_the_article():
+    comments = "".join(f"<article class='comment-body'><p>{PARA}</p></article>" for _ in range(9))
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p></article><div id='comments' class='comments-area'>{comments}</div>")) == f"Title {PARA}"
+
+
+def test_several_articles_and_headers():
+    one, two = f"<article><h2>One</h2><p>{PARA}</p></article>", f"<article><h2>Two</h2><p>{PARA} {PARA}</p></article>"
+    links = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(9))
+    assert ht.main_text(page(f"<div>{one}<ul>{links}</ul>{two}</div>")) == f"One {PARA} Two {PARA} {PARA}"
+    assert ht.main_text(page(f"<div class='post-header'><h1>Title</h1></div><div><p>{PARA}</p><p>{PARA}</p></div>")) == f"Title {PARA} {PARA}"
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><ul>{links}</ul><p>Hm.</p></article>")) == f"Title {PARA} Hm."
+
+
+def test_scripts_and_formulas():
+    assert ht.main_text(page(f'<article><script src="a.js" />var x=1;</script><p>{PARA}</p><svg viewBox="0"/><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>')) == f"{PARA} so x=1."
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 350_000, "<div>x" * 100_000, "<p title=\"" * 100_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<div>" * 50_000 + "</p></li>" * 50_000, "<td>" + "<div>" * 50_000 + "<li><td>" * 50_000,
+     "".join(f"<div class='sidebar-{i}x'>x" for i in range(30_000)), "<!--" * 200_000, "</" * 300_000, "<" * 500_000, "&lt;" * 200_000, "<script>" * 100_000],
+    ids=range(12),
+)
+def test_time_follows_the_length(source):
+    begun = time.process_time()
+    ht.main_text(source)
+    assert time.process_time() - begun < 10  # quadratic scans would take minutes
+
+
+def test_memory_follows_the_length():
+    tracemalloc.start()
+    ht.main_text("<div>x" * 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_edges():
     assert ht.main_text(None) == ht.main_text("") == ht.main_text("<html></html>") == ht.main_text("<nav>x</nav>") == ""
     long = " ".join([PARA] * 20000)
