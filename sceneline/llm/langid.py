@@ -187,6 +187,7 @@ def fit(train: DataFrame) -> Model:
         .select("lang", F.col("m.doc_id").alias("doc_id"))
     )
     sample = rows.join(checked_broadcast(ids), ["doc_id", "lang"], "left_semi")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of an id that is repeated, one row
     got = sample.select("doc_id", "lang", "text").mapInPandas(_sample_counts, "lang string, doc string, whole boolean, at binary, n binary").toPandas()  # SAMPLE_PER_LANG texts of each language and their beginnings
     langs: list[str] = []
     centroids, least = [], []

@@ -214,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.min(F.struct("h", "doc_id")).alias("m"))
         .select(F.col("m.doc_id").alias("doc_id"), "quality")
     )
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(checked_broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").join(checked_broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of an id that is repeated, one row
     got = rows.select("doc_id", "text", "quality").mapInPandas(_sample_passages, "doc_id long, quality int, x binary").toPandas()  # 2 x SAMPLE_PER_CLASS rows
     y = got["quality"].to_numpy(dtype=float)
     if len(got) == 0 or y.min() == y.max():
