@@ -7,16 +7,17 @@ query probes the lists of its nearest centroids; in each list a table of
 asymmetric distances ranks the codes, and the best are scored exactly.
 
 A list is one key, and a frequent vector can make one list hold a third of all
-rows, so a list is cut by a hash into parts of at most about ``PART`` rows, and
-parts are packed into groups of about ``GROUP`` rows; a query goes once to each
-group with a part of a list that it probes.  The number of lists grows with the
-square root of the table; what the driver holds has a row for each list or part.
+rows, so a list of more than ``GROUP`` rows is dealt by a hash to as many groups
+as it needs, and smaller lists share groups of about that size; a query goes
+once to each group with rows of a list that it probes.  A task holds the rows of
+one group, and the queries stream past them.  The number of lists grows with the
+square root of the table up to ``MAX_LISTS``; what the driver holds, and what is
+broadcast, has a row for each list.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneline.llm.common import materialize
+from sceneline.llm.common import materialize, trim
 from sceneline.llm.vectors import best_of, dot, matrix, usable
 
 #: Rows that centroids and codebooks are fitted on, at most.
@@ -37,8 +38,8 @@ MIN_LISTS, MAX_LISTS = 16, 4096
 PROBES, PROBE_SHARE = 24, 0.65
 #: Subspaces of the residual and code words of each (codes fit in a byte).
 SUBSPACES, WORDS = 32, 256
-#: Rows of a part of a list and of a group of parts, about.
-PART, GROUP = 4096, 8192
+#: Rows of a group, about.
+GROUP = 2048
 #: Rows scored exactly for a query in each group.
 RERANK = 200
 #: Queries worked on at once.
@@ -100,7 +101,7 @@ class File:
 class Probe:
     """For ``mapInPandas``: a row for each group that a query goes to, with the lists it probes there."""
 
-    def __init__(self, index, groups: dict[int, list[int]], probes: int):
+    def __init__(self, index, groups: dict[int, range], probes: int):
         self.index, self.groups, self.probes = index, groups, probes
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,56 +122,82 @@ class Probe:
                 yield batch.iloc[at].assign(group=np.array(groups, dtype=np.int32), probed=lists)
 
 
-def search_group(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
-    """The ``k`` best rows of a group for each query: by codes in the lists it probes, then exactly."""
-    found = []
-    if len(rows) and len(queries):
+class Group:
+    """The rows of a group, sorted by list and id."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame):
         rows = rows.sort_values(["list", "vec_id"], kind="stable")
-        ids, x, lists = rows["vec_id"].to_numpy(), matrix(rows["x"]), rows["list"].to_numpy()
-        codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1).astype(np.intp)
-        names, first = np.unique(lists, return_index=True)
-        last = [*first[1:], len(rows)]
-        for k0 in range(0, len(queries), QUERY_BLOCK):
-            part = queries.iloc[k0 : k0 + QUERY_BLOCK]
-            q = matrix(part["x"])
-            tables = [q[:, a:b] @ book.T for (a, b), book in zip(index.spans, index.books, strict=True)]
-            about = np.full((len(part), len(rows)), -np.inf)
-            probed = [frozenset(map(int, p)) for p in part["probed"]]
-            for name, a, b in zip(names.tolist(), first, last, strict=True):
-                who = np.array([i for i, p in enumerate(probed) if name in p], dtype=np.intp)
-                if len(who):
-                    sums = np.repeat((q[who] @ index.coarse[name])[:, None], b - a, axis=1)
-                    for s, table in enumerate(tables):
-                        sums += table[who][:, codes[a:b, s]]
-                    about[who, a:b] = sums
-            for i, me in enumerate(part["vec_id"]):
-                row = about[i]
-                row[ids == me] = -np.inf
-                m = min(rerank, len(row))
-                edge = np.partition(row, len(row) - m)[len(row) - m]
-                at = np.flatnonzero(row > edge)
-                if np.isfinite(edge):
-                    tied = np.flatnonzero(row == edge)  # of equal codes the smaller ids
-                    at = np.concatenate((at, tied[np.argsort(ids[tied], kind="stable")][:m]))
-                score = dot(x[at], q[i])
-                top = np.lexsort((ids[at], -score))[:k]
-                found.append(pd.DataFrame({"query_id": me, "vec_id": ids[at][top], "score": score[top]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-
-def pack(sizes: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, list[int]]]:
-    """From the rows of each list: (list, part, group) of each part, and the groups of each list."""
-    table, groups, group, filled = [], {}, 0, 0
+        self.index, self.ids, self.x = index, rows["vec_id"].to_numpy(), matrix(rows["x"])
+        self.codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1).astype(np.intp)
+        names, first = np.unique(rows["list"].to_numpy().astype(np.int64), return_index=True)
+        self.lists = list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True))
+
+    def search(self, queries: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
+        """The ``k`` best rows for each query: by codes in the lists it probes, then exactly."""
+        found, index, ids, x = [], self.index, self.ids, self.x
+        q = matrix(queries["x"])
+        tables = [q[:, a:b] @ book.T for (a, b), book in zip(index.spans, index.books, strict=True)]
+        about = np.full((len(q), len(ids)), -np.inf)
+        probed = [frozenset(map(int, p)) for p in queries["probed"]]
+        for name, a, b in self.lists:
+            who = np.array([i for i, p in enumerate(probed) if name in p], dtype=np.intp)
+            if len(who):
+                sums = np.repeat((q[who] @ index.coarse[name])[:, None], b - a, axis=1)
+                for s, table in enumerate(tables):
+                    sums += table[who][:, self.codes[a:b, s]]
+                about[who, a:b] = sums
+        for i, me in enumerate(queries["vec_id"]):
+            row = about[i]
+            row[ids == me] = -np.inf
+            m = min(rerank, len(row))
+            edge = np.partition(row, len(row) - m)[len(row) - m]
+            at = np.flatnonzero(row > edge)
+            if np.isfinite(edge):
+                tied = np.flatnonzero(row == edge)  # of equal codes the smaller ids
+                at = np.concatenate((at, tied[np.argsort(ids[tied], kind="stable")][:m]))
+            score = dot(x[at], q[i])
+            top = np.lexsort((ids[at], -score))[:k]
+            found.append(pd.DataFrame({"query_id": me, "vec_id": ids[at][top], "score": score[top]}))
+        return pd.concat(found)
+
+
+class SearchGroups:
+    """For ``mapInPandas`` over rows sorted by group, those of the index before the queries."""
+
+    def __init__(self, index, k: int, rerank: int):
+        self.index, self.k, self.rerank = index, k, rerank
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, group = None, [], None
+        for batch in batches:
+            for own, part in batch.groupby("group", sort=True):
+                if own != name:
+                    name, held, group = own, [], None
+                query = part["query"].to_numpy()
+                if not query.all():
+                    held.append(part[~query])
+                if query.any():
+                    if held:
+                        group, held = Group(self.index.value, pd.concat(held)), []
+                    asked = part[query]
+                    for k in range(0, len(asked) if group else 0, QUERY_BLOCK):
+                        yield group.search(asked.iloc[k : k + QUERY_BLOCK], self.k, self.rerank)
+        trim()
+
+
+def pack(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """From the rows of each list: (list, first group, number of groups) of each."""
+    table, group, filled = [], 0, 0
     for name, n in sorted(sizes.items()):
-        parts = max(1, -(-n // PART))
-        for p in range(parts):
-            if filled and filled + n // parts > GROUP:
-                group, filled = group + 1, 0
-            filled += n // parts
-            table.append((name, p, group))
-            if group not in groups.setdefault(name, []):
-                groups[name].append(group)
-    return table, groups
+        parts = -(-n // GROUP)
+        if filled and filled + n > GROUP:
+            group, filled = group + 1, 0
+        table.append((name, group, parts))
+        if parts > 1:
+            group, filled = group + parts, 0
+        else:
+            filled += n
+    return table
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBES, share: float = PROBE_SHARE, rerank: int = RERANK) -> DataFrame:
@@ -179,7 +206,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBE
     Nearness is the inner product in double precision.  Vectors that are null, empty, zero or
     hold a null or non-finite component take no part, nor do those of another length than the
     table's commonest (all have one length in a sound table).  Ties go to the smaller id.  A
-    repeated id is a candidate for each of its rows and one query.  An empty table gives an
+    repeated id is a candidate for each of its rows and one query (its least vector).  An empty table gives an
     empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -196,18 +223,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBE
     index = spark.sparkContext.broadcast(fit(matrix(got["x"]), lists))
 
     filed = materialize(rows.mapInPandas(File(index), "vec_id long, x array<double>, list int, codes binary"), "ivf-lists")
-    table, groups = pack(dict(filed.groupBy("list").count().collect()))  # a row for each list
-    parts = F.create_map(*[F.lit(v) for name, n in Counter(t[0] for t in table).items() if n > 1 for v in (name, n)]) if len(table) > len(groups) else None
-    n_parts = F.coalesce(parts[F.col("list")], F.lit(1)) if parts is not None else F.lit(1)
-    filed = filed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), n_parts).cast("int"))
-    filed = filed.join(F.broadcast(spark.createDataFrame(table, "list int, part int, group int")), ["list", "part"])  # MAX_LISTS + rows / PART rows
+    table = pack(dict(filed.groupBy("list").count().collect()))  # MAX_LISTS rows
+    groups = {name: range(first, first + parts) for name, first, parts in table}
+    of_list = F.broadcast(spark.createDataFrame(table, "list int, first int, parts int"))  # MAX_LISTS rows
+    dealt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))
+    filed = filed.join(of_list, "list").select("vec_id", "x", "list", "codes", (F.col("first") + dealt).cast("int").alias("group"), F.lit(False).alias("query"))
     n_probes = min(lists, max(probes, math.ceil(share * lists)))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     probed = queries.mapInPandas(Probe(index, groups, n_probes), "vec_id long, x array<double>, group int, probed array<int>")
-
-    def per_group(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return search_group(index.value, r, q, k, rerank)
-
-    filed = filed.select("vec_id", "x", "list", "codes", "group")
-    found = filed.groupBy("group").cogroup(probed.groupBy("group")).applyInPandas(per_group, "query_id long, vec_id long, score double")
-    return best_of(found, k)
+    both = filed.unionByName(probed.withColumn("query", F.lit(True)), allowMissingColumns=True)
+    n_groups = max(first + parts for _, first, parts in table)
+    both = both.repartition(n_groups, "group").sortWithinPartitions("group", "query")
+    return best_of(both.mapInPandas(SearchGroups(index, k, rerank), "query_id long, vec_id long, score double"), k)

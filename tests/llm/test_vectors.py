@@ -105,8 +105,7 @@ def test_ann(spark):
 
 def test_ann_split_lists(spark, monkeypatch):
     """A list with a third of all rows is cut into parts; ties still go to the smaller ids."""
-    monkeypatch.setattr(ivfpq, "PART", 64)
-    monkeypatch.setattr(ivfpq, "GROUP", 128)
+    monkeypatch.setattr(ivfpq, "GROUP", 64)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (600, 8)).astype(np.float32)
     x[::3] = x[0]
@@ -121,3 +120,15 @@ def test_ann_edges(spark):
     assert ivfpq.search(frame(spark, [])).count() == 0
     assert ivfpq.search(frame(spark, [(0, [1.0, 0.0])])).count() == 0
     assert [tuple(r) for r in ivfpq.search(frame(spark, [(0, [1.0, 0.0]), (3, [0.5, 2.0])])).collect()] == [(0, 1, 3, 0.5)]
+
+
+def test_ann_repeated_ids(spark):
+    """An id with many rows: one query, by its least vector, whatever the order of the rows; the rows of one list fill several groups."""
+    rng = np.random.default_rng(8)
+    rows = [(20, [float(v) for v in rng.normal(0, 1, 4)]) for _ in range(3000)] + [(i, [float(v) for v in rng.normal(0, 1, 4)]) for i in range(1, 19)]
+    one = sorted(tuple(r) for r in ivfpq.search(frame(spark, rows), 5, 20).collect())
+    two = sorted(tuple(r) for r in ivfpq.search(frame(spark, rows[::-1]), 5, 20).collect())
+    assert len(one) == 5 and one == two and all(r[0] == 20 and r[2] != 20 for r in one)
+    table = ivfpq.pack({0: 10, 1: 5000, 2: 20, 3: 2030, 4: 5})
+    spans = [range(first, first + parts) for _, first, parts in table]
+    assert [len(s) for s in spans] == [1, 3, 1, 1, 1] and not set(spans[1]) & {s[0] for s in (spans[0], *spans[2:])}
