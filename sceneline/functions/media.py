@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed limits of the media profile.
 SIZE_LIMIT_GIB, MAX_WIDTH, MAX_HEIGHT, MAX_DEPTH, MAX_FPS, TARGET_FPS = 4.5, 1920, 1080, 8, 30.0, 24.0
@@ -85,23 +89,41 @@ def pick_audio(streams: Column) -> Column:
     return F.try_element_at(F.array_sort(ranked), F.lit(1))["s"]
 
 
+#: Extensions of each category of files.
+CATEGORIES = {
+    "IMAGE_ASSET": ("jpg", "jpeg", "png", "webp", "gif"),
+    "RELEASE_METADATA": ("nfo", "txt", "url", "sfv", "md5", "sha1", "torrent"),
+    "ARCHIVE": ("zip", "rar", "7z"),
+    "EXECUTABLE_OR_SCRIPT": ("exe", "bat", "cmd", "scr"),
+}
+
+
 def file_category(name: Column) -> Column:
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return (
-        F.when(ext.isin("jpg", "jpeg", "png", "gif", "webp", "bmp"), "IMAGE_ASSET")
-        .when(ext.isin("nfo", "txt", "url", "md"), "RELEASE_METADATA")
-        .when(ext.isin("zip", "rar", "7z", "tar", "gz"), "ARCHIVE")
-        .when(ext.isin("exe", "bat", "cmd", "sh", "msi"), "EXECUTABLE_OR_SCRIPT")
-        .otherwise("UNKNOWN")
-    )
+    """By the extension; a name that only begins with a dot has none."""
+    ext = F.lower(F.regexp_extract(name, r"[^/]\.([^./]+)$", 1))
+    found = F.coalesce(*[F.when(ext.isin(*e), c) for c, e in CATEGORIES.items()])
+    return F.coalesce(found, F.lit("UNKNOWN"))
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def movie_key(path: Column) -> Column:
-    """Title id of the file name, else of the nearest folder, else a digest of the normalised path."""
+    """Of a path below the input folder: title id of the file name, else of the nearest folder, else the normalised path, else a digest.
+
+    Normalised: without the extension, NFKC and lower case, all but letters a-z, digits and slashes
+    as one underscore, trimmed by folder, folders joined by two underscores.
+    """
     parts = F.split(path, "/")
-    ids = F.transform(F.reverse(parts), lambda p: F.regexp_extract(p, r"(?<![A-Za-z0-9])(tt[0-9]{7,10})(?![0-9])", 1))
+    ids = F.transform(F.reverse(parts), lambda p: F.lower(F.regexp_extract(p, r"(?i)(?<![A-Za-z0-9])(tt[0-9]{7,10})(?![0-9])", 1)))
     found = F.try_element_at(F.filter(ids, lambda i: i != ""), F.lit(1))
-    return F.coalesce(found, F.concat(F.lit("movie_"), F.substring(F.sha2(F.lower(path), 256), 1, 12)))
+    plain = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    plain = F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(_nfkc(plain))
+    words = F.transform(F.split(F.regexp_replace(F.lower(plain), "[^a-z0-9/]+", "_"), "/"), lambda p: F.trim(p, F.lit("_")))
+    key = F.array_join(F.filter(words, lambda p: p != ""), "__")
+    return F.coalesce(found, F.when(key != "", key), F.concat(F.lit("movie_"), F.substring(F.sha2(path, 256), 1, 12)))
 
 
 def canonical_name(key: Column, width: Column, height: Column, fps: Column, codec: Column, depth: Column, hdr: Column, ext: Column) -> Column:

@@ -16,18 +16,19 @@ def positions_of(needle: Column, hay: Column) -> Column:
 def containment_join(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, block_id: str, toks: str = "tokens") -> DataFrame:
     """All places where a line's token array stands in a block's: keys, line_id, block_id, token_start.
 
-    Pruned by an equality join on the line's rarest token (a token of one line is looked up in
-    the blocks' postings), so no line meets a block with which it shares nothing rare.
+    Pruned by an equality join on the line's rarest token.  Of the blocks only tokens of some line
+    are shuffled; how often they stand in blocks is summed before the shuffle.  Whole arrays come
+    in last, for the pairs that are left.
     """
-    posts = blocks.select(*keys, block_id, F.explode(F.array_distinct(toks)).alias("_t"))
+    own = lines.select(*keys, line_id, F.explode(F.array_distinct(toks)).alias("_t"))
+    posts = blocks.select(*keys, block_id, F.explode(F.array_distinct(toks)).alias("_t")).join(own.select(*keys, "_t").distinct(), [*keys, "_t"], "left_semi")
     rare = posts.groupBy(*keys, "_t").agg(F.count("*").alias("_df"))
-    heads = lines.select(*keys, line_id, F.explode(F.array_distinct(toks)).alias("_t")).join(rare, [*keys, "_t"])
-    n = lines.select(*keys, line_id, F.size(F.array_distinct(toks)).alias("_n"))
-    heads = heads.groupBy(*keys, line_id).agg(F.min(F.struct("_df", "_t")).alias("_m"), F.count("*").alias("_found")).join(n, [*keys, line_id])
-    heads = heads.where("_found = _n").select(*keys, line_id, F.col("_m._t").alias("_t"))  # a line with a token of no block is nowhere
-    # Whole arrays come in only now, for the pairs that are left.
+    n = F.size(F.array_distinct(toks)).alias("_n")
+    heads = own.join(rare, [*keys, "_t"]).groupBy(*keys, line_id).agg(F.min(F.struct("_df", "_t")).alias("_m"), F.count("*").alias("_found"))
+    heads = heads.join(lines.select(*keys, line_id, n), [*keys, line_id]).where("_found = _n")  # a line with a token of no block is nowhere
+    heads = heads.select(*keys, line_id, F.col("_m._t").alias("_t"))
     hays = blocks.select(*keys, block_id, F.col(toks).alias("_hay"))
-    pairs = heads.join(posts, [*keys, "_t"]).join(hays, [*keys, block_id]).join(lines.select(*keys, line_id, F.col(toks).alias("_needle")), [*keys, line_id])
+    pairs = heads.join(posts, [*keys, "_t"]).join(lines.select(*keys, line_id, F.col(toks).alias("_needle")), [*keys, line_id]).join(hays, [*keys, block_id])
     found = pairs.withColumn("token_start", F.explode(positions_of(F.col("_needle"), F.col("_hay"))))
     return found.select(*keys, line_id, block_id, "token_start", F.size("_needle").alias("line_tokens"), F.size("_hay").alias("block_tokens"))
 
@@ -38,16 +39,16 @@ def unique_places(found: DataFrame, keys: list[str], line_id: str) -> DataFrame:
     return found.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_n")
 
 
-def overlap_top_k(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, block_id: str, toks: str, k: int, least: int = 2, frequent: int = 2000) -> DataFrame:
-    """For each line the ``k`` blocks that share most distinct tokens with it: share = shared / distinct tokens of the line.
+def overlap_top_k(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, block_id: str, toks: str, k: int, least: int = 2) -> DataFrame:
+    """For each line the ``k`` blocks that share most distinct tokens with it: share = shared / distinct tokens of the line that stand in some block.
 
-    An inverted-index join on tokens; tokens of more than ``frequent`` blocks are no evidence and
-    are left out of both sides.  Ties go to the smaller block id.
+    An inverted-index join on all tokens: of the blocks only tokens of some line are shuffled, and
+    shared tokens are counted before the second shuffle.  A frequent token is a skewed key of a
+    plain join, which adaptive execution splits.  Ties go to the smaller block id.
     """
-    b = blocks.select(*keys, block_id, F.explode(F.array_distinct(toks)).alias("_t"))
-    usual = b.groupBy(*keys, "_t").agg(F.count("*").alias("_df")).where(F.col("_df") <= frequent).drop("_df")
-    line = lines.select(*keys, line_id, F.explode(F.array_distinct(toks)).alias("_t")).join(usual, [*keys, "_t"])
-    size = line.groupBy(*keys, line_id).agg(F.count("*").alias("_n"))
+    line = lines.select(*keys, line_id, F.explode(F.array_distinct(toks)).alias("_t"))
+    b = blocks.select(*keys, block_id, F.explode(F.array_distinct(toks)).alias("_t")).join(line.select(*keys, "_t").distinct(), [*keys, "_t"], "left_semi")
+    size = line.join(b.select(*keys, "_t").distinct(), [*keys, "_t"], "left_semi").groupBy(*keys, line_id).agg(F.count("*").alias("_n"))
     shared = line.join(b, [*keys, "_t"]).groupBy(*keys, line_id, block_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     scored = shared.join(size, [*keys, line_id]).withColumn("score", F.col("shared") / F.col("_n")).drop("_n")
     w = Window.partitionBy(*keys, line_id).orderBy(F.desc("score"), block_id)

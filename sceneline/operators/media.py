@@ -36,12 +36,17 @@ def count_map(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``paths`` (path) rewritten by the longest of ``prefixes`` (source, target) that ends at a folder border; null if none does.
+    """``paths`` (path) rewritten by the longest of ``prefixes`` (source, target) that ends at a folder border; as it is if none does.
 
-    An equality join on the folder prefixes of a path, not a prefix scan.
+    An equality join on the folder prefixes of a path, not a prefix scan.  A path that is not
+    absolute, or leaves its folder by "..", and a source that is given twice are errors.
     """
+    wrong = ~F.col("path").startswith("/") | F.col("path").rlike(r"(?:^|/)\.\.(?:/|$)")
+    paths = paths.withColumn("path", F.when(wrong, F.raise_error(F.concat(F.lit("path outside its folder: "), "path"))).otherwise(F.col("path")))
+    twice = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("source given twice: "), "source"))).otherwise(F.first("target"))
+    prefixes = prefixes.groupBy("source").agg(twice.alias("target"))
     parts = F.split("path", "/")
     heads = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("source"))
     best = heads.join(prefixes, "source").groupBy("path").agg(F.max_by("target", F.length("source")).alias("target"), F.max(F.length("source")).alias("n"))
     rewritten = F.concat("target", F.expr("substring(path, n + 1)"))
-    return paths.join(best, "path", "left").select("path", rewritten.alias("resolved"))
+    return paths.join(best, "path", "left").select("path", F.coalesce(rewritten, "path").alias("resolved"))

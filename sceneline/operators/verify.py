@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,23 +19,41 @@ def normalized(rows: DataFrame, vector: str) -> DataFrame:
     return out.withColumn("x", F.when(F.col("_n") > 0, F.transform("x", lambda e: e / F.col("_n")))).drop("_n", vector)
 
 
-def _against(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str] | None = None) -> DataFrame:
-    """Each query against the whole gallery, gathered into one array row: a gallery is a few hundred vectors of one person."""
-    g = gallery.agg(F.collect_list(F.struct(F.col(vec_id).alias("g_id"), F.col("x").alias("g_x"))).alias("_g"))
-    rows = queries.select(F.col(vec_id).alias("query_id"), F.col("x").alias("_q"), *(keep or [])).join(F.broadcast(g))
-    pairs = rows.select("query_id", *(keep or []), "_q", F.explode("_g").alias("g"))
-    return pairs.where("query_id <> g.g_id").select("query_id", *(keep or []), F.col("g.g_id").alias(vec_id), dot(F.col("_q"), F.col("g.g_x")).alias("cosine"))
+#: Gallery vectors of a block, and queries that meet a block in one partition key, about.
+GALLERY_BLOCK, QUERY_BLOCK = 256, 20_000
+
+
+def _against(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str], best: Callable[[Column], Column]) -> DataFrame:
+    """query_id, ``keep`` and ``best`` of the array (cosine, id) of each query with each block of the gallery.
+
+    The gallery is dealt by a hash into bounded blocks, the queries into as many keys as they
+    need; they meet by an equality join on (block, key), so neither side is gathered or broadcast
+    whole, and only the best of a block goes on.
+    """
+    blocks = max(1, -(-gallery.count() // GALLERY_BLOCK))
+    keys = max(1, -(-queries.count() // QUERY_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    g = gallery.select(F.pmod(F.xxhash64(vec_id), F.lit(blocks)).alias("block"), F.struct(F.col(vec_id).alias("id"), F.col("x").alias("x")).alias("g"))
+    g = g.groupBy("block").agg(F.collect_list("g").alias("g")).withColumn("key", each(keys))
+    q = queries.select(F.col(vec_id).alias("query_id"), F.col("x").alias("_q"), *keep, F.pmod(F.xxhash64(F.col(vec_id), F.lit(1)), F.lit(keys)).alias("key")).withColumn("block", each(blocks))
+    q = q.withColumn("key", F.col("key").cast("int")).withColumn("block", F.col("block").cast("long"))
+    own = F.filter("g", lambda e: e["id"] != F.col("query_id"))
+    scored = F.transform(own, lambda e: F.struct(dot(F.col("_q"), e["x"]).alias("cosine"), e["id"].alias(vec_id)))
+    return q.join(g, ["block", "key"]).select("query_id", *keep, best(scored).alias("best"))
 
 
 def gallery_top_k(queries: DataFrame, gallery: DataFrame, vec_id: str, k: int) -> DataFrame:
-    """query_id, rank, id and cosine of the ``k`` most similar gallery vectors but the query itself."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), vec_id)
-    return _against(queries, gallery, vec_id).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """query_id, rank, id and cosine of the ``k`` most similar gallery vectors but the query itself (cosines equal to 9 digits: the smaller id)."""
+    ordered = lambda a: F.array_sort(F.transform(a, lambda e: F.struct((-F.round(e["cosine"], 9)).alias("o"), e[vec_id].alias(vec_id), e["cosine"].alias("cosine"))))
+    found = _against(queries, gallery, vec_id, [], lambda a: F.slice(ordered(a), 1, k)).select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
+    w = Window.partitionBy("query_id").orderBy("o", vec_id)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("o")
 
 
 def best_similarity(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str]) -> DataFrame:
     """Each query with its largest similarity to the gallery, but to itself."""
-    return _against(queries, gallery, vec_id, keep).groupBy("query_id", *keep).agg(F.max("cosine").alias("similarity"))
+    found = _against(queries, gallery, vec_id, keep, lambda a: F.array_max(F.transform(a, lambda e: e["cosine"])))
+    return found.groupBy("query_id", *keep).agg(F.max("best").alias("similarity")).where("similarity IS NOT NULL")
 
 
 def calibrate(positives: DataFrame, negatives: DataFrame, vec_id: str) -> DataFrame:

@@ -106,11 +106,14 @@ def group_count_map(spark, sf_dir):
     return m.withColumn("counts", F.array_join("counts", ";"))
 
 
-@query(r"""WITH p AS (SELECT DISTINCT split_part(split_part(url, '?', 1), '#', 1) AS path FROM pages), m AS (SELECT 'http:' AS source, '/plain' AS target UNION ALL SELECT 'https:', '/tls' UNION ALL SELECT 'https://m', '/never' UNION ALL SELECT 'https://www.' || 'x', '/x')
-SELECT path, CASE WHEN starts_with(path, 'http:/') THEN '/plain' || substr(path, 6) WHEN starts_with(path, 'https:/') THEN '/tls' || substr(path, 7) END AS resolved FROM p""")
+@query("""WITH p AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN '/other/' || page_id ELSE '/' || replace(split_part(split_part(url, '?', 1), '#', 1), '://', '/') END AS path FROM pages)
+SELECT path, CASE WHEN starts_with(path, '/http/') THEN '/plain' || substr(path, 6) WHEN starts_with(path, '/https/') THEN '/tls' || substr(path, 7) ELSE path END AS resolved FROM p""")
 def path_rewrite(spark, sf_dir):
-    paths = table(spark, sf_dir, "pages").select(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("path")).distinct()
-    prefixes = spark.createDataFrame([("http:", "/plain"), ("https:", "/tls"), ("https://m", "/never")], "source string, target string")
+    """Sources end at folder borders: /https does not rewrite /httpsx, and of two the longer wins."""
+    of_url = F.concat(F.lit("/"), F.replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), F.lit("://"), F.lit("/")))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/other/"), F.col("page_id").cast("string"))).otherwise(of_url)
+    paths = table(spark, sf_dir, "pages").select(path.alias("path")).distinct()
+    prefixes = spark.createDataFrame([("/http", "/plain"), ("/https", "/tls"), ("/https/m", "/never"), ("/oth", "/never")], "source string, target string")
     return mo.longest_prefix(paths, prefixes)
 
 
@@ -238,11 +241,11 @@ def pilot_selection(spark, sf_dir):
 _VEC = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), u AS (SELECT vec_id, label, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x FROM v)"""
 
 
-@query(f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.x, c.x), 9) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id AND c.label = 0 WHERE q.vec_id % 10 = 0),
+@query(f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.x, c.x), 9) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id AND c.label = 0 WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, cosine FROM r WHERE rank <= 3""")
 def knn_cosine(spark, sf_dir):
     u = vf.normalized(table(spark, sf_dir, "embeddings"), "embedding")
-    return vf.gallery_top_k(u.where("vec_id % 10 = 0"), u.where("label = 0"), "vec_id", 3).select("query_id", "rank", "vec_id", F.round("cosine", 9).alias("cosine"))
+    return vf.gallery_top_k(u.where("vec_id % 20 = 0"), u.where("label = 0"), "vec_id", 3).select("query_id", "rank", "vec_id", F.round("cosine", 9).alias("cosine"))
 
 
 _LOO = f"""{_VEC}, g AS (SELECT * FROM u WHERE label = 0), pp AS (SELECT a.vec_id, max(list_dot_product(a.x, b.x)) AS m FROM g a JOIN g b ON a.vec_id <> b.vec_id GROUP BY 1),
@@ -256,10 +259,10 @@ def loo_calibration(spark, sf_dir):
     return c.select(F.round("threshold", 6).alias("threshold"), F.round("least_margin", 6).alias("least_margin"), "gallery")
 
 
-@query(f"""WITH {_VEC}, q AS (SELECT * FROM u WHERE vec_id % 7 = 0 AND label <> 0), s AS (SELECT q.vec_id, q.label, max(list_dot_product(q.x, g.x)) AS m FROM q JOIN u g ON g.label = 0 GROUP BY ALL)
+@query(f"""WITH {_VEC}, q AS (SELECT * FROM u WHERE label <> 0), s AS (SELECT q.vec_id, q.label, max(list_dot_product(q.x, g.x)) AS m FROM q JOIN u g ON g.label = 0 GROUP BY ALL)
 SELECT label, CASE WHEN count(*) FILTER (WHERE m >= 0.4) >= 2 THEN 'verified' WHEN count(*) FILTER (WHERE m >= 0.4) = 1 OR count(*) FILTER (WHERE abs(m - 0.4) <= 0.03) > 0 OR count(*) < 2 THEN 'uncertain' ELSE 'not_verified' END AS decision, count(*) AS usable FROM s GROUP BY label""")
 def verify_decision(spark, sf_dir):
     """A label is a shot, its vectors are its faces."""
     u = vf.normalized(table(spark, sf_dir, "embeddings"), "embedding")
-    best = vf.best_similarity(u.where("vec_id % 7 = 0 AND label <> 0"), u.where("label = 0"), "vec_id", ["label"])
+    best = vf.best_similarity(u.where("label <> 0"), u.where("label = 0"), "vec_id", ["label"])
     return vf.decide(best, "label", threshold=0.4, near=0.03)

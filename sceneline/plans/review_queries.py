@@ -71,12 +71,12 @@ def candidate_intervals(spark, sf_dir):
     return f.withColumn("iv", iv).select("movie_key", "frame", "iv.low", "iv.high", "iv.reason")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS k, l_suppkey AS item, l_linenumber AS o, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS priority, l_extendedprice AS score FROM lineitem WHERE l_orderkey % 5 = 0),
+@query("""WITH r AS (SELECT l_orderkey AS k, l_suppkey AS item, l_linenumber AS o, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS priority, l_extendedprice AS score FROM lineitem),
 f AS (SELECT k, item, priority, score, o, row_number() OVER (PARTITION BY k, item ORDER BY priority, score DESC, o) AS j FROM r), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority, score DESC, o, item) AS q FROM f WHERE j = 1)
 SELECT k, item, priority, CAST(row_number() OVER (PARTITION BY k ORDER BY o, item) AS INTEGER) AS place FROM g WHERE q <= 3""")
 def merge_candidates(spark, sf_dir):
     p = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     r = li.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("item"), F.col("l_linenumber").alias("o"), p.alias("priority"), F.col("l_extendedprice").alias("score"))
     return rv.merge_candidates(r, "k", "item", "priority", "score", "o", 3)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneline.functions import text as tx
 from sceneline.operators import matching as mt
+from sceneline.operators.mining import rule_matches
 from sceneline.operators.subtitles import first_of_each
 from sceneline.plans.analogs import BLOCKS_SQL, blocks, table
 
@@ -30,11 +31,11 @@ def sql_tokens(col: str) -> str:
 
 
 @query(f"""SELECT t AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
-  SELECT doc_id, unnest({sql_tokens("text")}) AS t FROM documents WHERE lang = 'en') GROUP BY t HAVING count(*) >= 5""")
+  SELECT doc_id, unnest({sql_tokens("text")}) AS t FROM documents) GROUP BY t""")
 def token_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
     per = d.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
-    return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 5")
+    return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, t AS (SELECT scene_id, source_order, {sql_tokens("text")} AS k FROM b) SELECT scene_id, source_order, len(k) AS n_tokens,
@@ -61,20 +62,20 @@ def dedupe_normalized(spark, sf_dir):
     return first_of_each(d.select("doc_id", "norm"), ["norm"], ["doc_id"])
 
 
-_UNITS = f"""i AS (SELECT item_id, list_slice({sql_tokens("text")}, 1, 8) AS k FROM benchmark), d AS (SELECT doc_id, {sql_tokens("text")} AS h FROM documents),
+_UNITS = f"""i AS (SELECT item_id, {sql_tokens("text")} AS k FROM benchmark), d AS (SELECT doc_id, {sql_tokens("text")} AS h FROM documents),
 p AS (SELECT item_id, doc_id, unnest(range(0, len(h) - len(k) + 1)) AS s, k, h FROM i, d WHERE len(k) > 0 AND list_has_all(h, k)),
 c AS (SELECT item_id, doc_id, CAST(s AS INTEGER) AS token_start, len(k) AS line_tokens, len(h) AS block_tokens FROM p WHERE list_slice(h, s + 1, s + len(k)) = k)"""
 
 
 def _units(spark, sf_dir):
-    lines = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("movie"), "item_id", F.slice(tx.tokens(F.col("text")), 1, 8).alias("tokens"))
+    lines = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("movie"), "item_id", tx.tokens(F.col("text")).alias("tokens"))
     docs = table(spark, sf_dir, "documents").select(F.lit(1).alias("movie"), "doc_id", tx.tokens(F.col("text")).alias("tokens"))
     return lines.where(F.size("tokens") > 0), docs
 
 
 @query(f"WITH {_UNITS} SELECT item_id, doc_id, token_start, CAST(line_tokens AS INTEGER) AS line_tokens, CAST(block_tokens AS INTEGER) AS block_tokens FROM c")
 def containment_anchors(spark, sf_dir):
-    """The first eight words of a benchmark item in documents."""
+    """Whole benchmark items in documents."""
     lines, docs = _units(spark, sf_dir)
     return mt.containment_join(lines, docs, ["movie"], "item_id", "doc_id").drop("movie")
 
@@ -86,32 +87,53 @@ def unique_anchors(spark, sf_dir):
 
 
 @query(f"""WITH i AS (SELECT DISTINCT item_id, unnest({sql_tokens("text")}) AS t FROM benchmark), b AS (SELECT DISTINCT conv_id * 100 + turn AS block, unnest({sql_tokens("text")}) AS t FROM conversations),
-u AS (SELECT t FROM b GROUP BY t HAVING count(*) <= 60), il AS (SELECT i.* FROM i JOIN u USING (t)), n AS (SELECT item_id, count(*) AS n FROM il GROUP BY item_id),
+il AS (SELECT * FROM i WHERE t IN (SELECT t FROM b)), n AS (SELECT item_id, count(*) AS n FROM il GROUP BY item_id),
 s AS (SELECT item_id, block, count(*) AS shared FROM il JOIN b USING (t) GROUP BY ALL HAVING count(*) >= 2),
 r AS (SELECT *, shared / n AS score, row_number() OVER (PARTITION BY item_id ORDER BY shared / n DESC, block) AS rank FROM s JOIN n USING (item_id))
 SELECT item_id, block, shared, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def lexical_rescue_topk(spark, sf_dir):
     lines = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("movie"), "item_id", tx.tokens(F.col("text")).alias("tokens"))
     turns = table(spark, sf_dir, "conversations").select(F.lit(1).alias("movie"), F.expr("conv_id * 100 + turn").alias("block"), tx.tokens(F.col("text")).alias("tokens"))
-    found = mt.overlap_top_k(lines, turns, ["movie"], "item_id", "block", "tokens", 5, frequent=60)
+    found = mt.overlap_top_k(lines, turns, ["movie"], "item_id", "block", "tokens", 5)
     return found.select("item_id", "block", "shared", F.round("score", 6).alias("score"), "rank")
 
 
-#: Fixed rules of the evidence table: id, category, pattern, weight.
-RULES = (("r_the", "article", r"\bthe\b", 0.45), ("r_that", "pronoun", r"\bthat\b", 0.30), ("r_shout", "voice", r"[!]", 0.25), ("r_digit", "figure", r"[0-9]", 0.20))
+#: The evidence rules (id, category, pattern, matched without regard to case).
+RULES = (
+    ("emotion_tears_v1", "emotion", r"\b(?:cr(?:y|ies|ied|ying)|sob(?:s|bed|bing)?|weep(?:s|ing)?|tearful|in tears)\b"),
+    ("emotion_laughter_v1", "emotion", r"\b(?:laugh(?:s|ed|ing)?|chuckl(?:e|es|ed|ing)|giggl(?:e|es|ed|ing)|smil(?:e|es|ed|ing)|grin(?:s|ned|ning)?)\b"),
+    ("emotion_distress_v1", "emotion", r"\b(?:angry|furious|upset|terrified|frightened|afraid|panicked|devastated|nervous)\b"),
+    ("reaction_v1", "reaction", r"\b(?:react(?:s|ed|ing)?|flinch(?:es|ed|ing)?|freeze(?:s|ing)?|realiz(?:e|es|ed|ing)|notic(?:e|es|ed|ing)|stare(?:s|d|ing)?|gasp(?:s|ed|ing)?)\b"),
+    ("silence_pause_v1", "silence", r"\b(?:silence|silent|pause(?:s|d)?|a beat|hesitat(?:e|es|ed|ing)|wait(?:s|ed|ing)?)\b"),
+    ("physical_contact_v1", "physical_action", r"\b(?:grab(?:s|bed|bing)?|slap(?:s|ped|ping)?|punch(?:es|ed|ing)?|hit(?:s|ting)?|kiss(?:es|ed|ing)?|hug(?:s|ged|ging)?)\b"),
+    ("physical_expression_v1", "physical_action", r"\b(?:trembl(?:e|es|ed|ing)|shak(?:e|es|ing)|nod(?:s|ded|ding)?|pace(?:s|d|ing)|kneel(?:s|ed|ing)?)\b"),
+    ("conflict_v1", "conflict", r"\b(?:argu(?:e|es|ed|ing)|shout(?:s|ed|ing)?|yell(?:s|ed|ing)?|scream(?:s|ed|ing)?|threaten(?:s|ed|ing)?|fight(?:s|ing)?)\b"),
+)
+#: The turns hold invented words that no rule meets, so each turn is read with a line of direction
+#: from this list, chosen by its place.
+LINES = ("She laughs and grabs his arm.", "A long silence. He waits.", "They argue; he is furious.", "He nods.", "Nobody moves.", "She notices the door, trembling, in tears.", "He shouts")
+#: Fixed weights: evidence of an action block, and of a spoken one.
+ACTION_WEIGHT, SPOKEN_WEIGHT = 0.45, 0.25
+
+
+_DIRECTED = f"""{BLOCKS_SQL}, t AS (SELECT scene_id, source_order, speaker, block_type, coalesce(text, '') || ' ' || list_extract([{", ".join(f"'{x}'" for x in LINES)}], CAST((scene_id * 5 + source_order) % {len(LINES)} + 1 AS BIGINT)) AS line FROM b),
+e AS ({" UNION ALL ".join(f"SELECT scene_id, source_order, '{r}' AS rule_id, '{c}' AS category, CAST(CASE WHEN block_type = 'action' THEN {ACTION_WEIGHT} ELSE {SPOKEN_WEIGHT} END AS DOUBLE) AS weight FROM t WHERE regexp_matches(line, '{p}', 'i')" for r, c, p in RULES)})"""
 
 
-@query(f"WITH {BLOCKS_SQL}, " + "e AS (" + " UNION ALL ".join(f"SELECT scene_id, source_order, '{r}' AS rule_id, '{c}' AS category, CAST({w} AS DOUBLE) AS weight FROM b WHERE regexp_matches(lower(text), '{p}')" for r, c, p, w in RULES) + ") SELECT * FROM e")
+@query(f"WITH {_DIRECTED} SELECT * FROM e")
 def rule_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir)
 
 
 def _evidence(spark, sf_dir):
-    rules = F.array(*[F.when(F.lower("text").rlike(p), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(w).alias("weight"))) for r, c, p, w in RULES])
-    return blocks(spark, sf_dir).select("scene_id", "source_order", F.explode(F.array_compact(rules)).alias("e")).select("scene_id", "source_order", "e.*")
+    direction = F.element_at(F.array(*map(F.lit, LINES)), ((F.col("scene_id") * 5 + F.col("source_order")) % len(LINES) + 1).cast("int"))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), direction)
+    found = rule_matches(line, [(r, c, f"(?i){p}") for r, c, p in RULES])
+    weight = F.when(F.col("block_type") == "action", ACTION_WEIGHT).otherwise(SPOKEN_WEIGHT).alias("weight")
+    return blocks(spark, sf_dir).select("scene_id", "source_order", weight, F.explode(found).alias("e")).select("scene_id", "source_order", "e.*", "weight")
 
 
-@query(f"WITH {BLOCKS_SQL}, " + "e AS (" + " UNION ALL ".join(f"SELECT scene_id, '{c}' AS category, CAST({w} AS DOUBLE) AS weight FROM b WHERE regexp_matches(lower(text), '{p}')" for r, c, p, w in RULES) + """),
+@query(f"""WITH {_DIRECTED},
 m AS (SELECT scene_id, category, max(weight) AS w FROM e GROUP BY ALL), sp AS (SELECT scene_id, count(DISTINCT speaker) AS n FROM b GROUP BY ALL), s AS (SELECT scene_id, sum(w) AS w FROM m GROUP BY ALL)
 SELECT sp.scene_id, round(least(1.0e0, coalesce(w, 0) + CASE WHEN n >= 2 THEN 0.2 ELSE 0 END), 4) AS semantic_score,
   CASE WHEN least(1.0, coalesce(w, 0) + CASE WHEN n >= 2 THEN 0.2 ELSE 0 END) >= 0.8 THEN 'high' WHEN least(1.0, coalesce(w, 0) + CASE WHEN n >= 2 THEN 0.2 ELSE 0 END) >= 0.45 THEN 'medium' ELSE 'none' END AS band FROM sp LEFT JOIN s USING (scene_id)""")
@@ -173,7 +195,7 @@ def fuzzy_best_block(spark, sf_dir):
     """Best block of a benchmark item by the fuzzy score, among its candidates by shared words."""
     lines = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("movie"), "item_id", tx.tokens(F.col("text")).alias("tokens"))
     turns = table(spark, sf_dir, "conversations").select(F.lit(1).alias("movie"), F.expr("conv_id * 100 + turn").alias("block"), tx.tokens(F.col("text")).alias("tokens"))
-    c = mt.overlap_top_k(lines, turns, ["movie"], "item_id", "block", "tokens", 5, frequent=60)
+    c = mt.overlap_top_k(lines, turns, ["movie"], "item_id", "block", "tokens", 5)
     pairs = c.join(lines.withColumnRenamed("tokens", "a"), ["movie", "item_id"]).join(turns.withColumnRenamed("tokens", "b"), ["movie", "block"])
     scored = pairs.withColumn("fuzzy", F.round(tx.fuzzy_score("a", "b"), 6))
     w = Window.partitionBy("item_id").orderBy(F.desc("fuzzy"), "block")

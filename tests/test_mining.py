@@ -1,8 +1,10 @@
 """Mining operators on a few shots."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sceneline.functions import media as fm
 from sceneline.operators import intervals, media, mining, verify
 
 
@@ -53,7 +55,42 @@ def test_boxes_and_paths(spark):
     assert [(r["face"], r["other"]) for r in got] == [(1, 7)]
     paths = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("/x",)], "path string")
     maps = spark.createDataFrame([("/a", "/A"), ("/a/b", "/B")], "source string, target string")
-    assert {r["path"]: r["resolved"] for r in media.longest_prefix(paths, maps).collect()} == {"/a/b/c": "/B/c", "/a/bc": "/A/bc", "/x": None}
+    assert {r["path"]: r["resolved"] for r in media.longest_prefix(paths, maps).collect()} == {"/a/b/c": "/B/c", "/a/bc": "/A/bc", "/x": "/x"}
+
+
+    for wrong, sources in (("x/y", maps), ("/a/../b", maps), ("/a/b", maps.union(maps))):
+        with pytest.raises(Exception, match="outside its folder|given twice"):
+            media.longest_prefix(spark.createDataFrame([(wrong,)], "path string"), sources).collect()
+
+
+def test_file_categories_and_keys(spark):
+    names = {"a/b.JPG": "IMAGE_ASSET", "x.nfo": "RELEASE_METADATA", "x.sfv": "RELEASE_METADATA", "x.torrent": "RELEASE_METADATA", "x.7z": "ARCHIVE", "x.scr": "EXECUTABLE_OR_SCRIPT", "x.sh": "UNKNOWN", "x.tar": "UNKNOWN", ".txt": "UNKNOWN", "a.zip/b": "UNKNOWN"}
+    df = spark.createDataFrame(list(names.items()), "name string, want string")
+    assert df.where(fm.file_category(F.col("name")) != F.col("want")).count() == 0
+    keys = {"a/TT1234567 x.mkv": "tt1234567", "tt7654321_b/part.2.mkv": "tt7654321", "Some Film (2001)/Disc 1.mkv": "some_film_2001__disc_1", "ﬁlm/№1.mkv": "film__no1", ".mkv": "mkv"}
+    df = spark.createDataFrame(list(keys.items()), "path string, want string")
+    assert [(r["path"], r["key"]) for r in df.withColumn("key", fm.movie_key(F.col("path"))).collect() if r["key"] != r["want"]] == []
+    assert spark.createDataFrame([("日本.mkv",)], "path string").select(fm.movie_key(F.col("path")).alias("k")).first()["k"].startswith("movie_")
+
+
+def test_gallery_in_blocks(spark, monkeypatch):
+    """Blocks and keys of any size give the plain result, by an equality join; repeated vectors are ties."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (60, 6))
+    x[10:20] = x[10]
+    u = verify.normalized(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, e array<double>"), "e")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = sorted((i, k, j) for i in range(60) for k, (_, j) in enumerate(sorted((-round(float(x[i] @ x[j]), 9), j) for j in range(0, 60, 2) if j != i)[:3], 1))
+    for block, key in ((256, 20_000), (7, 9)):
+        monkeypatch.setattr(verify, "GALLERY_BLOCK", block)
+        monkeypatch.setattr(verify, "QUERY_BLOCK", key)
+        top = verify.gallery_top_k(u, u.where("vec_id % 2 = 0"), "vec_id", 3)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in top.collect()) == want
+        best = verify.best_similarity(u, u.where("vec_id % 2 = 0"), "vec_id", [])
+        assert all(abs(r["similarity"] - max(float(x[r["query_id"]] @ x[j]) for j in range(0, 60, 2) if j != r["query_id"])) < 1e-9 for r in best.collect())
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert verify.gallery_top_k(u, u.limit(0), "vec_id", 3).count() == 0
 
 
 def test_interval_join_is_the_plain_join(spark):
