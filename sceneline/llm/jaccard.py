@@ -50,8 +50,8 @@ BUFFER = 500_000
 RANGE = 150_000
 #: Nodes of a block when frequent signatures are compared.
 BLOCK = 1024
-#: Rounds in which the blocks of frequent signatures are contracted, and rows of such blocks worked on together, about.
-ROUNDS, PACK = 2, 20_000
+#: Rows of blocks that are worked on together, about.
+PACK = 20_000
 #: Frequent signatures that a node carries, its smallest, by which a pair is given in one of those it shares.
 CARRIED = 16
 #: For the cost model: share of a text's tokens that are common, and share of the sets that have one of them.
@@ -481,9 +481,10 @@ class Join:
         sigs = frequent.join(checked_broadcast(wide), "sig", "left").groupBy("node").agg(F.array_sort(F.collect_list(of)).alias("sigs"))
         return materialize(self.nodes.select("node", "n", "bits").join(sigs, "node"), "jac-members")
 
-    def compared(self, members: DataFrame, root: DataFrame, contract: bool) -> DataFrame:
-        """Pairs (a, b) of different components that may link, from the blocks of the frequent signatures."""
-        rows = members.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def compared(self, members: DataFrame, root: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b) of different components that may link, from the blocks of the frequent signatures; without ``root`` those of forests."""
+        contract = root is None
+        rows = members.withColumn("root", F.col("node")) if contract else members.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         carried = F.slice(F.transform("sigs", lambda s: s["sig"]), 1, CARRIED) if not contract else F.array().cast("array<long>")
         rows = rows.withColumn("carried", carried).withColumn("s", F.explode("sigs")).drop("sigs").select("*", "s.*")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -503,15 +504,13 @@ class Join:
     def links(self) -> DataFrame:
         """Links that connect the nodes as all links do."""
         found = self.candidates()
-        links = self.verified(found.where("kind = 0").select("a", "b"))
+        pairs = found.where("kind = 0").select("a", "b")
         self.rows = found.where("kind = 1").count()
         if not self.rows:
-            return links
+            return self.verified(pairs)
         members = self.members(found)
-        for step in range(ROUNDS + 1):
-            more = self.compared(members, materialize(components(links), "jac-roots"), contract=step < ROUNDS)
-            links = materialize(links.union(self.verified(more)), "jac-links")
-        return links
+        first = self.verified(pairs.union(self.compared(members)))
+        return first.union(self.verified(self.compared(members, components(first))))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sceneline.llm import jaccard, shingles
@@ -94,6 +95,53 @@ def test_edges(spark):
     assert kept.count() == 5
 
 
+def test_link_through_rows_without_id(spark):
+    """Texts a - b - c, of which only b links with both others, and b has no id."""
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w), " ".join([*w[:190], *[f"x{i}" for i in range(10)]]), " ".join([*w[:180], *[f"y{i}" for i in range(10)], *[f"x{i}" for i in range(10)]])]
+    assert [c for _, _, c in brute(list(enumerate(texts)), 3, 88, 100)] == [0, 0, 0]
+    assert [c for _, _, c in brute([(0, texts[0]), (2, texts[2])], 3, 88, 100)] == [0, 2]
+    docs = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.join_components(docs, 3, 88, 100).collect())
+    assert got == [(0, 1), (0, 1), (1, 1), (3, 1)]
+
+
+def near_copies(n, edits, seed=0, words=120):
+    rng = np.random.default_rng(seed)
+    base = shingles.mix(rng.integers(1, 2**60, words).astype(np.uint64))
+    sets = []
+    for _ in range(n):
+        s = base.copy()
+        at = rng.choice(words, edits, replace=False)
+        s[at] = shingles.mix(rng.integers(1, 2**60, edits).astype(np.uint64))
+        sets.append(s)
+    return sets
+
+
+@pytest.mark.parametrize(("n", "edits"), [(200, 3), (1000, 3), (200, 7), (1000, 7)])
+def test_pairs_of_a_group_grow_with_its_size(n, edits):
+    """A block of near copies that all link, or hardly any, gives no more pairs than it has nodes."""
+    sets = near_copies(n, edits)
+    at = np.repeat(np.arange(n), [len(s) for s in sets])
+    maps = shingles.bitmaps(at, np.concatenate(sets), np.array([len(s) for s in sets]))
+    rows = pd.DataFrame({"sig": 5, "lo": 0, "hi": 0, "block": 0, "node": np.arange(n), "root": np.arange(n), "n": 120, "bits": maps, "carried": [[]] * n})
+    forest = jaccard.CompareBlocks(90, 100, True)(rows)
+    every = jaccard.CompareBlocks(90, 100, False)(rows)
+    assert len(forest) < n
+    # The forest connects what all pairs connect, so with its roots nothing is left to compare.
+    root = np.arange(n)
+    for _ in range(n):
+        low = np.minimum(root[forest["a"]], root[forest["b"]])
+        new = root.copy()
+        np.minimum.at(new, forest["a"], low)
+        np.minimum.at(new, forest["b"], low)
+        if (new == root).all():
+            break
+        root = new
+    assert (root[every["a"]] == root[every["b"]]).all()
+    assert len(jaccard.CompareBlocks(90, 100, False)(rows.assign(root=root))) == 0
+
+
 @pytest.mark.parametrize("more", [0, 3, 30])
 @pytest.mark.parametrize("twos", [0, 1, 3])
 def test_pigeonhole(twos, more):
