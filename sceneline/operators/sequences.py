@@ -244,6 +244,14 @@ def greedy_packing(rows: DataFrame, key: str, order: str, cost: str, most_cost:
     return checked.join(packed, [key, order])
 
 
+def frame_times(rows: DataFrame, key: str, frame: str, pts: str, variable: str, rate: float) -> DataFrame:
+    """``rows`` with starts and ends (exclusive): of the timeline where ``variable`` holds, else frame / rate; the last frame of a timeline lasts 1 / rate."""
+    after = F.lead(pts).over(Window.partitionBy(key).orderBy(frame))
+    starts = F.when(F.col(variable), F.col(pts)).otherwise(F.col(frame) / rate)
+    ends = F.when(F.col(variable), F.coalesce(after, F.col(pts) + 1 / rate)).otherwise((F.col(frame) + 1) / rate)
+    return rows.withColumns({"starts": starts, "ends": ends})
+
+
 def split_long(events: DataFrame, key: list[str], most: float) -> DataFrame:
     """Members (key, index, start, end, score) with part: an event longer than ``most`` is cut where the smaller neighbouring score is least.
 

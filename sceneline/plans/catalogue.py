@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sceneline.plans import report_queries, review_queries, shot_queries, star_queries, text_queries
+from sceneline.plans import report_queries, resolution_queries, review_queries, shot_queries, star_queries, text_queries
 
-_PARTS = [shot_queries, text_queries, report_queries, review_queries, star_queries]
+_PARTS = [shot_queries, text_queries, report_queries, review_queries, resolution_queries, star_queries]
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
