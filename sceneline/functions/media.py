@@ -126,6 +126,25 @@ def movie_key(path: Column) -> Column:
     return F.coalesce(found, F.when(key != "", key), F.concat(F.lit("movie_"), F.substring(F.sha2(path, 256), 1, 12)))
 
 
+def title_of(path: Column) -> Column:
+    """Title from a file name: without id and extension, words parted where capitals begin."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    plain = F.regexp_replace(stem, r"(?i)^tt[0-9]{7,8}(?:[_. -]+)?", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "(?<=[a-z])(?=[A-Z])", " "), "[_.]+", " "))
+
+
+def identity(relpath: Column) -> list[Column]:
+    """movie_id and folder_title: the first title id in the path below the input folder, else the name of the folder."""
+    folder = F.element_at(F.split(relpath, "/"), -2)
+    found = F.lower(F.regexp_extract(relpath, r"(?i)(?:^|[^a-z0-9])(tt[0-9]{7,10})(?:[_ .-]|/|$)", 1))
+    return [F.when(found != "", found).otherwise(folder).alias("movie_id"), folder.alias("folder_title")]
+
+
+def standardized(path: Column) -> Column:
+    """Where the standardized file of a source goes: beside it."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("_standardized.mp4"))
+
+
 def canonical_name(key: Column, width: Column, height: Column, fps: Column, codec: Column, depth: Column, hdr: Column, ext: Column) -> Column:
     """``key.1920x1080.23.976fps.h264.8bit.sdr.mkv``; trailing zeros of the rate are cut."""
     rate = F.regexp_replace(F.format_string("%.3f", fps), r"\.?0+$", "")

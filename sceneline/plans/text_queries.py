@@ -202,7 +202,7 @@ def fuzzy_best_block(spark, sf_dir):
     return scored.withColumn("k", F.row_number().over(w)).where("k = 1").select("item_id", "block", "fuzzy")
 
 
-@query()
+@query(r"SELECT item_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?')) AS INTEGER) AS n FROM benchmark")
 def folded_token_counts(spark, sf_dir):
     """NFKC and case folding, by an Arrow UDF."""
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(tx.folded_tokens("text")).alias("n"))
