@@ -6,9 +6,12 @@ by an explicit position, so work spreads over keys and no global sort is made.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
@@ -99,21 +102,47 @@ def bounded_islands(rows: DataFrame, key: str, order: list[str], at: str, gap: f
     return out.withColumn("chunk", F.floor(n / most))
 
 
+class OrderedFold:
+    """For ``mapInPandas`` over rows sorted by key and order: a value for each row from what came before it within its key.
+
+    ``start`` makes the state of a key, ``step(state, *values)`` gives the next state and the value
+    of the row.  Only the state is held, so a key of any length streams through.
+    """
+
+    def __init__(self, key: str, inputs: list[str], out: str, start, step):
+        self.key, self.inputs, self.out, self.start, self.step = key, inputs, out, start, step
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            values = []
+            for k, *v in zip(batch[self.key], *(batch[c] for c in self.inputs), strict=True):
+                if state is None or k != key:
+                    key, state = k, self.start()
+                state, value = self.step(state, *v)
+                values.append(value)
+            yield batch.assign(**{self.out: pd.Series(values, index=batch.index, dtype="int32")})
+
+
+def ordered_fold(rows: DataFrame, key: str, order: list[str], inputs: list[str], out: str, start, step) -> DataFrame:
+    """``rows`` with the integer ``out`` of a fold over the rows of each key in order; one shuffle by key."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())])
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(OrderedFold(key, inputs, out, start, step), schema)
+
+
 def span_capped_sessions(rows: DataFrame, key: str, at: str, gap: float, span: float) -> DataFrame:
     """``rows`` with session: a row joins the open session if it is at most ``gap`` after the last and ``span`` after the first.
 
     The span rule depends on where the session began, so it is a fold over the ordered times of a key.
     """
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_t"))
 
-    def step(acc: Column, t: Column) -> Column:
-        fits = (t - acc["last"] <= gap) & (t - acc["first"] <= span)
-        first = F.when(fits, acc["first"]).otherwise(t)
-        return F.struct(first.alias("first"), t.alias("last"), F.when(fits, acc["starts"]).otherwise(F.array_append(acc["starts"], t)).alias("starts"))
+    def step(state, t):
+        first, last, session = state
+        if first is None or t - last > gap or t - first > span:
+            first, session = t, session + 1
+        return (first, t, session), session
 
-    none = F.struct(F.lit(float("-inf")).alias("first"), F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("starts"))
-    starts = times.select(key, F.aggregate("_t", none, step, lambda a: a["starts"]).alias("_starts"))
-    return rows.join(starts, key).withColumn("session", F.size(F.filter("_starts", lambda s: s <= F.col(at)))).drop("_starts")
+    return ordered_fold(rows, key, [at], [at], "session", lambda: (None, None, 0), step)
 
 
 def bridged_sessions(rows: DataFrame, key: str, index: str, selected: str, group: str, start: str, end: str, bridge: float) -> DataFrame:
@@ -220,28 +249,21 @@ def stratified_pilot(rows: DataFrame, cell: str, bucket: str, order: list[str],
 
 
 def greedy_packing(rows: DataFrame, key: str, order: str, cost: str, most_cost: int, most_rows: int) -> DataFrame:
-    """``rows`` with pack: rows in order go to the open pack until its cost or number would pass the limit.
+    """``rows`` with pack (from 0): rows in order go to the open pack until its cost or number would pass the limit.
 
     What fits depends on the whole pack before it: a fold over the ordered rows of a key.  A
     single row above the limit is an error.
     """
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).alias("c")))).alias("_r"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fits = (acc["cost"] + r["c"] <= most_cost) & (acc["rows"] < most_rows)
-        pack = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        return F.struct(
-            (F.when(fits, acc["cost"]).otherwise(F.lit(0)) + r["c"]).cast("long").alias("cost"),
-            F.when(fits, acc["rows"] + 1).otherwise(F.lit(1)).alias("rows"),
-            pack.alias("pack"),
-            F.array_append(acc["out"], F.struct(r["o"].alias("o"), pack.alias("pack"))).alias("out"),
-        )
-
-    order_type = rows.schema[order].dataType.simpleString()
-    none = F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0).alias("rows"), F.lit(0).alias("pack"), F.array().cast(f"array<struct<o:{order_type},pack:int>>").alias("out"))
-    packed = arrays.select(key, F.explode(F.aggregate("_r", none, step, lambda a: a["out"])).alias("p")).select(key, F.col("p.o").alias(order), F.col("p.pack").alias("pack"))
-    checked = rows.withColumn(cost, F.when(F.col(cost) > most_cost, F.raise_error(F.lit("a single row is above the limit"))).otherwise(F.col(cost)))
-    return checked.join(packed, [key, order])
+
+    def step(state, c):
+        total, n, pack = state
+        if c > most_cost:
+            raise ValueError("a single row is above the limit")
+        if total + c > most_cost or n >= most_rows:
+            total, n, pack = 0, 0, pack + 1
+        return (total + c, n + 1, pack), pack
+
+    return ordered_fold(rows, key, [order], [cost], "pack", lambda: (0, 0, 0), step)
 
 
 def frame_times(rows: DataFrame, key: str, frame: str, pts: str, variable: str, rate: float) -> DataFrame:

@@ -1,12 +1,14 @@
 """Every query with SQL gives DuckDB's rows on the small tables; the others have tests of their own."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
+from sceneline.functions import text as tx
 from sceneline.operators import sequences as sq
-from sceneline.plans import catalogue
+from sceneline.plans import catalogue, script_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,10 +36,77 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(want.columns)
     assert canonical(df.columns, df.collect()) == canonical(want.columns, want.fetchall())
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+def plain_pilot(rows, target):
+    cells = {}
+    for doc, cell, bucket in rows:
+        cells.setdefault(cell, {}).setdefault(bucket, []).append(doc)
+    quota = sq.proportional_quotas({c: sum(map(len, b.values())) for c, b in sorted(cells.items())}, target)
+    out = set()
+    for c, n in quota.items():
+        turns = sorted((i, b, d) for b, docs in cells[c].items() for i, d in enumerate(sorted(docs)))
+        out |= {d for _, _, d in turns[:n]}
+    return out
+
+
+def test_pilot_selection(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source").where("lang IS NOT NULL AND source IS NOT NULL").collect()]
+    got = catalogue.QUERIES["pilot_selection"](spark, SF).where("lang IS NOT NULL AND source IS NOT NULL")
+    assert {r["doc_id"] for r in got.collect()} == plain_pilot(rows, 60)
+
+
+def test_approximate_sketches(spark):
+    got = {r["event_type"]: r for r in catalogue.QUERIES["approximate_sketches"](spark, SF).collect()}
+    exact = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type", "user_id", "value").collect():
+        exact.setdefault(r["event_type"], []).append((r["user_id"], r["value"]))
+    assert set(got) == set(exact)
+    for kind, rows in exact.items():
+        users, values = len({u for u, _ in rows}), sorted(v for _, v in rows)
+        assert abs(got[kind]["users"] - users) <= 0.15 * users + 1
+        for q, v in zip((0.5, 0.9), got[kind]["quantiles"], strict=True):
+            low, high = sum(x < v for x in values) / len(values), sum(x <= v for x in values) / len(values)
+            assert low - 0.01 <= q <= high + 0.01
+
+
+def test_fuzzy_best_block(spark):
+    words = lambda t: [w.lower() for w in re.findall(r"\w+(?:'\w+)?", t.replace("’", "'"))]
+    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    turns = {r["conv_id"] * 100 + r["turn"]: words(r["text"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {r["item_id"]: (r["block"], r["fuzzy"]) for r in catalogue.QUERIES["fuzzy_best_block"](spark, SF).collect()}
+    for item, a in items.items():
+        shared = sorted((-len(set(a) & set(b)), block) for block, b in turns.items() if len(set(a) & set(b)) >= 2)[:5]
+        want = max(((round(tx.fuzzy(a, turns[block]), 6), -block) for _, block in shared), default=None)
+        assert got.get(item) == (None if want is None else (-want[1], want[0]))
+
+
+def test_split_long_events(spark):
+    """Every event keeps its rows; no part is above the limit but single rows; parts are runs; cuts are where they should be."""
+    rows = {}
+    for r in catalogue.QUERIES["split_long_events"](spark, SF).collect():
+        rows.setdefault((r["movie_key"], r["event"]), []).append((r["index"], r["start"], r["end"], r["score"], r["part"]))
+
+    def cut(own):
+        if max(r[2] for r in own) - own[0][1] <= 864000.0 or len(own) == 1:
+            return [own]
+        middle = (own[0][1] + own[-1][2]) / 2
+        at = min(range(1, len(own)), key=lambda i: (min(own[i - 1][3], own[i][3]), abs(own[i][1] - middle), i))
+        return cut(own[:at]) + cut(own[at:])
+
+    assert rows
+    for own in rows.values():
+        own.sort()
+        assert [r[4] for r in own] == [k for k, part in enumerate(cut(own)) for _ in part]
+
+
+#: Queries without SQL, and the test that has a plain version of each.
+TESTED = {"pilot_selection", "approximate_sketches", "fuzzy_best_block", "split_long_events", "cursor_retrieval", "align_lines"}
+
+
+def test_all_queries_are_tested(spark):
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == TESTED
+    got = catalogue.QUERIES["align_lines"](spark, SF)
+    lines = script_queries.script(spark, SF)[0]
+    assert got.count() == lines.count() and got.where("status = 'auto_aligned'").count() > 0.5 * lines.count()
 
 
 def test_entry(spark):
