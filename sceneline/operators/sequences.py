@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
 AFTER = (1, Window.unboundedFollowing)
+#: Cells of a stratified sample, at most: their quotas are made on the driver and broadcast.
+MOST_CELLS = 10_000
 
 
 def ordinal(key: str | list[str], *order: str | Column) -> Column:
@@ -239,7 +241,10 @@ def proportional_quotas(counts: dict[str, int], target: int) -> dict[str, int]:
 
 def stratified_pilot(rows: DataFrame, cell: str, bucket: str, order: list[str], target: int) -> DataFrame:
     """``target`` rows with a quota for each cell, within a cell one of each bucket in turn; the rest is filled in order."""
-    counts = {r[cell]: r["count"] for r in rows.groupBy(cell).count().orderBy(cell).collect()}  # a row for each cell
+    found = rows.groupBy(cell).count().orderBy(cell).limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells to sample from")
+    counts = {r[cell]: r["count"] for r in found}
     quotas = proportional_quotas(counts, target)
     spark = rows.sparkSession
     table = spark.createDataFrame(list(quotas.items()) or [(None, 0)], f"{cell} {rows.schema[cell].dataType.simpleString()}, quota int")
