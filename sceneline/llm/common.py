@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneline.sources.scratch import scratch_path, scratch_root
+
 #: Rows up to which a table of ids may be broadcast (about 16 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -22,16 +23,6 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or "/tmp/sceneline-scratch"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
@@ -50,12 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``small`` with a broadcast hint if it has no more than ``max_rows`` rows, else as it is.
 
+    With ``weight``, a row counts as many times: for rows with arrays, their elements.
     ``small`` should already be materialised: it is counted here.
     """
-    return F.broadcast(small) if small.count() <= max_rows else small
+    n = small.agg(F.coalesce(F.sum(weight if weight is not None else F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(small) if n <= max_rows else small
 
 
 def trim() -> None:

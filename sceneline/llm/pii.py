@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneline.llm.common import materialize
+from sceneline.llm.common import checked_broadcast, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans: the base kinds, and those that only the method finds.
@@ -56,6 +56,8 @@ PRECISION = 0.98
 #: A kind is only added to if so many held-out candidates are above its threshold.
 LEAST_CALIBRATED = 20
 _CONTEXT = 32
+#: Texts with spans, and spans, up to which they are broadcast for redaction (about 50 MB).
+BROADCAST_CUTS = 400_000
 
 _PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 
@@ -359,7 +361,7 @@ def redact(docs: DataFrame) -> DataFrame:
     cut = F.when(F.col("s.start") >= F.col("from"), F.struct("from", (F.col("s.start") - F.col("from")).alias("n"), F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("by")))
     hit = materialize(span.groupBy("key").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("s.end").alias("last")), "pii-hit")
     rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", key(F.col("row.text")))
-    rows = rows.join(hit, "key", "left")
+    rows = rows.join(checked_broadcast(hit, BROADCAST_CUTS, 1 + F.size("cuts")), "key", "left")
     part = lambda a, n: F.substring(F.col("row.text"), a.cast("int") + 1, n.cast("int"))
     parts = F.array_join(F.transform("cuts", lambda c: F.concat(part(c["from"], c["n"]), c["by"])), "")
     done = F.concat(parts, F.substring(F.col("row.text"), F.col("last").cast("int") + 1, F.length("row.text")))

@@ -80,3 +80,21 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept THEN 're
   CASE WHEN page_id < kept THEN kept END AS refers_to
 FROM p LEFT JOIN k USING (payload_digest)
 """
+
+ORACLE_SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM d
+), e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), two AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (SELECT r, doc_id AS m FROM s UNION SELECT two.b, reach.m FROM reach JOIN two ON two.a = reach.r
+), c AS (SELECT r, min(m) AS component_id FROM reach GROUP BY r)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (r)
+"""
