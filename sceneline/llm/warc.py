@@ -42,20 +42,24 @@ VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 _MARK = (END + VERSION[:8]).encode()
 
 
-def cut(payload: bytes, size: int) -> Iterator[bytes]:
-    """Pieces of at most ``size`` bytes, not within a character and without what parts two records."""
+def cut(payload: bytes | memoryview, size: int) -> Iterator[bytes]:
+    """Pieces of at most ``size`` bytes, not within a character and without what parts two records.
+
+    No more than a piece of the payload is copied at a time.
+    """
     at, n = 0, len(payload)
     while True:
         end = min(n, at + size)
         while end < n and end > at + 1 and payload[end] & 0xC0 == 0x80:
             end -= 1
+        window = bytes(payload[at : min(n, end + len(_MARK))])
         # After the empty line of the header, the mark could be made up by the rest of it.
-        start = next((k for k in (4, 2) if payload.startswith(_MARK[k:], at)), None)
+        start = next((k for k in (4, 2) if window.startswith(_MARK[k:])), None)
         if start is not None:
             end = min(end, at + 8 - start)
-        elif (found := payload.find(_MARK, at, min(n, end + len(_MARK)))) >= 0:
-            end = min(end, found + 8)  # before the version's slash
-        yield payload[at:end]
+        elif (found := window.find(_MARK)) >= 0:
+            end = min(end, at + found + 8)  # before the version's slash
+        yield window[: end - at]
         at = end
         if at >= n:
             return
@@ -85,7 +89,7 @@ class Chunks:
                     rows.append((page_id, 0, 0, hashlib.sha1().hexdigest(), self.record("revisit", name, 1, None, head, b"")))
                     continue
                 so_far, sha = 0, hashlib.sha1()
-                payload = (html[i].as_py() or "").encode("utf-8", "surrogatepass")
+                payload = memoryview(html[i].as_buffer() if html[i].is_valid else b"")  # the bytes of the batch, not a copy
                 for number, chunk in enumerate(cut(payload, self.size), 1):
                     so_far += len(chunk)
                     sha.update(chunk)
