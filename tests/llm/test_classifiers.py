@@ -101,3 +101,19 @@ def test_gradient():
     m = quality.train(x, sizes, y, np.ones(200))
     s = m.forward(x, sizes)["s"]
     assert ((s > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    """An id with ten thousand rows comes to the driver once."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, plain = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: seen.append(plain(self)) or seen[-1])
+    rows = [(1, f"the cat and the dog {i % 100}", "en") for i in range(10_000)] + [(i, "le chat et le chien", "fr") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert set(langid.fit(docs).langs) == {"en", "fr"}
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, quality int")
+    assert quality.fit(docs, labels).p
+    lang, marked = seen[0], seen[1]
+    assert (lang["whole"] & (lang["doc"] == "1")).sum() == 1 and 30 < lang["doc"].nunique() <= 39
+    assert (marked["doc_id"] == 1).sum() == 1 and 30 < len(marked) <= 39
