@@ -537,8 +537,11 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component.
 
-    Rows with a null doc_id stay.  Of repeated rows with that doc_id all stay.
+    Rows with a null doc_id stay, as do null and empty texts.  Of repeated rows with that doc_id
+    all stay.  Columns keep their values, whatever their names; an empty table gives an empty result.
     """
     found = join_components(docs, k, num, den)
-    dropped = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "jac-dropped")
-    return docs.join(checked_broadcast(dropped), docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "jac-dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    kept = rows.join(checked_broadcast(dropped), F.col("row.doc_id") == dropped["doc_id"], "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

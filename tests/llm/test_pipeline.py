@@ -56,5 +56,22 @@ def test_stages(spark):
     assert jaccard.join_components(two, 5, 80, 100).where("component_id <> doc_id").count() == 0
 
 
+def test_clashing_names_and_odd_rows(spark):
+    """All stages but the last keep all columns, whatever their names, and take nulls, empty texts and repeated rows."""
+    own = ["_row", "_dropped", "_spans", "_size", "_sk", "row", "key", "node", "target", "source_size", "draws", "draw", "cuts", "last", "component_id", "text_key"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None, None), (9001, None, None, None, None), (9002, "", "en", "x", 0), (9003, " 12 ", "en", "x", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in own)
+    first = spark.createDataFrame([(*r, *[f"{n}:{r[0]}" for n in own]) for r in rows], schema)
+    for given in (first, first.limit(0)):
+        out = given
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, out, "").cache()
+            assert out.schema.names == first.schema.names
+            assert all(r[n] == f"{n}:{r['doc_id']}" for r in out.collect() for n in own)
+        assert cp.STAGES[-1][1](spark, out, "").count() == out.count()
+
+
 def test_run(spark, tmp_path):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
