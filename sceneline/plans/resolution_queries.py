@@ -100,6 +100,24 @@ def pilot_disagreements(spark, sf_dir):
     return d.select("request_id", "subtitle_id", F.array_join("classes", "|").alias("classes"))
 
 
+@query(f"""WITH {_R} SELECT count(*) AS resolutions, round(avg(coalesce(e = a, false)::INT), 6) AS decision_accuracy, round(avg(coalesce({_SAME}, false)::INT), 6) AS blocks_accuracy, round(avg(coalesce(e = a AND {_SAME}, false)::INT), 6) AS resolution_accuracy,
+  round(avg(coalesce(CASE WHEN e = 'match' THEN a = 'match' AND {_SAME} ELSE a IN ('no_match', 'uncertain') END, false)::INT), 6) AS task_accuracy, round(avg(coalesce((e = 'match') = (a = 'match'), false)::INT), 6) AS presence_accuracy FROM r""")
+def pilot_metrics(spark, sf_dir):
+    m = rs.pilot_metrics(_resolutions(spark, sf_dir))
+    return m.select("resolutions", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@query(f"""WITH {_R}, x AS (SELECT request_id, subtitle_id, CASE WHEN a = 'match' THEN 'auto_aligned' WHEN a = 'uncertain' OR a IS NULL THEN 'needs_review' ELSE 'no_match' END AS status, ab[1] AS f, ab[len(ab)] AS z FROM r),
+d AS (SELECT *, f < lag(f) OVER w AS back, greatest(0, f - lag(z) OVER w - 1) AS gap FROM x WHERE status = 'auto_aligned' WINDOW w AS (PARTITION BY request_id ORDER BY subtitle_id)),
+s AS (SELECT request_id, count(*) FILTER (WHERE back) AS v, CAST(coalesce(sum(CASE WHEN gap IS NOT NULL THEN gap END), 0) AS BIGINT) AS g FROM d GROUP BY 1)
+SELECT request_id, count(*) AS rows, count(*) FILTER (WHERE status = 'auto_aligned') AS auto_aligned, count(*) FILTER (WHERE status = 'needs_review') AS needs_review, count(*) FILTER (WHERE status = 'no_match') AS no_match, coalesce(max(v), 0) AS monotonicity_violations, coalesce(max(g), 0) AS deletion_gaps FROM x LEFT JOIN s USING (request_id) GROUP BY 1""")
+def alignment_diagnostics(spark, sf_dir):
+    ids, d = F.col("actual.block_ids"), F.col("actual.decision")
+    status = F.when(d == "match", "auto_aligned").when((d == "uncertain") | d.isNull(), "needs_review").otherwise("no_match")
+    rows = _resolutions(spark, sf_dir).select("request_id", "subtitle_id", status.alias("status"), F.try_element_at(ids, F.lit(1)).alias("first"), F.try_element_at(ids, F.lit(-1)).alias("last"))
+    return rs.alignment_diagnostics(rows, "request_id", "subtitle_id")
+
+
 _LINE = "CASE subtitle_id % 5 WHEN 0 THEN 'Anna,' WHEN 1 THEN 'SIGN: NO ENTRY' WHEN 2 THEN '- Who is it? - Only me.' WHEN 3 THEN 'Bob walks to the door.' ELSE coalesce(text, '') END"
 
 
@@ -131,6 +149,28 @@ def text_predicates(spark, sf_dir):
     return _resolutions(spark, sf_dir).select("request_id", "subtitle_id", rs.multi_speaker(x).alias("multi_speaker"), rs.insert_like(x).alias("insert_like"), rs.action_narrative(x).alias("action_narrative"))
 
 
+@query(f"""WITH {_R}, x AS (SELECT *, {_LINE} AS x, lag(subtitle_id) OVER w AS before, lead(subtitle_id) OVER w AS after FROM r WINDOW w AS (PARTITION BY request_id ORDER BY subtitle_id)),
+d AS (SELECT request_id, subtitle_id, {_concat(_CLASSES)} AS classes, CASE WHEN a IS NULL THEN '' ELSE {_concat(_TAGS)} END AS tags, before, after FROM x WHERE NOT coalesce(e = a AND {_SAME}, false)) SELECT request_id, subtitle_id, classes, tags, before, after FROM d""")
+def adjudication_package(spark, sf_dir):
+    """Disagreements with their neighbours, for a person to decide."""
+    r = _resolutions(spark, sf_dir)
+    w = Window.partitionBy("request_id").orderBy("subtitle_id")
+    near = r.select("request_id", "subtitle_id", F.array_compact(F.array(F.lag("subtitle_id").over(w))).alias("before"), F.array_compact(F.array(F.lead("subtitle_id").over(w))).alias("after"))
+    p = rs.adjudication_package(r, near, _line())
+    one = lambda c: F.try_element_at(c, F.lit(1)).alias(c)
+    return p.select("request_id", "subtitle_id", F.array_join("classes", "|").alias("classes"), F.array_join("tags", "|").alias("tags"), one("before"), one("after"))
+
+
+@query(f"""WITH {_R}, d AS (SELECT request_id, subtitle_id, (request_id + subtitle_id) % 9 AS m FROM r WHERE NOT coalesce(e = a AND {_SAME}, false)),
+s AS (SELECT request_id, subtitle_id, CASE WHEN m = 0 THEN 'missing' WHEN m = 1 THEN 'repeated' WHEN m = 2 THEN 'already_decided' END AS errors FROM d) SELECT * FROM s WHERE errors IS NOT NULL UNION ALL SELECT request_id, subtitle_id + 1000, 'not_asked_for' FROM d WHERE m = 3""")
+def package_errors(spark, sf_dir):
+    d = rs.disagreements(_resolutions(spark, sf_dir)).select("request_id", "subtitle_id")
+    m = (F.col("request_id") + F.col("subtitle_id")) % 9
+    p = d.where(m != 0).withColumn("adjudicated_decision", F.when(m == 2, "match"))
+    p = p.unionByName(p.where(m == 1)).unionByName(p.where(m == 3).withColumn("subtitle_id", F.col("subtitle_id") + 1000))
+    return rs.package_errors(p, d).select("request_id", "subtitle_id", F.array_join("errors", "|").alias("errors"))
+
+
 _ADJ = "ab = [] OR list_transform(ab, lambda i: list_position(ids, i)) = range(list_position(ids, ab[1]), list_position(ids, ab[1]) + len(ab))"
 _ERRORS = [
     ("a IS NULL", "invalid_decision"), ("basis IS NULL OR basis = 'no_such_basis'", "invalid_decision_basis"), ("confidence IS NULL OR confidence > 1", "invalid_confidence"), ("len(list_distinct(ab)) < len(ab)", "block_ids_not_unique"),
