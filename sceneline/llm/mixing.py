@@ -152,7 +152,7 @@ def plan(sizes: DataFrame, seed: int, levels: int = LEVELS) -> tuple[DataFrame,
 def with_draws(placed: DataFrame, sizes: DataFrame, seed: int, levels: int) -> DataFrame:
     """``placed`` (as by :func:`sized`) with source_size, target, taken and draws: array of (copy, shard, words, place)."""
     sources, shards = plan(sizes, seed, levels)
-    found = placed.join(checked_broadcast(sources), "_sk", "left").join(checked_broadcast(shards), ["_sk", "_block"], "left")
+    found = placed.join(checked_broadcast(sources), "_sk", "left").join(checked_broadcast(shards, weight=F.size("_copies")), ["_sk", "_block"], "left")
     part = F.expr("CASE WHEN _leaf < end_leaf THEN _size WHEN _leaf = end_leaf THEN (_size * _num) div _den ELSE 0L END")
     part = F.when(F.col("_sub") < F.col("end_sub"), F.col("_size")).when(F.col("_sub") == F.col("end_sub"), part).otherwise(F.lit(0))
     part = F.when(F.col("_block") < F.col("end_block"), F.col("_size")).when(F.col("_block") == F.col("end_block"), part).otherwise(F.lit(0))
