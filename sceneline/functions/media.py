@@ -83,6 +83,13 @@ def language_code(tag: Column) -> Column:
     return F.when(low.isin("en", "eng", "english"), "en").when(F.coalesce(low, F.lit("")) == "", "und").otherwise(low)
 
 
+def subtitle_language(name: Column, streams: Column) -> Column:
+    """en if the file's name says so, else the first language that its streams (array of tags) tell, else und."""
+    named = name.rlike(r"(?i)(?:^|[._ -])(?:en|eng|english)(?:[._ -]|$)")
+    told = F.try_element_at(F.filter(F.transform(streams, language_code), lambda t: t != "und"), F.lit(1))
+    return F.when(named, "en").otherwise(F.coalesce(told, F.lit("und")))
+
+
 def pick_audio(streams: Column) -> Column:
     """First English stream, else the default one, else the first; streams are structs of (index, language, is_default)."""
     ranked = F.transform(streams, lambda s, i: F.struct(F.when(language_code(s["language"]) == "en", 0).when(s["is_default"], 1).otherwise(2).alias("r"), i.alias("i"), s.alias("s")))
