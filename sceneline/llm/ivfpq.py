@@ -38,8 +38,8 @@ MIN_LISTS, MAX_LISTS = 16, 4096
 PROBES, PROBE_SHARE = 24, 0.65
 #: Subspaces of the residual and code words of each (codes fit in a byte).
 SUBSPACES, WORDS = 32, 256
-#: Rows of a group, about.
-GROUP = 2048
+#: Rows of a group, about.  Each gives its best rows for each query, so small groups make many partial results.
+GROUP = 8192
 #: Rows scored exactly for a query in each group.
 RERANK = 200
 #: Queries worked on at once.

@@ -129,6 +129,6 @@ def test_ann_repeated_ids(spark):
     one = sorted(tuple(r) for r in ivfpq.search(frame(spark, rows), 5, 20).collect())
     two = sorted(tuple(r) for r in ivfpq.search(frame(spark, rows[::-1]), 5, 20).collect())
     assert len(one) == 5 and one == two and all(r[0] == 20 and r[2] != 20 for r in one)
-    table = ivfpq.pack({0: 10, 1: 5000, 2: 20, 3: 2030, 4: 5})
+    table = ivfpq.pack({0: 10, 1: 20_000, 2: 20, 3: 8100, 4: 5})
     spans = [range(first, first + parts) for _, first, parts in table]
     assert [len(s) for s in spans] == [1, 3, 1, 1, 1] and not set(spans[1]) & {s[0] for s in (spans[0], *spans[2:])}
