@@ -85,3 +85,29 @@ def map_texts(docs: DataFrame, func, fields: dict[str, str], key: str = "doc_id"
     kind = docs.schema[key].dataType.simpleString()
     schema = ", ".join([f"{key} {kind}", *(f"{n} {t}" for n, t in fields.items())])
     return docs.select(key, text).mapInArrow(TextMap(func, fields, step), schema)
+
+
+def finite_vectors(vectors: DataFrame, *more: str) -> DataFrame:
+    """vec_id (null too), x (array of double) and the columns ``more`` of the rows whose vector has finite components only."""
+    x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), *more).where("x IS NOT NULL")
+    return rows.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+
+
+#: Rows of a key from which on its totals are broadcast: there are few such keys, and their rows must not meet in one task.
+HOT_ROWS = 1_000_000
+
+
+def attach_totals(rows: DataFrame, key: str, totals: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``totals`` (one row for each key, nulls together; ``n`` counts its rows).
+
+    Few keys are broadcast.  Of many keys only the hot ones are (a table of N rows has at most N / HOT_ROWS
+    of them), and the rows of all others are shuffled by key.
+    """
+    totals = materialize(totals, "totals").withColumnRenamed(key, "total_key")
+    on = F.col(key).eqNullSafe(F.col("total_key"))
+    if totals.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(totals), on).drop("total_key")
+    hot, cold = totals.where(F.col("n") >= HOT_ROWS), totals.where(F.col("n") < HOT_ROWS)
+    names = F.broadcast(hot.select("total_key"))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(names, on, "left_anti").join(cold, on)).drop("total_key")

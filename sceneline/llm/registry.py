@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneline.llm import bpe, html_text, ivfpq, jaccard, langid, mixing, pii, quality, topk, warc
+from sceneline.llm import bpe, codebooks, html_text, ivfpq, jaccard, langid, mixing, pii, quality, sortmeans, topk, vector_sql, warc
 from sceneline.llm.common import read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -48,6 +48,14 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op12_sort_means(spark, sf_dir):
+    return sortmeans.cluster_table(read(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codebooks.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
@@ -59,6 +67,8 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
+    "op12_sort_means": op12_sort_means,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL["op3_exact_top_k"] = """
@@ -98,3 +108,6 @@ WITH RECURSIVE d AS (
 ), c AS (SELECT r, min(m) AS component_id FROM reach GROUP BY r)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (r)
 """
+
+ORACLE_SQL["op12_sort_means"] = vector_sql.SORT_MEANS
+ORACLE_SQL["op13_vector_codes"] = vector_sql.FILTERING
