@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneline.llm import bpe, codebooks, html_text, ivfpq, jaccard, langid, mixing, pii, quality, sortmeans, topk, vector_sql, warc
+from sceneline.llm import bpe, codebooks, fmindex, html_text, ivfpq, jaccard, langid, mixing, pii, quality, sortmeans, topk, vector_sql, warc
 from sceneline.llm.common import read
 
 ORACLE_SQL: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark, sf_dir):
+    found = fmindex.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
 def op12_sort_means(spark, sf_dir):
     return sortmeans.cluster_table(read(spark, sf_dir, "embeddings"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
+    "op11_decontaminate": op11_decontaminate,
     "op12_sort_means": op12_sort_means,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -109,5 +115,25 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (r)
 """
 
+ORACLE_SQL["op11_decontaminate"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), n AS (SELECT *, least(10, len(w)) AS size FROM b WHERE len(w) > 0
+), p AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, CAST(len(w) - size + 2 AS BIGINT)), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS g FROM n
+), q AS (
+  SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS g
+  FROM (SELECT r, w, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS i FROM d JOIN (SELECT DISTINCT size FROM n) ON size <= len(w))
+), m AS MATERIALIZED (SELECT r, i, size, item_id FROM q JOIN p USING (size, g)
+), h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM m) GROUP BY r
+), t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
 ORACLE_SQL["op12_sort_means"] = vector_sql.SORT_MEANS
 ORACLE_SQL["op13_vector_codes"] = vector_sql.FILTERING
