@@ -107,7 +107,7 @@ def suffixes(text: np.ndarray) -> np.ndarray:
     by doubling, those alone.
     """
     n, width = len(text), max(1, int(text.max()).bit_length())
-    known = max(1, 62 // width)
+    known = min(n, max(1, 62 // width))
     key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for j in range(known):
         word = np.zeros(n, dtype=np.int64)
