@@ -11,7 +11,10 @@ which the base pattern knows them (``+``, ``@``) and in other spellings, and
 for secrets the ones that are assigned to a name that says so (which is no
 feature); negatives are candidates that fail the check of their kind or are
 part of a word, and spellings of the positives that are no personal data.  All
-other candidates are unlabelled and teach nothing.  Trees learn from a bounded sample;
+other candidates are unlabelled and teach nothing.  Made examples of every kind
+(``seeds``) are always among the labelled ones, so that trees and thresholds
+know all kinds whatever the size of the table: a text is treated alike in a
+table of one row and in a large one.  Trees learn from a bounded sample;
 thresholds are calibrated by kind on matches held out from them.  Base spans
 stay; of the others the valid ones above the threshold and free of overlap are
 added.
@@ -27,7 +30,7 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sceneline.llm.common import checked_broadcast, materialize
@@ -53,8 +56,8 @@ _ASSIGNED = r"(?:token|secret|passw(?:or)?d|pwd|credentials?|(?:api|access|priva
 SAMPLE, ROUNDS, DEPTH = 20_000, 12, 3
 #: Share of the held-out candidates above a threshold that must be valid.
 PRECISION = 0.98
-#: A kind is only added to if so many held-out candidates are above its threshold.
-LEAST_CALIBRATED = 20
+#: Made examples of each kind, each with all its spellings; a fifth of them is for the thresholds.
+SEEDS = 100
 _CONTEXT = 32
 #: Texts with spans, and spans, up to which they are broadcast for redaction (about 50 MB).
 BROADCAST_CUTS = 400_000
@@ -206,17 +209,22 @@ def failures(kind: Column, match: Column) -> Column:
     day = F.concat_ws("/", part(1, 2), part(3, 2), part(5, 4))
     amount = F.concat_ws(".", part(1, 3), part(4, 3), part(3, 3))
     phone = F.array(digits, F.substring(digits, 1, 8), date, time, day, F.translate(day, "/", "."), amount, F.concat_ws("-", part(1, 3), part(4, 4)), F.concat_ws("-", digits, digits))
+    listed = [F.rtrim(F.regexp_replace(part(1, k), f"([0-9]{{{g}}})", f"$1{sep}")) for k, g in ((8, 2), (10, 2), (9, 3), (12, 3), (8, 1), (12, 4)) for sep in (" ", ". ")]  # lists of numbers
+    phone = F.concat(phone, F.array(*[F.rtrim(F.rtrim(c), F.lit(".")) for c in listed], F.repeat(F.concat(part(1, 2), F.lit(" ")), 5)))
     wrong = F.concat(F.left(digits, n - 1), ((F.right(digits, F.lit(1)).cast("int") + 1) % 10).cast("string"))
     card = F.array(wrong, *[F.regexp_replace(wrong, "([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in ("-", ".", " ", "/")])
     ip = F.array(F.regexp_replace(match, "[0-9]+$", "999"))
     mail = F.array(F.regexp_replace(undisguised(match), "[^.]+$", "12"))
-    # Of a secret: words with a year, a dated path, a slug, a numbered item, a measure with a long number.
+    # Of a secret: words with a year, a dated path, a slug, a numbered item, a measure with a long number, serial numbers.
     word = F.lower(F.translate(F.regexp_replace(match, "[^A-Za-z0-9]", ""), "0123456789", "aeioulnrst"))
     w = lambda a, k: F.substring(word, a, k)
+    serial = F.lpad(F.abs(F.xxhash64(match)).cast("string"), 20, "3")
+    run = lambda a, k: F.substring(serial, a, k)
     year = F.concat(F.lit("20"), F.lpad(F.pmod(F.length(word), F.lit(30)).cast("string"), 2, "0"))
     secret = F.array(
         F.concat(w(1, 14), year), F.concat(F.initcap(w(1, 7)), F.initcap(w(8, 9)), F.lit("2")), F.concat_ws("-", w(1, 6), w(7, 4), w(11, 5), year),
         F.concat_ws("/", w(1, 5), year, F.lit("05"), w(6, 9)), F.concat_ws("_", w(1, 8), w(9, 6), F.lit("1")), F.concat(w(1, 3), F.lit("-"), F.rpad(F.left(digits, F.lit(14)), 14, "0")), F.repeat(F.lit("a1"), 12),
+        F.concat(w(1, 2), run(1, 10), w(3, 2), run(11, 8), w(5, 1)), F.concat(w(1, 3), run(1, 14)), F.concat(run(1, 9), w(1, 2), run(11, 9), w(3, 2)), F.concat_ws("-", w(1, 4), run(1, 6), run(7, 8)),
     )
     return F.array_distinct(F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", secret).otherwise(mail))
 
@@ -252,11 +260,39 @@ def candidates(rows: DataFrame) -> DataFrame:
     return loose.select("row", "kind", "start", "end", "match", label.alias("label"), "taken", "valid", *[c.alias(n) for n, c in context.items()])
 
 
+def seeds(spark: SparkSession, context: list[str]) -> DataFrame:
+    """Made valid spans of every kind: kind, label, match and the features ``context``, by hashes of their numbers."""
+    draw = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(n))
+    number = lambda name, k: F.lpad(draw(name, 10**k).cast("string"), k, "0")
+    pick = lambda name, values: F.element_at(F.array(*map(F.lit, values)), draw(name, len(values)).cast("int") + 1)
+    word = lambda name, k: F.left(F.translate(F.sha2(F.concat(F.lit(name), F.col("id").cast("string")).cast("binary"), 256), "0123456789", "ghiklmnopr"), F.lit(k))
+    sep = pick("sep", [" ", "-", "."])
+    hexes = F.sha2(F.concat(F.lit("secret"), F.col("id").cast("string")).cast("binary"), 256)
+    mixed = F.translate(F.base64(F.unhex(hexes)), "=", "")
+    phone = F.when(draw("form", 2) == 0, F.concat(F.lit("+"), draw("land", 98) + 1, F.lit(" ("), number("area", 3), F.lit(") "), number("a", 3), F.lit("-"), number("b", 4)))
+    phone = phone.otherwise(F.concat(F.lit("+"), draw("land", 98) + 1, sep, number("area", 2), sep, number("a", 3), sep, number("b", 4)))
+    made = {
+        "email": F.concat(word("name", 4), pick("join", [".", "_", "", "-"]), word("last", 6), F.lit("@"), word("host", 7), F.lit("."), pick("top", ["com", "org", "net", "example.com", "co.uk", "de"])),
+        "ip": F.concat_ws(".", *[draw(f"octet{i}", 256).cast("string") for i in range(4)]),
+        "card": F.concat(pick("issuer", ["4", "51", "37", "60"]), number("card", 13)),
+        "phone": phone,
+        "secret": F.when(draw("form", 3) == 0, F.left(mixed, (20 + draw("size", 24)).cast("int"))).otherwise(F.left(hexes, (20 + draw("size", 44)).cast("int"))),
+    }
+    out = spark.range(SEEDS).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), m.alias("match")) for k, m in made.items()])).alias("m")).select("id", "m.*")
+    # Of a card, the one of ten last digits that passes the check.
+    ends = F.when(F.col("kind") == "card", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))).otherwise(F.array(F.lit("")))
+    out = out.withColumn("end", F.explode(ends)).withColumn("match", F.concat("match", "end"))
+    out = out.where(F.when(F.col("kind") == "card", luhn(_digits(F.col("match")))).otherwise(valid(F.col("kind"), F.col("match"))))
+    said = lambda name: F.when(F.lit(name.startswith("f_said")) & (F.pmod(F.xxhash64(F.lit(name), "kind", "id"), F.lit(4)) == 0), 1.0).otherwise(0.0)
+    return out.select("kind", F.lit(1.0).alias("label"), "match", *[said(c).alias(c) for c in context])
+
+
 def examples(cands: DataFrame) -> DataFrame:
     """Distinct labelled matches and their other spellings, with all features; ``group`` is the same for those of one match."""
     context = [c for c in cands.columns if c.startswith("f_")]
     kind, match = F.col("kind"), F.col("match")
     seen = cands.where("label IS NOT NULL").select("kind", "label", "match", *context).distinct()
+    seen = seen.unionByName(seeds(cands.sparkSession, context))
     good = F.transform(spellings(kind, match), lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("label")))
     bad = F.transform(failures(kind, match), lambda v: F.struct(v.alias("v"), F.lit(0.0).alias("label")))
     own = F.array(F.struct(match.alias("v"), F.lit(0.0).alias("label")))
@@ -271,7 +307,6 @@ def examples(cands: DataFrame) -> DataFrame:
 
 def select(cands: DataFrame) -> DataFrame:
     """row, kind, start, end, p of the loose candidates that trees and thresholds accept."""
-    none = cands.select("row", "kind", "start", "end", F.lit(0.0).alias("p")).where(F.lit(False))
     drawn = examples(cands)
     names = [c for c in drawn.columns if c.startswith("f_")]
     # A fifth of the matches, with all their spellings, is for the thresholds.
@@ -281,8 +316,6 @@ def select(cands: DataFrame) -> DataFrame:
     fit = fit.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("b")).agg(F.min(F.struct("h", "label", *names)).alias("m")).select("m.label", *[f"m.{n}" for n in names])
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     fit = materialize(fit.coalesce(4), "pii-sample")
-    if len(fit.select("label").distinct().take(2)) < 2:
-        return none  # nothing to tell apart
     train = assemble.transform(fit).select("label", "features")
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(train)
     scored = lambda df: model.transform(assemble.transform(df)).withColumn("p", vector_to_array("probability")[1])
@@ -294,11 +327,9 @@ def select(cands: DataFrame) -> DataFrame:
         good = total = 0
         for r in sorted((r for r in table if r["kind"] == kind), key=lambda r: -r["t"]):
             good, total = good + r["good"], total + r["all"]
-            if total >= LEAST_CALIBRATED and good >= PRECISION * total:
+            if good >= PRECISION * total:
                 limits[kind] = r["t"] / 100
-    if not limits:
-        return none
-    passed = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("p") >= t) for k, t in limits.items()])
+    passed = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("p") >= t) for k, t in limits.items()], F.lit(False))
     free = cands.where(F.col("valid") & ~F.col("taken")).withColumns(shape(F.col("kind"), F.col("match")))
     best = scored(free).where(passed).select("row", "kind", "start", "end", "p")
     # Of accepted spans that overlap, the likeliest of each run stays.
@@ -330,8 +361,8 @@ def detect_table(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind and digest of the base spans, all spans, and counts of those added and of secrets, of every row of ``docs``.
 
     A null text is empty.  Repeated rows give repeated results, null ids stay null, other
-    columns are ignored; an empty table gives an empty result.  Without weak labels of both
-    kinds nothing is added to the base spans.
+    columns are ignored; an empty table gives an empty result.  Made examples of all kinds are
+    always learnt from, so spans are added in a table of any size.
     """
     found = detect(docs.select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])

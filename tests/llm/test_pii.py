@@ -154,3 +154,22 @@ def test_redact_clashing_names(spark):
     assert got.columns == names
     want = [(r[0], {"me@me.org": "[EMAIL]", "x 10.0.0.1 me@me.org y": "x [IP] [EMAIL] y"}.get(r[1], r[1]), *r[2:]) for r in rows]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_same_at_every_size(spark):
+    """A text is treated alike in a table of one row, of ten and of a thousand."""
+    odd = [
+        'words token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" words', "words of 7e061fda04dbebab91ab85687d33eeaaf9ac699e words", "words joe [at] example [dot] org words", "words me@me.org words",
+        "words 1 (988) 555-2485 words", "words 4041.8949.7460.8795 words", "words 2024-05-11 13:45 words", "words 123456789 words", "words ab-1234567890123456 words", "",
+    ]
+    rng = random.Random(2)
+    for n, plain in ((1, 0), (10, 0), (10, 990)):
+        texts = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "12", "sit"]) for _ in range(30)) for _ in range(plain)]
+        for part in ([odd] if n == 10 else [[t] for t in odd[:7:2]]):
+            docs = spark.createDataFrame(list(enumerate([*part, *texts])), "doc_id long, text string")
+            got = {r["doc_id"]: r["spans"] for r in pii.detect_table(docs).collect()}
+            kinds = ["secret", "secret", "email", "email", "phone", "card", None, None, None, None]
+            at = lambda t: next((t.index(m), t.index(m) + len(m)) for m in re.findall(r'(?<=words )(?:token = "|of )?(.*?)"? words', t))
+            want = {t: "{}:{}:{}".format(k, *at(t)) if k else "" for t, k in zip(odd, kinds, strict=True)}
+            assert {t: got[i] for i, t in enumerate(part)} == {t: want[t] for t in part}
+            assert not any(got[i] for i in range(len(part), len(got)))
