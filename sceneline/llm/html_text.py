@@ -13,7 +13,8 @@ Parts that HTML itself marks as no article text (menus, page footers, asides,
 scripts, styles, hidden parts) are left out before the ratios are taken.  Names
 of classes and ids are only hints: an element named as a notice, advert,
 sidebar, comments and so on goes only if the page's text does not hang on it,
-so no word of a name can empty a page.
+so no word of a name can empty a page, and in an article names that can also be
+those of a chapter (discussion, related, search) do not count against sentences.
 
 One page is one row; a map without shuffle.  A page is scanned once, and
 elements and paths are kept as numbers, so time and memory follow its length.
@@ -36,6 +37,10 @@ SHARE, LOW = 0.1, 0.001
 SIGMA = 1.0
 #: A container is entered while one child holds this share of the content.
 HOLD = 0.85
+#: What stands beside the container is entered too if a path that is content has a block of so many characters there, unlinked and punctuated.
+BESIDE = 40
+#: A list of links in an article is text if its items are so long, or half of them punctuated, or a heading stands before it.
+LONG_LINK = 24
 #: A name that stands on this share of the page's text is no hint; an element is not dropped if less than LEFT would be left.
 MUCH, LEFT = 0.5, 0.1
 
@@ -57,10 +62,15 @@ _CONTAINERS = frozenset("html body div main article section center td tr tbody t
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _HINTS = re.compile(
     r"^(?:ads?|adbox|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|popover|modal|overlay|newsletter|subscri\w*|"
-    r"sidebar\w*|aside|menus?|nav|navbar|navigation|navs?|breadcrumbs?|footer|foot|masthead|topbar|comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|"
+    r"sidebar\w*|aside|menus?|nav|navbar|navigation|navs?|breadcrumbs?|footer|foot|masthead|topbar|comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|responses|"
     r"shar(?:e|ing)|social|related|recommend\w*|widgets?|toolbar|pager|pagination|login|signin|signup|register|search|searchbox|copyright|legal|disclaimer|skip|"
     r"header|topheader|pageheader|siteheader)$"
 )
+#: Names that a chapter of an article can have as well.
+_CHAPTERS = frozenset("discussion related search legal register respond responses recommend recommended recommendation recommendations disclaimer copyright widget widgets skip overlay foot menu menus signup alert alerts".split())
+#: Headings of lists of links that are no part of an article.
+_MORE = re.compile(r"^(?:related|more|read|see also|share|follow|tags?|topics?|categories|recommended|popular|trending|latest|next|previous|menu|navigation|comments?|sponsored|you (?:may|might))\b", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADS = re.compile(r"^(?:\w*header|masthead|topbar|banner\w*)$")
 #: A hint after one of these, or before one of those, tells of the state of the page, not what the element is.
 _STATE_BEFORE = frozenset("no not non has have having with without is are can hide show open close js enable disable supports".split())
@@ -74,6 +84,9 @@ _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"([^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+)>")
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: The end of a comment; one that is opened and closed at once has no text.
+_COMMENT_END = re.compile(r"--!?>")
 _PUNCT = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
@@ -97,16 +110,16 @@ def marks(tag: str, attrs: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
     """Whether an element is hidden or has a role that is no article text, and the hints of its names."""
     if not attrs or tag in ("html", "body"):
         return False, []
-    low = attrs.lower()
-    if _HIDDEN.search(low):
+    if _HIDDEN.search(attrs.lower()):
         return True, []
     found = []
-    for m in _ATTR.finditer(low):
-        name, value = m[1], m[2] or m[3] or m[4] or ""
+    for m in _ATTR.finditer(attrs):
+        name, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = given.lower()
         if name == "role" and value in _ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, []
         if name in ("class", "id"):
-            found += hints(value)
+            found += hints(_CAMEL.sub("-", given).lower())
     return False, found
 
 
@@ -179,10 +192,13 @@ def scan(page: str) -> Page:
             continue
         add(page[at:lt])
         if not m:
-            end, width = (page.find("-->", lt + 4), 3) if page.startswith("<!--", lt) else (page.find(">", lt), 1)
-            if end < 0:
-                break
-            at = end + width
+            if page.startswith(("<!-->", "<!--->"), lt):
+                at = page.index(">", lt) + 1
+            elif page.startswith("<!--", lt):
+                end = _COMMENT_END.search(page, lt + 4)
+                at = end.end() if end else size
+            else:
+                at = page.find(">", lt) + 1 or size
             continue
         tag = m[1].lower()
         rest = _REST.match(page, m.end())
@@ -254,13 +270,14 @@ def scan(page: str) -> Page:
 def dropped(page: Page) -> list[bool]:
     """Elements that are no article text by their names, or within such."""
     n = len(page.tags)
-    weight, articles, titles, mains = [0] * n, [0] * n, [0] * n, [0] * n
-    for text, _, e, _, linked in page.blocks:
+    weight, articles, titles, mains, sentences = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    for text, _, e, punct, linked in page.blocks:
         weight[e] += max(0, len(text) - linked)
+        sentences[e] += punct > 0 and len(text) - linked >= BESIDE
     for e, tag in enumerate(page.tags):
         articles[e], titles[e], mains[e] = tag == "article" and e not in page.named, tag == "h1", tag == "main"
     for e in range(n - 1, 0, -1):
-        for sums in (weight, articles, titles, mains):
+        for sums in (weight, articles, titles, mains, sentences):
             sums[page.parent[e]] += sums[e]
     total = weight[0]
     last = list(range(n))  # the last element within each
@@ -274,10 +291,13 @@ def dropped(page: Page) -> list[bool]:
             if e > ends.get(token, -1):
                 by_name[token] += weight[e]
                 ends[token] = last[e]
-    out = [False] * n
+    out, within = [False] * n, [False] * n
     for e in range(1, n):
         out[e] = out[page.parent[e]]
+        within[e] = within[page.parent[e]] or page.tags[page.parent[e]] in ("article", "main") and page.parent[e] not in page.named
         for token, plain, head in () if out[e] else page.named.get(e, ()):
+            if within[e] and sentences[e] and not _CHAPTERS.isdisjoint(re.split(r"[^a-z0-9]+", token)):
+                continue  # a chapter of an article
             around = mains[e] or articles[e] and not (plain and not head)
             if plain:
                 around = around or titles[e] and not head
@@ -355,17 +375,32 @@ def main_text(source: str | None) -> str:
         inside[at] = True
         for e in range(at + 1, n):
             inside[e] = inside[page.parent[e]] or at == 0
+    # What stands beside these and has sentences of a content path.
+    rooms = {page.parent[e] for e in range(1, n) if inside[e] and not inside[page.parent[e]]}
+    branch = [0] * n
+    for e in range(1, n):
+        branch[e] = branch[page.parent[e]] or (e if page.parent[e] in rooms and not inside[e] else 0)
+    beside = {branch[e] for text, path, e, punct, linked in blocks if branch[e] and punct and len(text) - linked >= BESIDE and score[path] >= SHARE * best}
+    for e in range(1, n):
+        inside[e] = inside[e] or branch[e] in beside
     # A title before the container, if that has none of its own, belongs to it.
     titles = {e for _, _, e, _, linked in blocks if page.tags[e] == "h1" and not linked}
     if len(titles) == 1 and not any(inside[e] and page.tags[e] in ("h1", "h2") for e in range(n)):
         inside[titles.pop()] = True
     links: dict[int, list[int]] = {}
-    for text, path, _, _, linked in blocks:
-        s = links.setdefault(path, [0, 0])
-        s[0] += linked
-        s[1] += len(text)
-    keep = {p for p, v in score.items() if v >= SHARE * best or v >= LOW * best and 2 * links[p][0] <= links[p][1]}
-    return " ".join(text for text, path, e, _, _ in blocks if path in keep and inside[e])
+    for text, path, _, punct, linked in blocks:
+        s = links.setdefault(path, [0, 0, 0, 0])
+        for i, v in enumerate((linked, len(text), 1, punct > 0)):
+            s[i] += v
+    most = {p for p, s in links.items() if 2 * s[0] > s[1]}  # paths of links
+    keep = {p for p, v in score.items() if v >= SHARE * best or v >= LOW * best and p not in most}
+    read = {p for p in most if links[p][1] >= LONG_LINK * links[p][2] or 2 * links[p][3] >= links[p][2]}
+    out_text, headed = [], False
+    for text, path, e, _, _ in blocks:
+        if inside[e] and (path in keep or outer[e] and (path in read or headed)):
+            out_text.append(text)
+        headed = (headed and path in most) or page.tags[e] in _HEADINGS and not _MORE.match(text)
+    return " ".join(out_text)
 
 
 class Extract:

@@ -67,6 +67,45 @@ def test_several_articles_and_headers():
     assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><ul>{links}</ul><p>Hm.</p></article>")) == f"Title {PARA} Hm."
 
 
+SECOND = "A second part stands beside the first one, and it belongs to the text as well."
+
+
+def test_ends_of_comments():
+    for comment in ("<!-- x --!>", "<!-->", "<!--->", "<!-- a > b -->", "<!---->", "<!-- <p>x</p> --!>"):
+        assert ht.main_text(page(f"<article><p>{PARA}</p>{comment}<p>tail of it.</p></article>")) == f"{PARA} tail of it."
+    assert ht.main_text(page(f"<article><p>{PARA}</p><!-- never closed <p>x</p></article>")) == PARA
+
+
+@pytest.mark.parametrize("mark", ['id="discussion"', 'id="related-work"', 'class="search"', 'class="legal"', 'id=responses'])
+def test_chapters_of_an_article(mark):
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><section {mark}><h2>Chapter</h2><p>{PARA}</p></section></article>")) == f"Title {PARA} Chapter {PARA}"
+    links = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(5))
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><section {mark}><h2>Chapter</h2><ul>{links}</ul></section></article>")) == f"Title {PARA}"
+
+
+def test_links_that_are_text():
+    sources = "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(5))
+    said = " ".join(f"Source {i}" for i in range(5))
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><h2>Sources</h2><ul>{sources}</ul></article>")) == f"Title {PARA} Sources {said}"
+    long = "".join(f"<li><a href={i}>A. Smith, {2000 + i}: on words.</a></li>" for i in range(5))
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><ul>{long}</ul></article>")).endswith("A. Smith, 2004: on words.")
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><p><a href=x>{PARA}</a></p></article>")) == f"Title {PARA} {PARA}"
+    assert ht.main_text(page(f"<article><h1>Title</h1><p>{PARA}</p><div class=x><ul>{sources}</ul></div></article>")) == f"Title {PARA}"
+
+
+@pytest.mark.parametrize("beside", ["<div><p>{}</p></div>", "<section><p>{}</p></section>", "<section><h2>More of it</h2><p>{}</p></section>"])
+def test_beside_the_article(beside):
+    text, paragraphs = " ".join([PARA] * 9), f"<p>{PARA}</p>" * 9
+    want = re.sub("<[^>]*>", " ", beside.format(SECOND)).split()
+    assert ht.main_text(page(f"<nav><a href=x>Home</a></nav><div><article>{paragraphs}</article>{beside.format(SECOND)}</div>")) == " ".join([text, *want])
+    assert ht.main_text(page(f"<article>{paragraphs}</article>{beside.format(SECOND)}<footer>(c)</footer>")) == " ".join([text, *want])
+
+
+@pytest.mark.parametrize("mark", ['class="commentBody"', 'class="cookieBanner"', 'id="userComments"', 'class="responses"', 'class="adSlot"', 'class="siteFooter footerLinks"'])
+def test_names_in_camel_case(mark):
+    assert ht.main_text(page(f"<div><h1>Title</h1><p>{PARA}</p><p>{PARA} {PARA}</p></div><div {mark}><p>{SECOND}</p></div>")) == f"Title {PARA} {PARA} {PARA}"
+
+
 def test_scripts_and_formulas():
     assert ht.main_text(page(f'<article><script src="a.js" />var x=1;</script><p>{PARA}</p><svg viewBox="0"/><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>')) == f"{PARA} so x=1."
 
