@@ -57,29 +57,34 @@ def longest_chain(rows: list[tuple[int, int, int, int]]) -> list[int]:
 
     A row may follow another one of a smaller block, or of the same block that ends where it
     begins or before.  Of equally long chains the one with the smallest last row, and in each
-    step the earliest predecessor, is taken; a sorted list of chain ends by length keeps the
-    search short: a row's predecessor only has to end at or before its own beginning.
+    step the earliest predecessor, is taken.  The rows that end chains of one length are kept as
+    those whose end is a new minimum: the first of them that a row can follow is the earliest of all.
     """
-    length, ends = [0] * len(rows), []  # ends[k]: sorted (block, token_end) of chains of length k + 1
-    for i, (_, block, start, _) in enumerate(rows):
+    ends: list[list[tuple[tuple[int, int], int]]] = []  # ends[k]: (end, row) of chains of k + 1 rows, ends falling
+    before = [-1] * len(rows)
+
+    def first(length: int, start: tuple[int, int]) -> int:
+        """Place of the first row in ends[length] that ends by ``start``."""
+        lo, hi = 0, len(ends[length])
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if ends[length][mid][0] <= start else (mid + 1, hi)
+        return lo
+
+    for i, (_, block, start, stop) in enumerate(rows):
         lo, hi = 0, len(ends)
-        while lo < hi:  # chains of length k + 1 can only be followed if those of length k can
+        while lo < hi:  # chains of k + 1 rows can only be followed if those of k rows can
             mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if ends[mid] <= (block, start) else (lo, mid)
-        length[i] = lo + 1
-        end = (block, rows[i][3])
+            lo, hi = (mid + 1, hi) if ends[mid][-1][0] <= (block, start) else (lo, mid)
+        if lo:
+            before[i] = ends[lo - 1][first(lo - 1, (block, start))][1]
         if lo == len(ends):
-            ends.append(end)
-        else:
-            ends[lo] = min(ends[lo], end)
-    if not rows:
-        return []
-    best = max(length)
-    at = length.index(best)
-    chain = [at]
-    while length[at] > 1:
-        at = next(j for j in range(at) if length[j] == length[at] - 1 and (rows[j][1], rows[j][3]) <= (rows[at][1], rows[at][2]))
-        chain.append(at)
+            ends.append([])
+        if not ends[lo] or (block, stop) < ends[lo][-1][0]:
+            ends[lo].append(((block, stop), i))
+    chain = [ends[-1][0][1]] if ends else []
+    while chain and before[chain[-1]] >= 0:
+        chain.append(before[chain[-1]])
     return chain[::-1]
 
 

@@ -1,7 +1,7 @@
 """Queries over scripts and what is said of them: anchors, chains, alignment, screenplay layout, titles, files.
 
-Five conversations are a film, their turns the blocks of its script.  Of each
-block two pieces of six words are said; some are said later than they stand,
+Five conversations are a film, their turns the blocks of its script.  All of a
+block is said, in pieces of six words; some are said later than they stand,
 some with another word.
 """
 
@@ -36,16 +36,17 @@ def script(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "conversations").withColumn("movie_key", F.floor(F.col("conv_id") / 5).cast("string"))
     w = Window.partitionBy("movie_key").orderBy("conv_id", "turn")
     blocks = c.select("movie_key", (F.row_number().over(w) - 1).cast("long").alias("block"), tx.tokens(F.col("text")).alias("tokens"))
-    pieces = blocks.select("movie_key", "block", F.posexplode(F.array(F.slice("tokens", 1, 6), F.slice("tokens", 7, 6))).alias("half", "tokens")).where(F.size("tokens") > 0)
-    line = F.col("block") * 2 + F.col("half") + F.when(F.col("block") % 7 == 3, 9).otherwise(0)
-    said = F.when((F.col("block") % 11 == 5) & (F.col("half") == 1), F.concat(F.array(F.lit("zzz")), F.slice("tokens", 2, 5))).otherwise(F.col("tokens"))
-    lines = pieces.select("movie_key", (line * 2 + (F.col("block") % 7 == 3).cast("int")).cast("long").alias("line"), said.alias("tokens"))
+    starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(6))
+    pieces = blocks.where(F.size("tokens") > 0).select("movie_key", "block", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i, 6))).alias("piece", "tokens"))
+    line = F.col("block") * 1000 + F.col("piece") + F.when(F.col("block") % 7 == 3, 4500).otherwise(0)
+    said = F.when((F.col("block") % 11 == 5) & (F.col("piece") % 5 == 1), F.concat(F.array(F.lit("zzz")), F.slice("tokens", 2, 5))).otherwise(F.col("tokens"))
+    lines = pieces.select("movie_key", line.cast("long").alias("line"), said.alias("tokens"))
     return lines, blocks
 
 
 _SCRIPT = f"""b AS (SELECT CAST(conv_id // 5 AS VARCHAR) AS movie_key, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) - 1 AS block, {sql_tokens("text")} AS h FROM conversations),
-p AS (SELECT movie_key, block, 0 AS half, list_slice(h, 1, 6) AS k FROM b UNION ALL SELECT movie_key, block, 1, list_slice(h, 7, 12) FROM b),
-l AS (SELECT movie_key, (block * 2 + half + CASE WHEN block % 7 = 3 THEN 9 ELSE 0 END) * 2 + CASE WHEN block % 7 = 3 THEN 1 ELSE 0 END AS line, CASE WHEN block % 11 = 5 AND half = 1 THEN list_concat(['zzz'], list_slice(k, 2, 6)) ELSE k END AS k FROM p WHERE len(k) > 0),
+p AS (SELECT movie_key, block, piece, list_slice(h, piece * 6 + 1, piece * 6 + 6) AS k FROM (SELECT *, unnest(range((len(h) + 5) // 6)) AS piece FROM b)),
+l AS (SELECT movie_key, block * 1000 + piece + CASE WHEN block % 7 = 3 THEN 4500 ELSE 0 END AS line, CASE WHEN block % 11 = 5 AND piece % 5 = 1 THEN list_concat(['zzz'], list_slice(k, 2, 6)) ELSE k END AS k FROM p),
 i AS (SELECT * FROM l WHERE len(k) >= 4 OR (len(k) >= 2 AND length(array_to_string(k, ' ')) >= 15 AND array_to_string(k, ' ') NOT IN ('all right', 'come on', 'thank you', 'excuse me', 'i know', 'of course'))),
 f AS (SELECT i.movie_key, line, block, k, h, unnest(range(0, len(h) - len(k) + 1)) AS s FROM i JOIN b ON i.movie_key = b.movie_key AND list_has_all(h, k)),
 g AS (SELECT movie_key, line, block, s, s + len(k) AS e, CASE WHEN len(k) = len(h) THEN 'anchor_normalized_exact' ELSE 'anchor_unique_substring' END AS method FROM f WHERE list_slice(h, s + 1, s + len(k)) = k),
@@ -58,8 +59,10 @@ def script_anchors(spark, sf_dir):
     return al.anchors(*script(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_SCRIPT}, c AS (SELECT movie_key, line, block, e, 1 AS n FROM a UNION SELECT a.movie_key, a.line, a.block, a.e, n + 1 FROM c JOIN a ON a.movie_key = c.movie_key AND a.line > c.line AND (a.block > c.block OR (a.block = c.block AND a.s >= c.e)))
-SELECT movie_key, CAST(max(n) AS BIGINT) AS length, (SELECT count(*) FROM a WHERE a.movie_key = c.movie_key) AS anchors FROM c GROUP BY movie_key""")
+@query(f"""WITH RECURSIVE {_SCRIPT}, o AS MATERIALIZED (SELECT movie_key, block * 1000000 + s AS s, block * 1000000 + e AS e, row_number() OVER (PARTITION BY movie_key ORDER BY line) AS i FROM a),
+c AS (SELECT DISTINCT movie_key, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ends FROM o
+  UNION ALL SELECT movie_key, i, ends[: n] || [least(coalesce(ends[n + 1], e), e)] || ends[n + 2 :] FROM (SELECT c.movie_key, o.i, o.e, ends, len(list_filter(ends, lambda x: x <= o.s)) AS n FROM c JOIN o ON o.movie_key = c.movie_key AND o.i = c.i + 1))
+SELECT movie_key, CAST(len(arg_max(ends, i)) AS BIGINT) AS length, max(i) AS anchors FROM c GROUP BY movie_key""")
 def anchor_chain(spark, sf_dir):
     """Length of the longest monotone chain of anchors of each film."""
     found = al.anchors(*script(spark, sf_dir))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sceneline.functions import text as tx
 from sceneline.operators import alignment as al
 from sceneline.operators import screenplay as sp
+from sceneline.plans import script_queries
 
 
 def brute_chain(rows):
@@ -19,6 +20,52 @@ def brute_chain(rows):
     return best
 
 
+def plain_chain(rows):
+    """The quadratic search: first of the longest, earliest predecessor."""
+    length, before = [1] * len(rows), [-1] * len(rows)
+    for i, r in enumerate(rows):
+        for j in range(i):
+            if (rows[j][1], rows[j][3]) <= (r[1], r[2]) and length[j] + 1 > length[i]:
+                length[i], before[i] = length[j] + 1, j
+    at = max(range(len(rows)), key=lambda i: (length[i], -i), default=-1)
+    out = []
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
+def test_chain_has_the_same_rows():
+    rng = random.Random(6)
+    for n in [*range(12)] * 20 + [400] * 3:
+        rows = []
+        for i in range(n):
+            a = rng.randrange(6)
+            rows.append((i, rng.randrange(2 + n // 8), a, a + rng.randrange(1, 4)))
+        assert al.longest_chain(rows) == plain_chain(rows)
+
+
+def test_chain_of_the_query(spark):
+    """Every film's chain has the rows of the quadratic search, from words to anchors."""
+    lines, blocks = script_queries.script(spark, "/root/testdata/sf0.001")
+    place = {}
+    text = {}
+    for r in blocks.collect():
+        text[r["movie_key"], r["block"]] = r["tokens"]
+    for r in lines.collect():
+        t = r["tokens"]
+        if al._informative(t):
+            hits = [(b, i) for (m, b), h in text.items() if m == r["movie_key"] for i in range(len(h) - len(t) + 1) if h[i : i + len(t)] == t]
+            if len(hits) == 1:
+                place.setdefault(r["movie_key"], []).append((r["line"], hits[0][0], hits[0][1], hits[0][1] + len(t)))
+    want = set()
+    for movie, rows in place.items():
+        rows.sort()
+        want |= {(movie, *rows[i]) for i in plain_chain(rows)}
+    got = al.anchor_chain(al.anchors(lines, blocks)).select("movie_key", "line", "block", "token_start", "token_end").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_chain_is_longest():
     rng = random.Random(5)
     for _ in range(200):

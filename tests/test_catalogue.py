@@ -99,7 +99,7 @@ def test_split_long_events(spark):
 
 
 #: Queries without SQL, and the test that has a plain version of each.
-TESTED = {"pilot_selection", "approximate_sketches", "fuzzy_best_block", "split_long_events", "cursor_retrieval", "align_lines"}
+TESTED = {"review_requests", "review_candidates", "script_rescue_v2", "script_rescue_v3", "script_rescue_v4", "rescued_requests", "pilot_selection", "approximate_sketches", "fuzzy_best_block", "split_long_events", "cursor_retrieval", "align_lines"}
 
 
 def test_all_queries_are_tested(spark):
