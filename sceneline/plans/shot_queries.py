@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sceneline.operators import intervals as iv
 from sceneline.operators import sequences as sq
 from sceneline.plans.analogs import FRAMES_SQL, SHOTS_SQL, SUBTITLES_SQL, frames, shots, subtitles
+from sceneline.sources.scratch import scratch_path
+from sceneline.streaming.bridges import SESSIONS, keyed_timers, stream_bridges
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -230,6 +232,33 @@ def bridged_sessions(spark, sf_dir):
     )
 
 
+#: A day: rows come so much later than others at most; a film without a row for so many seconds has ended.
+_DELAY, _IDLE = 86400, 400 * 86400
+
+
+@query(f"""WITH {_BRIDGE} SELECT movie_key, event, count(*) AS members, min(shot) AS first_shot, max(shot) AS last_shot, round(max("end") - min(start), 3) AS span,
+  round(sum(shot * ("end" - start)) / sum("end" - start), 5) AS weighted_mean FROM ev GROUP BY movie_key, event""")
+def streamed_bridges(spark, sf_dir):
+    """The same from a stream that arrives in three parts, a day's rows out of order between them, each part in a run of its own that goes on from the checkpoint."""
+    x = shots(spark, sf_dir).select("movie_key", "shot", F.expr("movie_key * 10 + shot div 12").alias("scene"), F.expr("(shot * 7 + movie_key) % 3 <> 0").alias("selected"), "start", "end")
+    low, high = x.agg(F.min("end"), F.max("end")).first()
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
+    part = F.lit(0)
+    for cut in cuts:  # of the last day before a cut, half of the rows come with the next part
+        late = (F.col("end") > cut - _DELAY) & (F.xxhash64("movie_key", "shot") % 2 == 0)
+        part = part + ((F.col("end") > cut) | late).cast("int")
+    source, out, state = (scratch_path(spark, f"bridges-{n}") for n in ("in", "out", "state"))
+    dealt = x.withColumn("part", part)
+    end = spark.createDataFrame([(-1, 1, 0, False, high + 2 * _IDLE, high + 2 * _IDLE, 3)], dealt.schema)  # moves the watermark past all timers
+    with keyed_timers(spark):
+        for k in range(4):
+            (dealt.where(F.col("part") == k) if k < 3 else end).drop("part").write.mode("append").parquet(source)
+            stream = spark.readStream.schema(x.schema).parquet(source)
+            run = stream_bridges(stream, 172800, _IDLE, f"{_DELAY} seconds").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+            run.awaitTermination()
+    return spark.read.schema(SESSIONS).parquet(out)
+
+
 @query()
 def split_long_events(spark, sf_dir):
     """Events above ten days are cut; checked against a plain version in the tests."""
