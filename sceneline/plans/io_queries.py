@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sceneline.operators import subtitles as sb
 from sceneline.plans.analogs import table
 from sceneline.sources import files, sinks
+from sceneline.sources import merge as mg
 from sceneline.sources.scratch import scratch_path
 from sceneline.streaming import sessions
 
@@ -83,3 +84,21 @@ def streamed_runs(spark, sf_dir):
     run = sessions.runs_above(stream, 60.0).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema(sessions.RUN).parquet(out)
+
+
+_CHANGE = "CASE WHEN o_orderkey % 96 = 3 THEN 'delete' WHEN o_orderkey % 48 = 5 THEN 'upsert' END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_CHANGE} AS op FROM orders)
+SELECT o_orderkey, o_custkey, CASE WHEN op = 'upsert' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN op = 'upsert' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 16 IN (3, 5) THEN 2 ELSE 1 END AS version FROM o WHERE op IS DISTINCT FROM 'delete'
+UNION ALL SELECT -o_orderkey * 16 + 5, o_custkey, 'N', o_totalprice, 2 FROM o WHERE op = 'delete'""")
+def merged_orders(spark, sf_dir):
+    """Updates, deletes and new rows merged into a table of sixteen partitions, of which two are rewritten."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    path, part = scratch_path(spark, "orders"), F.pmod("o_orderkey", F.lit(16))
+    mg.create(o, path, part)
+    op = F.expr(_CHANGE)
+    new = o.where(op == "delete").select((-F.col("o_orderkey") * 16 + 5).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), "o_totalprice", F.lit("upsert").alias("op"))
+    old = o.withColumn("op", op).where("op IS NOT NULL").withColumns({"o_orderstatus": F.when(F.col("op") == "upsert", "X").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(F.col("op") == "upsert", F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))})
+    mg.merge(old.unionByName(new), path, ["o_orderkey"], part, 1)
+    return mg.read(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema)).drop("part")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sceneline.operators import plugs as pg
 from sceneline.operators import release as rl
 from sceneline.operators import resolutions as rs
 from sceneline.operators.review import request_lines as build_lines
@@ -487,3 +488,19 @@ def shots_of_subtitles(spark, sf_dir):
     shots = c.select("conv_id", F.explode(F.sequence(F.floor(t / 3), F.floor(t / 3) + t % 3)).alias("shot"), "turn").groupBy("conv_id", "shot").agg(F.collect_list("turn").alias("subtitles"))
     back = shots.select("conv_id", "shot", F.explode("subtitles").alias("turn")).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list("shot")), lambda s: s.cast("string")), ",").alias("shots"))
     return c.where("role = 'user'").join(back, ["conv_id", "turn"]).select(F.col("conv_id").alias("movie"), F.col("text").alias("t"), "shots")
+
+
+def best_candidate(request: dict) -> list[int]:
+    """The best of the candidates from 0.5 on, of equal ones the first in script order."""
+    ranked = sorted((-c["score"], c["block"]) for c in request["candidates"] if c["score"] >= 0.5)
+    return [block for _, block in ranked[:1]]
+
+
+@query("""WITH q AS (SELECT conv_id // 5 AS m, conv_id AS request_id, turn AS block, (turn * 53 + conv_id * 11) % 100 / 100e0 AS score FROM conversations), b AS (SELECT m, request_id, arg_min(block, (-score, block)) FILTER (WHERE score >= 0.5) AS b FROM q GROUP BY ALL)
+SELECT CAST(m AS VARCHAR) AS movie_key, request_id, CASE WHEN b IS NULL THEN 'no_match' ELSE 'match' END AS decision, CAST(b AS VARCHAR) AS blocks FROM b""")
+def plugged_resolver(spark, sf_dir):
+    """A resolver plugged in as a table function, request by request."""
+    c = table(spark, sf_dir, "conversations").withColumn("score", (F.col("turn") * 53 + F.col("conv_id") * 11) % 100 / 100.0)
+    requests = c.groupBy(F.floor(F.col("conv_id") / 5).cast("string").alias("movie_key"), F.col("conv_id").cast("long").alias("request_id")).agg(F.collect_list(F.struct(F.col("turn").cast("long").alias("block"), "score")).alias("candidates"))
+    found = pg.through(requests, lambda: pg.Resolver(best_candidate), ["movie_key"], ["request_id"], "movie_key string, request_id long, decision string, blocks array<long>")
+    return found.withColumn("blocks", F.when(F.size("blocks") > 0, F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",")))

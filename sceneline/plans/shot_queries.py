@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneline.operators import intervals as iv
+from sceneline.operators import plugs as pg
 from sceneline.operators import sequences as sq
 from sceneline.plans.analogs import FRAMES_SQL, SHOTS_SQL, SUBTITLES_SQL, frames, shots, subtitles
 from sceneline.sources.scratch import scratch_path
@@ -326,3 +327,17 @@ def min_distance_join(spark, sf_dir):
     f = frames(spark, sf_dir).select("movie_key", "frame", "event_type")
     seeds = f.where("event_type = 'purchase'").select("movie_key", F.col("frame").alias("seed"))
     return iv.min_distance_join(f.where("event_type IN ('view', 'error')").drop("event_type"), seeds, ["movie_key"], "frame", "seed", 3)
+
+
+def smooth(values: list[float]) -> list[float]:
+    """Half of each value and half of the mean of its neighbours."""
+    near = [values[0], *values, values[-1]]
+    return [0.5 * (v + 0.5 * (a + b)) for a, v, b in zip(near, values, near[2:])]
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT movie_key, frame, round(0.5 * (confidence + 0.5 * (lag(confidence, 1, confidence) OVER w + lead(confidence, 1, confidence) OVER w)), 9) AS score FROM f WINDOW w AS (PARTITION BY movie_key ORDER BY frame)""")
+def plugged_predictions(spark, sf_dir):
+    """A predictor plugged in as a table function: windows of a film's frames, of which the middle counts."""
+    f = frames(spark, sf_dir).select("movie_key", "frame", "confidence")
+    found = pg.through(f, lambda: pg.Windows(smooth, "movie_key", "frame", "confidence"), ["movie_key"], ["frame"], "movie_key long, frame long, score double")
+    return found.withColumn("score", F.round("score", 9))
