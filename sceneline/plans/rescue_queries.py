@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneline.operators import alignment as al
+from sceneline.operators import composite as cp
 from sceneline.operators import requests as rq
 from sceneline.operators import rescue as rc
 from sceneline.plans.analogs import table
@@ -94,3 +95,58 @@ for _version in ("v2", "v3", "v4"):
 def rescued_requests(spark, sf_dir):
     """Candidates of every request after the search (v4), within its limit."""
     return rc.augment(*searched(spark, sf_dir, "v4")).select("movie_key", "request_id", "block", "score", F.array_join("methods", "+").alias("methods"), "added")
+
+
+def resolved(spark, sf_dir) -> DataFrame:
+    """A resolution of every line of the review requests: some take the first candidate, some two, some none; every sixth line is two turns."""
+    _, blocks, grouped, _, candidates = asked(spark, sf_dir)
+    own = candidates.join(blocks.select("movie_key", "block", "tokens"), ["movie_key", "block"]).groupBy("movie_key", "request_id").agg(F.array_sort(F.collect_list(F.struct("block", "tokens"))).alias("candidates"))
+    r = grouped.join(own, ["movie_key", "request_id"])
+    k, ids = F.col("line") + F.col("request_id"), F.transform("candidates", lambda c: c["block"])
+    words = lambda a, n: F.array_join(F.slice("tokens", a, n), " ")
+    text = F.when(F.col("line") % 6 == 0, F.concat(F.lit("- "), words(1, 3), F.lit(" - "), words(4, 9))).otherwise(F.array_join("tokens", " "))
+    automatic = F.when(F.col("block_start").isNotNull(), F.sequence("block_start", "block_end")).otherwise(F.array().cast("array<long>"))
+    return r.select(
+        "movie_key", "request_id", "line", text.alias("text"), "tokens", F.when(F.col("request_id") % 4 == 1, "multi").otherwise("fuzzy").alias("stratum"), F.slice(ids, F.lit(1), (k % 3).cast("int")).alias("selected"),
+        automatic.alias("automatic"), F.when(k % 3 == 0, "uncertain").otherwise("match").alias("decision"), (k % 10 / 10.0 + 0.05).alias("confidence"), "candidates",
+    )
+
+
+def audited(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("flags", cp.flags(*[F.col(c) for c in ("text", "tokens", "stratum", "selected", "automatic", "decision", "confidence", "candidates")]))
+
+
+@query
+def composite_audit(spark, sf_dir):
+    """Resolutions with a flag."""
+    found = audited(resolved(spark, sf_dir)).where(F.size("flags") > 0)
+    return found.select("movie_key", "request_id", "line", "decision", "confidence", F.array_join("flags", "+").alias("flags"))
+
+
+@query
+def composite_audit_summary(spark, sf_dir):
+    return cp.audit_summary(audited(resolved(spark, sf_dir)))
+
+
+def calibration(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(references, requests) of conversations as requests: the user's turns are lines, the others candidates; some references are at fault."""
+    c, t, k = table(spark, sf_dir, "conversations"), F.col("turn").cast("long"), F.col("request_id")
+    user = F.col("role") == "user"
+    requests = c.groupBy(F.col("conv_id").cast("long").alias("request_id")).agg(
+        F.array_sort(F.collect_list(F.when(user, F.struct(t.alias("line"), F.col("text").alias("text"))))).alias("lines"), F.array_sort(F.collect_list(F.when(~user, t))).alias("candidates")
+    )
+    best = F.slice("candidates", 1, 1)
+    blocks = lambda line: F.when(k % 11 == 3, F.array(F.lit(77).cast("long"))).when(k % 13 == 4, F.concat(best, best)).when(line["line"] % 4 == 0, best).otherwise(F.array().cast("array<long>"))
+    decision = lambda line: F.when(k % 17 == 5, "perhaps").when(line["line"] % 4 == 0, "match").otherwise("no_candidate_match")
+    one = lambda line: F.struct(line["line"].alias("line"), F.when(k % 7 == 2, F.upper(line["text"])).otherwise(line["text"]).alias("text"), decision(line).alias("decision"), blocks(line).alias("blocks"))
+    order = F.when(k % 19 == 6, F.reverse("lines")).otherwise(F.col("lines"))
+    copy = F.struct("request_id", "lines", F.when(k % 23 == 7, F.reverse("candidates")).otherwise(F.col("candidates")).alias("candidates"))
+    number = F.when(k % 29 == 8, k + 10**6).when(k % 31 == 9, k - 1).otherwise(k)
+    references = requests.select(number.alias("request_id"), (k % 37 == 10).alias("human_gold"), copy.alias("request"), F.transform(order, one).alias("resolutions"))
+    return references, requests
+
+
+@query
+def calibration_errors(spark, sf_dir):
+    """What is wrong with a calibration reference, request by request."""
+    return cp.reference_errors(*calibration(spark, sf_dir))
