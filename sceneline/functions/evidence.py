@@ -216,3 +216,13 @@ class Dialogue:
             if score >= least:
                 best = sorted([*best, *((-(score - penalty * (n < cursor)), -score, n, rung) for n in self.numbers[i])])[:top]
         return [(-score, rung, n) for _, score, n, rung in best]
+
+    def best_fuzzy(self, line: tuple[str, ...], digits: int = 6) -> tuple[float, int] | None:
+        """The best rounded fuzzy score of all blocks, and the first block that has it; null without blocks."""
+        can, best = self.bounds(line), None
+        for i in np.argsort(-can, kind="stable").tolist():
+            if best is not None and can[i] < -best[0] - 10.0**-digits:
+                break
+            found = (-round(fuzzy(line, self.texts[i]), digits), self.numbers[i][0])
+            best = found if best is None else min(best, found)
+        return None if best is None else (-best[0], best[1])

@@ -64,6 +64,24 @@ class SearchTiles:
         return [(r.movie_key, int(r.request_id), int(r.line), r.source, block, -score, -selection, method) for selection, score, block, method in sorted(hits)[:PER_LINE]]
 
 
+class FuzzyTiles(SearchTiles):
+    """The best block of each line by the fuzzy score alone."""
+
+    def best(self, dialogue: Dialogue, known: dict, r) -> list[tuple]:
+        words = tuple(r.tokens)
+        if words not in known:
+            known[words] = dialogue.best_fuzzy(words)
+        score, block = known[words]
+        return [(r.movie_key, int(r.request_id), int(r.line), r.source, block, score, score, "rapidfuzz")]
+
+
+def best_fuzzy(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """movie_key, line, block, score: for each line (movie_key, line, tokens) the block of its film with the highest fuzzy score, rounded to six digits; ties to the smaller block."""
+    none = F.array().cast("array<long>")
+    asked = lines.select("movie_key", F.lit(0).cast("long").alias("request_id"), "line", F.lit(TARGET).alias("source"), "tokens", none.alias("existing"), none.alias("anchors"))
+    return _tiled(asked, blocks, FuzzyTiles("")).where("place = 1").select("movie_key", "line", "block", "score")
+
+
 def search_script(lines: DataFrame, blocks: DataFrame, version: str) -> DataFrame:
     """The best blocks of every line in its whole film, at most two: ``_FOUND`` and place (from 1).
 
@@ -73,6 +91,11 @@ def search_script(lines: DataFrame, blocks: DataFrame, version: str) -> DataFram
     """
     if version not in VERSIONS:
         raise ValueError(f"no such version: {version}")
+    return _tiled(lines, blocks, SearchTiles(version))
+
+
+def _tiled(lines: DataFrame, blocks: DataFrame, search: SearchTiles) -> DataFrame:
+    """What ``search`` finds for every line in the tiles of its film, the best blocks of all tiles with their place."""
     sizes = blocks.groupBy("movie_key").agg((F.floor(F.max("block") / TILE) + 1).cast("int").alias("tiles"))
     sizes = sizes.join(lines.groupBy("movie_key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "movie_key")
     part = F.pmod(F.xxhash64("request_id", "line"), F.col("parts")).cast("int").alias("part")
@@ -84,7 +107,7 @@ def search_script(lines: DataFrame, blocks: DataFrame, version: str) -> DataFram
     held = held.select("movie_key", tile, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("block").cast("long").alias("block"), none("long").alias("request_id"), none("long").alias("line"), none("string").alias("source"), "tokens", none("array<long>").alias("existing"), none("array<long>").alias("anchors"))
     both = held.unionByName(asked).repartition("movie_key", "tile", "part").sortWithinPartitions("movie_key", "tile", "part", F.col("request_id").isNotNull(), "request_id", "line")
     w = Window.partitionBy("movie_key", "request_id", "line").orderBy(F.desc("selection"), F.desc("score"), "block")
-    found = both.mapInPandas(SearchTiles(version), _FOUND).withColumn("place", F.row_number().over(w))
+    found = both.mapInPandas(search, _FOUND).withColumn("place", F.row_number().over(w))
     return found.where(F.col("place") <= PER_LINE)
 
 

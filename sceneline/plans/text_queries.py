@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneline.functions import text as tx
 from sceneline.operators import matching as mt
+from sceneline.operators import rescue
 from sceneline.operators.mining import rule_matches
 from sceneline.operators.subtitles import first_of_each
 from sceneline.plans.analogs import BLOCKS_SQL, blocks, table
@@ -192,14 +193,10 @@ def first_seen_speakers(spark, sf_dir):
 
 @query()
 def fuzzy_best_block(spark, sf_dir):
-    """Best block of a benchmark item by the fuzzy score, among its candidates by shared words."""
-    lines = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("movie"), "item_id", tx.tokens(F.col("text")).alias("tokens"))
-    turns = table(spark, sf_dir, "conversations").select(F.lit(1).alias("movie"), F.expr("conv_id * 100 + turn").alias("block"), tx.tokens(F.col("text")).alias("tokens"))
-    c = mt.overlap_top_k(lines, turns, ["movie"], "item_id", "block", "tokens", 5)
-    pairs = c.join(lines.withColumnRenamed("tokens", "a"), ["movie", "item_id"]).join(turns.withColumnRenamed("tokens", "b"), ["movie", "block"])
-    scored = pairs.withColumn("fuzzy", F.round(tx.fuzzy_score("a", "b"), 6))
-    w = Window.partitionBy("item_id").orderBy(F.desc("fuzzy"), "block")
-    return scored.withColumn("k", F.row_number().over(w)).where("k = 1").select("item_id", "block", "fuzzy")
+    """Best of all turns for a benchmark item by the fuzzy score."""
+    lines = table(spark, sf_dir, "benchmark").select(F.lit("1").alias("movie_key"), F.col("item_id").alias("line"), tx.tokens(F.col("text")).alias("tokens"))
+    turns = table(spark, sf_dir, "conversations").select(F.lit("1").alias("movie_key"), F.expr("conv_id * 100 + turn").alias("block"), tx.tokens(F.col("text")).alias("tokens"))
+    return rescue.best_fuzzy(lines, turns).select(F.col("line").alias("item_id"), "block", F.col("score").alias("fuzzy"))
 
 
 @query(r"SELECT item_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?')) AS INTEGER) AS n FROM benchmark")
