@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneline.llm.common import materialize, scratch_path
+from sceneline.llm.common import BROADCAST_ROWS, HOT_ROWS, materialize, scratch_path
 
 #: Bytes of a chunk, at most.
 CHUNK = 64 * 1024
@@ -124,19 +124,29 @@ class Chunks:
         return "\r\n".join([*fields, *head, f"Content-Length: {len(block)}", "", block.decode("utf-8", "surrogatepass")])
 
 
-def planned(pages: DataFrame) -> DataFrame:
+def planned(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``pages`` (page_id, url, html) with bytes, digest, revisit and refers_to.
 
     Equal payloads of at least ``MIN_DEDUP`` bytes have the same digest; the largest page_id of
-    them is the response.
+    them is the response.  Up to ``broadcast_rows`` digests of several pages are broadcast.  Of
+    more, only those of at least ``hot_rows`` pages are; the others are looked up by rows of
+    page_id and digest alone, and html is then shuffled by page, never by digest.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html").withColumns({"bytes": F.octet_length(payload).cast("long"), "digest": F.sha1(payload)})
+    asks = F.coalesce((F.col("bytes") >= MIN_DEDUP) & F.col("page_id").isNotNull(), F.lit(False))
     large = rows.where(F.col("bytes") >= MIN_DEDUP).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    again = materialize(large.where("n > 1").select("digest", "kept"), "warc-again")
-    rows = rows.join(again, "digest", "left")
-    revisit = F.coalesce((F.col("bytes") >= MIN_DEDUP) & (F.col("page_id") < F.col("kept")), F.lit(False))
-    return rows.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("kept"))}).drop("kept")
+    again = materialize(large.where("n > 1"), "warc-again")
+    if again.count() <= broadcast_rows:
+        found = rows.join(F.broadcast(again.select("digest", "kept")), "digest", "left")
+    else:
+        hot, cold = (again.where(F.col("n") >= hot_rows).select("digest", "kept"), again.where(F.col("n") < hot_rows).select("digest", "kept"))
+        narrow = rows.where(asks).select("page_id", "digest")
+        known = narrow.join(F.broadcast(hot), "digest").unionByName(narrow.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest"))
+        revisits = materialize(known.where("page_id < kept").distinct(), "warc-revisits")
+        found = rows.where(asks).join(revisits, ["page_id", "digest"], "left").unionByName(rows.where(~asks).withColumn("kept", F.lit(None).cast("long")))
+    revisit = F.coalesce(asks & (F.col("page_id") < F.col("kept")), F.lit(False))
+    return found.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("kept"))}).drop("kept")
 
 
 def write(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:

@@ -68,5 +68,28 @@ def test_archives_are_valid(spark, tmp_path):
     assert sorted(b"".join(b for _, b in sorted(v)).decode() for v in found.values()) == sorted(ODD)
 
 
+def test_many_repeated_digests(spark):
+    """Beyond a broadcast, a digest of a third of the pages is looked up apart, and html is not shuffled by digest."""
+    texts = [f"{k:04d}" + "y" * 1200 for k in range(40)]
+    rows = [(i, "u", texts[0] if i % 3 == 0 else texts[i % 37 + 1] if i % 3 == 1 else None if i % 5 == 0 else f"short {i % 4}" if i % 5 == 1 else f"{i}" * 600) for i in range(600)]
+    rows += [(9, "again", texts[0]), (None, "n", texts[0]), (None, "n", texts[5]), (599, "u", texts[0]), (1, "u", texts[3])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    columns = ["page_id", "html", "digest", "bytes", "revisit", "refers_to"]
+    kept = {}
+    for i, _, html in rows:
+        if html and len(html) >= warc.MIN_DEDUP and i is not None:
+            kept[html] = max(kept.get(html, -1), i)
+    want = []
+    for i, _, html in rows:
+        revisit = i is not None and i < kept.get(html, -1)
+        want.append((i, html, hashlib.sha1((html or "").encode()).hexdigest(), len(html or ""), revisit, kept[html] if revisit else None))
+    for most in (10**6, 0):
+        found = warc.planned(pages, most, 100)
+        assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "LeftOuter" in line]
+    assert len(joins) == 1 and "page_id" in joins[0] and "digest" in joins[0]
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
