@@ -11,8 +11,10 @@ them.
 
 Document frequencies are counted over all labelled training rows.  The sample
 has at most ``SAMPLE_PER_LANG`` rows of each language (one for each hash
-bucket, so a language with a third of all rows weighs no more in any task).
-The model - a few centroids per language - is small whatever the corpus size.
+bucket, so a language with a third of all rows weighs no more in any task), of
+the ``MOST_LANGS`` languages with the most rows.  Each language is fitted in a
+task of its own; the driver gets a few centroids per language only, so the
+model is small whatever the corpus size and however many values ``lang`` has.
 """
 
 from __future__ import annotations
@@ -26,17 +28,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneline.llm.common import checked_broadcast, cut, held_out, map_texts
+from sceneline.llm.common import cut, held_out, map_texts
 
 #: Hash buckets of n-grams.
 DIM = 4096
 #: Labelled rows of each language that the centroids are fitted on, at most.
 SAMPLE_PER_LANG = 256
+#: Languages that are learned, at most: those with the most labelled rows, ties to the first by code point.
+MOST_LANGS = 1024
 #: Centroids of each language.
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that 99.5 % of the sample of its class reaches.
 REJECT_SHARE = 0.85
-#: Classes of the number of n-grams (powers of two); one with fewer texts than LEAST_CLASS has the limit of the class below.
+#: Classes of the number of n-grams (powers of two); one with fewer texts than LEAST_CLASS has the limit of the class below (only what is rejected depends on it).
 CLASSES, LEAST_CLASS = 32, 20
 #: Parts of the sample: the limits of each come from centroids of the others.
 FOLDS = 4
@@ -183,17 +187,28 @@ def fit(train: DataFrame) -> Model:
     hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ids = cut(
         hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_PER_LANG)).alias("b"))
-        .agg(F.min(F.struct("h", "doc_id")).alias("m"))
-        .select("lang", F.col("m.doc_id").alias("doc_id"))
+        .agg(F.min(F.struct("h", "doc_id")).alias("m"), F.count("*").alias("n"))
+        .select("lang", F.col("m.doc_id").alias("doc_id"), "n")
     )
-    sample = rows.join(checked_broadcast(ids), ["doc_id", "lang"], "left_semi")
+    most = ids.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang")
+    ids = cut(ids.join(F.broadcast(most), "lang", "left_semi").select("lang", "doc_id"))  # MOST_LANGS * SAMPLE_PER_LANG rows
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of an id that is repeated, one row
-    got = sample.select("doc_id", "lang", "text").mapInPandas(_sample_counts, "lang string, doc string, whole boolean, at binary, n binary").toPandas()  # SAMPLE_PER_LANG texts of each language and their beginnings
-    langs: list[str] = []
-    centroids, least = [], []
-    largest = ("", -1)
-    for lang in sorted(got["lang"].unique()) if len(got) else []:
-        own = got[got["lang"] == lang]
+    counted = sample.select("doc_id", "lang", "text").mapInPandas(_sample_counts, "lang string, doc string, whole boolean, at binary, n binary")
+    got = counted.groupBy("lang").applyInPandas(fit_language(idf), "lang string, rows long, centroids binary, least binary").collect()  # MOST_LANGS rows of CENTROIDS vectors
+    got.sort(key=lambda r: r["lang"])
+    centroids = [np.frombuffer(r["centroids"], "<f4").reshape(-1, DIM) for r in got]
+    langs = [r["lang"] for r, c in zip(got, centroids, strict=True) for _ in c]
+    least = [np.frombuffer(r["least"], "<f8") for r, c in zip(got, centroids, strict=True) for _ in c]
+    largest = min(got, key=lambda r: -r["rows"])["lang"] if got else UNDETERMINED
+    return Model(idf, np.concatenate(centroids) if got else np.zeros((0, DIM), np.float32), langs, np.array(least).reshape(-1, CLASSES), largest)
+
+
+def fit_language(idf: np.ndarray):
+    """For ``applyInPandas`` over the counted sample of a language (SAMPLE_PER_LANG texts and their beginnings): its centroids and limits."""
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.assign(length=own["at"].str.len()).sort_values(["doc", "whole", "length", "at"], kind="stable")
         x = np.zeros((len(own), DIM), dtype=np.float32)
         for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
             x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
@@ -207,11 +222,9 @@ def fit(train: DataFrame) -> Model:
         for k in range(FOLDS):
             if (fold == k).any() and (whole & (fold != k)).any():
                 near[fold == k] = (x[fold == k] @ spherical_kmeans(x[whole & (fold != k)], CENTROIDS).T).max(axis=1)
-        langs += [lang] * len(centres)
-        centroids.append(centres)
-        least += [limits(near, size)] * len(centres)
-        largest = max(largest, (lang, int(whole.sum())), key=lambda p: p[1])
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIM), np.float32), langs, np.array(least).reshape(-1, CLASSES), largest[0] or UNDETERMINED)
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "rows": [int(whole.sum())], "centroids": [centres.astype("<f4").tobytes()], "least": [limits(near, size).astype("<f8").tobytes()]})
+
+    return one
 
 
 class Predict:

@@ -6,7 +6,9 @@ passage a weight; the weighted mean of the encodings is scored.  Only document
 labels are needed: the attention learns which passages tell.
 
 Training uses a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each
-label, one for each hash bucket).  Scoring is a map over whole texts; no text
+label, one for each hash bucket) and of a very long one ``SAMPLE_PASSAGES``
+passages spread over it, so that what the driver holds follows neither the
+number of rows nor their length.  Scoring is a map over whole texts; no text
 is cut off, long ones just have more passages.
 """
 
@@ -26,6 +28,8 @@ from sceneline.llm.common import checked_broadcast, cut, held_out, map_texts
 PASSAGE = 400
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
+#: Passages of each of these rows that the model is fitted on, at most: evenly spread over the whole text.
+SAMPLE_PASSAGES = 256
 #: Width of the passage encoding and of the attention.
 HIDDEN, ATTENTION = 16, 8
 #: Score from which a document counts as good.
@@ -197,12 +201,17 @@ def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, e
     return model
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """Rows of ``x``, ``SAMPLE_PASSAGES`` at most, the first and the last among them."""
+    return x if len(x) <= SAMPLE_PASSAGES else x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).round().astype(int)]
+
+
 def _sample_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for k in range(0, len(batch), 64):
             part = batch.iloc[k : k + 64]
             x, sizes = passages(part["text"].tolist())
-            cuts = np.split(x.astype("<f2"), np.cumsum(sizes)[:-1])
+            cuts = [spread(c) for c in np.split(x.astype("<f2"), np.cumsum(sizes)[:-1])]
             yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "x": [c.tobytes() for c in cuts]})
 
 
@@ -216,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").join(checked_broadcast(ids), "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of an id that is repeated, one row
-    got = rows.select("doc_id", "text", "quality").mapInPandas(_sample_passages, "doc_id long, quality int, x binary").toPandas()  # 2 x SAMPLE_PER_CLASS rows
+    got = rows.select("doc_id", "text", "quality").mapInPandas(_sample_passages, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary").toPandas()  # 2 x SAMPLE_PER_CLASS rows of SAMPLE_PASSAGES passages at most
     y = got["quality"].to_numpy(dtype=float)
     if len(got) == 0 or y.min() == y.max():
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {}, float(y[0]) if len(got) else 0.5)

@@ -104,16 +104,47 @@ def test_gradient():
 
 
 def test_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
-    """An id with ten thousand rows comes to the driver once."""
+    """An id with ten thousand rows is fitted on once."""
     from pyspark.sql.classic.dataframe import DataFrame
 
-    seen, plain = [], DataFrame.toPandas
+    seen, plain, collected, collect = [], DataFrame.toPandas, [], DataFrame.collect
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: seen.append(plain(self)) or seen[-1])
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
     rows = [(1, f"the cat and the dog {i % 100}", "en") for i in range(10_000)] + [(i, "le chat et le chien", "fr") for i in range(2, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     assert set(langid.fit(docs).langs) == {"en", "fr"}
+    sizes = {r["lang"]: r["rows"] for found in collected for r in found if "centroids" in r}
+    assert sizes["en"] == 1 and 30 < sizes["fr"] <= 38
     labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, quality int")
     assert quality.fit(docs, labels).p
-    lang, marked = seen[0], seen[1]
-    assert (lang["whole"] & (lang["doc"] == "1")).sum() == 1 and 30 < lang["doc"].nunique() <= 39
+    marked = seen[0]
     assert (marked["doc_id"] == 1).sum() == 1 and 30 < len(marked) <= 39
+
+
+def test_a_dirty_language_column_is_bounded(spark, monkeypatch):
+    """Of ten thousand values of lang those with the most rows are learned; the driver gets no text."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    monkeypatch.setattr(langid, "MOST_LANGS", 5)
+    rows = [(i, f"the cat and the dog {i}", f"x{i:05d}") for i in range(10_000)] + [(20_000 + i, "le chat et le chien " * (1 + i % 9), "fr") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert sorted(set(model.langs)) == ["fr", "x00000", "x00001", "x00002", "x00003"] and model.fallback == "fr"
+    assert max(len(found) for found in collected) <= langid.DIM + 1
+    assert model.predict(["le chien et le chat"])[0] == ["fr"]
+
+
+def test_a_very_long_text_is_fitted_on_a_bounded_number_of_passages(spark, monkeypatch):
+    """Passages over the whole text, the last one too; ids of another type pass through."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, plain = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: seen.append(plain(self)) or seen[-1])
+    docs = spark.createDataFrame([("a", "Some words, and more. " * 1_000_000), ("b", "x1!" * 400)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, docs, labels).collect()}
+    assert got["a"] > got["b"]
+    assert max(len(x) for x in seen[0]["x"]) == quality.SAMPLE_PASSAGES * quality.FEATURES * 2
+    x = np.arange(2000.0).reshape(1000, 2)
+    assert quality.spread(x)[0, 0] == 0 and quality.spread(x)[-1, 1] == 1999 and (quality.spread(x[:9]) == x[:9]).all()
