@@ -91,7 +91,7 @@ def twice(spark, sf_dir) -> str:
 
 _MATCHES = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{c}' END" for _, c, p in RULES)
 _MINED = f"""c AS (SELECT conv_id // 5 AS movie_key, conv_id AS scene, turn, CAST(row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) AS BIGINT) AS shot, role, text FROM conversations),
-h AS (SELECT *, (shot - 1) * 4.0e0 AS s, (shot - 1) * 4.0e0 + 3.5e0 AS e, list_filter([{_MATCHES}], x -> x IS NOT NULL) AS cats FROM c),
+h AS (SELECT *, (shot - 1) * 4.0e0 AS s, (shot - 1) * 4.0e0 + 3.5e0 AS e, list_filter([{_MATCHES}], lambda x: x IS NOT NULL) AS cats FROM c),
 n AS (SELECT *, len(cats) > 0 AS hit, coalesce(lag(len(cats) > 0) OVER w, false) OR coalesce(lead(len(cats) > 0) OVER w, false) AS near, coalesce(lag(role) OVER w <> role, false) AS other,
   coalesce(lag(role) OVER w = 'assistant' AND lag(scene) OVER w = scene, false) OR coalesce(lead(role) OVER w = 'assistant' AND lead(scene) OVER w = scene, false) AS beside FROM h WINDOW w AS (PARTITION BY movie_key ORDER BY shot)),
 v AS (SELECT *, least(1e0, CASE WHEN hit AND role <> 'user' THEN 0.45e0 WHEN near THEN 0.30e0 ELSE 0e0 END + CASE WHEN hit AND role = 'user' THEN 0.25e0 ELSE 0e0 END + CASE WHEN other THEN 0.20e0 ELSE 0e0 END + 0.10e0 * (len(cats) / {len(RULES)})) AS semantic,
