@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sceneline.operators import minerun as mr
 from sceneline.operators import mining as mn
+from sceneline.operators import samples as sm
 from sceneline.operators import sequences as sq
 from sceneline.plans.analogs import table
 from sceneline.sources.scratch import scratch_path
@@ -120,3 +121,65 @@ def mining_run_events(spark, sf_dir):
     """Events of the selected shots."""
     events = mr.rows(spark, twice(spark, sf_dir), "grouping")
     return events.select("movie_key", "event", "members", "start", "end", F.round("event_score", 5).alias("event_score"))
+
+
+def _screened(spark, sf_dir) -> DataFrame:
+    """Every shot with its selection, band and the reason it is left out."""
+    now = sources(spark, sf_dir)
+    found = evidence(now["shots"])
+    return selection(found, now["frames"]).join(found.select("movie_key", "shot", "semantic_score", "band", "excluded"), ["movie_key", "shot"])
+
+
+#: Shots of a stratum and of the sample of a film.
+_EACH, _TOTAL = 5, 16
+_SPREAD = "row_number() OVER (PARTITION BY movie_key, {c}, scene ORDER BY s, shot) = 1"
+
+
+def _stratum_sql(k: int, label: str, condition: str, order: str, limit: int) -> str:
+    """Items of stratum k that no earlier one has, in SQL."""
+    old = " UNION ALL ".join(f"SELECT movie_key, item FROM t{j}" for j in range(k))
+    left = f"AND NOT EXISTS (SELECT 1 FROM ({old}) o WHERE o.movie_key = a.movie_key AND o.item = a.item)" if k else ""
+    return f"""t{k} AS (SELECT movie_key, item, {k} AS k, '{label}' AS stratum, row_number() OVER (PARTITION BY movie_key ORDER BY {order}) AS place FROM a WHERE {condition} {left} QUALIFY place <= {limit})"""
+
+
+def _sample_sql(strata: list[tuple[str, str, str, int]], total: int, item: str) -> str:
+    parts = ", ".join(_stratum_sql(k, *s) for k, s in enumerate(strata))
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(len(strata)))
+    return f"""{parts} SELECT movie_key, item AS {item}, stratum, CAST(row_number() OVER (PARTITION BY movie_key ORDER BY k, place) AS INTEGER) AS ordinal FROM ({every}) QUALIFY ordinal <= {total}"""
+
+
+_BAND = "CASE WHEN relevance >= 0.8 THEN 'high' WHEN relevance >= 0.45 THEN 'medium' ELSE 'none' END"
+_HASH = "sha256('{s}' || chr(31) || movie_key || chr(31) || item)"
+
+
+@query(f"""WITH {_MINED}, b AS (SELECT *, shot AS item, {_BAND} AS band, length(coalesce(text, '')) < 20 OR turn = 0 AS excluded FROM sel),
+f AS (SELECT *, band = 'none' AS none, band = 'high' AND selected AS high, band = 'medium' AND selected AS medium, NOT selected AND NOT excluded AND band <> 'none' AND semantic >= {LEAST_SCORE}e0 AS visual FROM b),
+a AS (SELECT *, {_SPREAD.format(c="high")} AS f0, {_SPREAD.format(c="medium")} AS f1, {_SPREAD.format(c="visual")} AS f2 FROM f),
+{_sample_sql([("high_selected", "high", "NOT f0, CASE WHEN f0 THEN s END NULLS FIRST, shot", _EACH), ("medium_selected", "medium", "NOT f1, CASE WHEN f1 THEN s END NULLS FIRST, shot", _EACH), ("visual_excluded", "visual", "NOT f2, CASE WHEN f2 THEN s END NULLS FIRST, shot", _EACH), ("target_none_random", "none", _HASH.format(s="none"), 3), ("target_none_strong", "none", "round(semantic, 9) DESC, shot", 2)], _TOTAL, "shot")}""")
+def review_shot_sample(spark, sf_dir):
+    """Shots to review: selected ones of high and medium relevance and ones without a face, spread over scenes, then shots without the target."""
+    rows = _screened(spark, sf_dir)
+    visual = ~F.col("selected") & F.col("excluded").isNull() & (F.col("band") != "none") & (F.col("semantic_score") >= LEAST_SCORE)
+    spread = lambda c: sm.spread(c, "movie_key", "scene", ["start"], ["shot"])
+    high, medium, none = F.col("selected") & (F.col("band") == "high"), F.col("selected") & (F.col("band") == "medium"), F.col("band") == "none"
+    strata = [
+        sm.Stratum("high_selected", high, spread(high), _EACH), sm.Stratum("medium_selected", medium, spread(medium), _EACH), sm.Stratum("visual_excluded", visual, spread(visual), _EACH),
+        sm.Stratum("target_none_random", none, (sm.shuffled("none", "movie_key", "shot"),), 3), sm.Stratum("target_none_strong", none, (F.desc(F.round("semantic_score", 9)), F.col("shot")), 2),
+    ]
+    return sm.take_unique(rows, "movie_key", "shot", strata, _TOTAL)
+
+
+_ENDED = SQL["mining_run_events"].removeprefix("WITH ").rsplit("SELECT movie_key, event, members", 1)
+
+
+@query(f"""WITH {_ENDED[0]}, a AS (SELECT *, event AS item FROM (SELECT movie_key, event, members{_ENDED[1]})), {_sample_sql([("top_ranked", "true", "event_score DESC, item", 2), ("single_shot", "members = 1", "event_score DESC, item", 2), ("multi_shot", "members > 1", "event_score DESC, item", 2), ("near_limit", "true", 'abs("end" - "start" - 30), item', 2), ("random", "true", _HASH.format(s="events"), 2), ("ranked_fill", "true", "event_score DESC, item", 12)], 12, "event")}""")
+def review_event_sample(spark, sf_dir):
+    """Events to review: the best, single and joined shots, those near the longest span, random ones, then the next best."""
+    now = sources(spark, sf_dir)
+    rows = grouping(selection(evidence(now["shots"]), now["frames"])).withColumn("event_score", F.round("event_score", 5))
+    best, always = (F.desc("event_score"), F.col("event")), F.lit(True)
+    strata = [
+        sm.Stratum("top_ranked", always, best, 2), sm.Stratum("single_shot", F.col("members") == 1, best, 2), sm.Stratum("multi_shot", F.col("members") > 1, best, 2),
+        sm.Stratum("near_limit", always, (F.abs(F.col("end") - F.col("start") - 30.0), F.col("event")), 2), sm.Stratum("random", always, (sm.shuffled("events", "movie_key", "event"),), 2), sm.Stratum("ranked_fill", always, best, 12),
+    ]
+    return sm.take_unique(rows, "movie_key", "event", strata, 12)
