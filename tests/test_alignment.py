@@ -161,3 +161,114 @@ def test_similarity():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert tx.lcs(a, b) == table[-1][-1]
+
+
+def plain_fuzzy(a, b):
+    both = lambda x, y: 2 * tx.lcs(x, y) / (len(x) + len(y))  # noqa: E731  (the longest common subsequence is tested above)
+    if not a or not b:
+        return 0.0
+    x, y = set(a), set(b)
+    shared, one, two = sorted(x & y), " ".join(sorted(x & y) + sorted(x - y)), " ".join(sorted(x & y) + sorted(y - x))
+    of_sets = 1.0 if shared and (x <= y or y <= x) else max([both(one, two)] + [both(" ".join(shared), w) for w in (one, two) if shared])
+    return max(both(" ".join(a), " ".join(b)), of_sets * min(len(a), len(b)) / max(len(a), len(b)))
+
+
+def plain_spans(line, tokens, b, start, high):
+    """Best span in block b, and best span over the border to the next, of all spans: (score, first block, last block, from, to, method)."""
+    block, n, found = tokens.get(b, []), len(line), []
+    inside = [i for i in range(len(block)) if block[i : i + n] == line and n]
+    rest = block[start:]
+    if inside:
+        i = min(inside, key=lambda i: (i < start, i))
+        found.append((1.0, b, b, i, i + n, "exact" if n == len(block) else "substring"))
+    elif rest and any(line[i : i + len(rest)] == rest for i in range(n)):
+        found.append((0.99 * len(rest) / n, b, b, start, len(block), "reverse_substring"))
+    else:
+        spans = [(i, j) for i in range(start, len(block)) for j in range(i + max(1, n - 3), min(len(block), i + n + 5) + 1)] or ([(start, len(block))] if rest else [])
+        scored = [(plain_fuzzy(line, block[i:j]), i, j) for i, j in spans]
+        found += [(s, b, b, i, j, "fuzzy") for s, i, j in sorted(scored, key=lambda c: (-c[0], c[2] - c[1], c[1]))[:1]]
+    if b < high and rest:
+        following = tokens.get(b + 1, [])
+        cuts = [(max(start, len(block) - k), min(len(following), n - k)) for k in range(1, n)] if following else []
+        scored = [(plain_fuzzy(line, block[i:] + following[:j]), k, i, j) for k, (i, j) in enumerate(cuts)]
+        found += [(s - 0.015, b, b + 1, i, j, "fuzzy_two_blocks") for s, _, i, j in sorted(scored, key=lambda c: (-c[0], c[1]))[:1]]
+    return found
+
+
+def plain_align(lines, blocks):
+    """A film's lines [(line, tokens)] against its blocks {block: tokens}: line to (status, method, first block, last block, from, to, score, reason)."""
+    stand = lambda t, h: [i for i in range(len(h) - len(t) + 1) if h[i : i + len(t)] == t]
+    marks = []
+    for n, t in lines:
+        hits = [(b, i) for b, h in blocks.items() for i in stand(t, h)]
+        if al._informative(t) and len(hits) == 1:
+            marks.append((n, hits[0][0], hits[0][1], hits[0][1] + len(t)))
+    fixed = {marks[i][0]: marks[i] for i in plain_chain(marks)}
+    out, cursor, region = {}, None, None
+    for at, (n, t) in enumerate(lines):
+        if n in fixed:
+            _, b, i, j = fixed[n]
+            out[n] = ("auto_aligned", "anchor_normalized_exact" if len(t) == len(blocks[b]) else "anchor_unique_substring", b, b, i, j, 1.0, None)
+            continue
+        left = max((f for f in fixed.values() if f[0] < n), default=None)
+        right = min((f for f in fixed.values() if f[0] > n), default=None)
+        if left is None and right is None:
+            out[n] = ("no_match", None, None, None, None, None, None, "insufficient_candidates")
+            continue
+        low, high = left[1] if left else max(0, right[1] - 100), min(right[1] if right else left[1] + 100, max(blocks))
+        if (left, right) != region:
+            region, cursor = (left, right), (low, left[3] if left else 0)
+        tokens = {b: h for b, h in blocks.items() if low <= b <= high}
+        if right and high == right[1]:
+            tokens[high] = tokens[high][: right[2]]
+
+        def only(t, low=low, tokens=tokens, left=left):
+            hits = [(b, i) for b, h in tokens.items() for i in stand(t, h) if b > low or i >= (left[3] if left else 0)]
+            return hits[0] if len(t) >= 4 and len(hits) == 1 else None
+
+        own = only(t)
+        later = [only(u) for m, u in lines[at + 1 :] if m not in fixed and (right is None or m < right[0])]
+        last = min([h for h in later if h and h >= cursor], default=(high, 0))[0]
+        found = []
+        if own and own >= cursor:
+            found.append((1.0, own[0], own[0], own[1], own[1] + len(t), "exact" if len(t) == len(tokens[own[0]]) else "substring"))
+        else:
+            for b in range(cursor[0], min(high, last) + 1):
+                skip = min(0.12, 0.004 * (b - cursor[0]))
+                found += [(s - skip, *rest) for s, *rest in plain_spans(t, tokens, b, cursor[1] if b == cursor[0] else 0, high)]
+        found.sort(key=lambda c: (-c[0], c[1:5]))
+        if not found:
+            out[n] = ("no_match", None, None, None, None, None, None, "below_review_threshold")
+            continue
+        score, b0, b1, i, j, method = found[0]
+        lead = score - found[1][0] if len(found) > 1 else None
+        if method in ("exact", "substring") and len(t) >= 4 or al._informative(t) and score >= 0.82 and (lead is None or lead >= 0.08):
+            out[n] = ("auto_aligned", method, b0, b1, i, j, score, None)
+            cursor = (b1, j) if j < len(tokens[b1]) else (b1 + 1, 0)
+        elif score >= 0.65:
+            out[n] = ("needs_review", method, b0, b1, i, j, score, "low_margin_or_score")
+        else:
+            hits = [(b, i) for b, h in tokens.items() for i in stand(t, h)]
+            if len(hits) == 1:
+                (b, i), j = hits[0], hits[0][1] + len(t)
+                out[n] = ("needs_review", "exact", b, b, i, j, 1.0, "nonmonotonic_exact_fragment")
+            else:
+                out[n] = ("no_match", None, None, None, None, None, score, "below_review_threshold")
+    return out
+
+
+def test_align_lines_equals_the_plain_version(spark):
+    """Every line of every film: status, method, place and score."""
+    lines, blocks = script_queries.script(spark, "/root/testdata/sf0.001")
+    films, said = {}, {}
+    for r in blocks.collect():
+        films.setdefault(r["movie_key"], {})[r["block"]] = list(r["tokens"])
+    for r in lines.collect():
+        said.setdefault(r["movie_key"], []).append((r["line"], list(r["tokens"])))
+    want = {(m, n): v for m, own in said.items() for n, v in plain_align(sorted(own), films[m]).items()}
+    got = {}
+    for r in al.align(lines, blocks).collect():
+        got[r["movie_key"], r["line"]] = (r["status"], r["method"], r["block_start"], r["block_end"], r["token_start"], r["token_end"], None if r["score"] is None else round(r["score"], 9), r["reason"])
+    want = {k: (*v[:6], None if v[6] is None else round(v[6], 9), v[7]) for k, v in want.items()}
+    assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {} and set(got) == set(want)
+    assert {v[0] for v in want.values()} == {"auto_aligned", "needs_review", "no_match"}
