@@ -10,6 +10,7 @@ can accept: the others are never compared.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property, reduce
 
 import numpy as np
 
@@ -161,6 +162,28 @@ class Dialogue:
                     found.add(at)
         return found
 
+    @cached_property
+    def joined(self) -> list[str]:
+        return [" ".join(t) for t in self.texts]
+
+    def saying(self, line: tuple[str, ...]) -> list[int]:
+        """Texts in which the joined words of the line (two or more) occur, its first and last also as parts of words."""
+        if len(line) < 2:
+            return []
+        said, at = " ".join(line), range(len(self.texts))
+        if len(line) > 2:  # the inner words are whole
+            posts = [self.postings.get(t) for t in set(line[1:-1])]
+            at = [] if any(p is None for p in posts) else reduce(np.intersect1d, sorted(posts, key=len)).tolist()
+        return [i for i in at if said in self.joined[i]]
+
+    def shared(self, words: set[str]) -> np.ndarray:
+        """How many of the words each text has."""
+        out = np.zeros(len(self.texts), dtype=np.int64)
+        for t in words:
+            if (at := self.postings.get(t)) is not None:
+                out[at] += 1
+        return out
+
     def bounds(self, line: tuple[str, ...]) -> np.ndarray:
         """What the fuzzy score of each text can be at most, by the characters it shares with the line."""
         if not line or not self.texts:

@@ -94,8 +94,8 @@ def search_script(lines: DataFrame, blocks: DataFrame, version: str) -> DataFram
     return _tiled(lines, blocks, SearchTiles(version))
 
 
-def _tiled(lines: DataFrame, blocks: DataFrame, search: SearchTiles) -> DataFrame:
-    """What ``search`` finds for every line in the tiles of its film, the best blocks of all tiles with their place."""
+def _tiled(lines: DataFrame, blocks: DataFrame, search: SearchTiles, most: int | None = PER_LINE) -> DataFrame:
+    """What ``search`` finds for every line in the tiles of its film, the ``most`` best blocks of all tiles with their place (all with None)."""
     sizes = blocks.groupBy("movie_key").agg((F.floor(F.max("block") / TILE) + 1).cast("int").alias("tiles"))
     sizes = sizes.join(lines.groupBy("movie_key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "movie_key")
     part = F.pmod(F.xxhash64("request_id", "line"), F.col("parts")).cast("int").alias("part")
@@ -108,7 +108,7 @@ def _tiled(lines: DataFrame, blocks: DataFrame, search: SearchTiles) -> DataFram
     both = held.unionByName(asked).repartition("movie_key", "tile", "part").sortWithinPartitions("movie_key", "tile", "part", F.col("request_id").isNotNull(), "request_id", "line")
     w = Window.partitionBy("movie_key", "request_id", "line").orderBy(F.desc("selection"), F.desc("score"), "block")
     found = both.mapInPandas(search, _FOUND).withColumn("place", F.row_number().over(w))
-    return found.where(F.col("place") <= PER_LINE)
+    return found if most is None else found.where(F.col("place") <= most)
 
 
 def query_lines(requests: DataFrame, lines: DataFrame, version: str, radius: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sceneline.operators import alignment as al
 from sceneline.operators import composite as cp
+from sceneline.operators import highrisk as hr
 from sceneline.operators import requests as rq
 from sceneline.operators import rescue as rc
 from sceneline.plans.analogs import table
@@ -150,3 +151,53 @@ def calibration(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def calibration_errors(spark, sf_dir):
     """What is wrong with a calibration reference, request by request."""
     return cp.reference_errors(*calibration(spark, sf_dir))
+
+
+def decided(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines, requests, candidates, blocks) as :mod:`sceneline.operators.highrisk` takes them: a decision on every line of the review requests.
+
+    Decisions, grounds and confidences follow from the numbers of lines; texts, candidates, anchors and the
+    script are those of the requests.  Of every third request only one candidate in three is supplied.
+    """
+    _, blocks, grouped, requests, candidates = asked(spark, sf_dir)
+    path = scratch_path(spark, "supplied")
+    candidates.where((F.col("request_id") % 3 > 0) | (F.col("block") % 3 == 0)).select("movie_key", "request_id", "block").write.parquet(path)  # several steps read it
+    candidates = spark.read.parquet(path)
+    own = candidates.groupBy("movie_key", "request_id").agg(F.array_sort(F.collect_list("block")).alias("ids"))  # 36 blocks at most
+    k = F.col("line") + F.col("request_id")
+    words = lambda a, n: F.array_join(F.slice("tokens", a, n), " ")
+    said = F.array_join("tokens", " ")
+    text = F.when(F.col("line") % 6 == 0, F.concat(F.lit("- "), words(1, 3), F.lit("\n- "), words(4, 9))).when(F.col("line") % 13 == 4, F.concat(F.lit("["), said, F.lit("]"))).otherwise(said)
+    ids = F.coalesce("ids", F.array().cast("array<long>"))
+    found = (k % 3 == 0) & (F.size(ids) > 0)
+    at = (F.pmod(k * 7, F.size(ids)) + 1).cast("int")
+    basis = F.when(k % 5 == 1, hr.VOCATIVE).when(k % 7 == 2, hr.REORDERED).otherwise("paraphrase")
+    rows = grouped.join(own, ["movie_key", "request_id"], "left").select(
+        "movie_key", "request_id", "line", text.alias("text"), "tokens", F.when(found, "match").otherwise(hr.NO_MATCH).alias("decision"), basis.alias("basis"), (k % 10 / 10.0 + 0.05).alias("confidence"),
+        F.when(found, F.slice(ids, at, (k % 2 + 1).cast("int"))).otherwise(F.array().cast("array<long>")).alias("selected"),
+        F.when(F.col("block_start").isNotNull(), k % 20 / 20.0).alias("semantic"), F.col("block_start").isNotNull().alias("automatic"),
+    )
+    scenes = blocks.select("movie_key", F.col("block").alias("_first"), "scene")
+    rows = rows.withColumn("_first", F.array_min("selected")).join(scenes, ["movie_key", "_first"], "left").drop("_first")
+    asks = requests.select("movie_key", "request_id", F.col("before").alias("lower"), F.col("after").alias("upper"), "fallback", F.lit(rq.Limits().candidates).alias("candidate_limit"), (F.col("request_id") % 9 == 4).alias("parser_warning"))
+    return rows, asks, candidates, blocks
+
+
+@query
+def high_risk_audit(spark, sf_dir):
+    """Decisions with a reason to look at them, and the class of those without a match."""
+    found = hr.audit(*decided(spark, sf_dir))
+    return found.withColumns({"reasons": F.array_join("reasons", "+"), "evidence": F.array_join("evidence", "+")})
+
+
+@query
+def high_risk_summary(spark, sf_dir):
+    """Counts of reasons and classes."""
+    return hr.summary(hr.audit(*decided(spark, sf_dir)))
+
+
+@query
+def outside_matches(spark, sf_dir):
+    """What lines without a match have in the script outside their candidates."""
+    rows, requests, candidates, blocks = decided(spark, sf_dir)
+    return hr.outside(rows.where(F.col("decision") == hr.NO_MATCH), requests, candidates, blocks)

@@ -96,7 +96,7 @@ def test_split_long_events(spark):
 
 
 #: Queries without SQL, and the test that has a plain version of each.
-TESTED = {"composite_audit", "composite_audit_summary", "calibration_errors", "review_requests", "review_candidates", "script_rescue_v2", "script_rescue_v3", "script_rescue_v4", "rescued_requests", "pilot_selection", "approximate_sketches", "fuzzy_best_block", "split_long_events", "cursor_retrieval", "align_lines"}
+TESTED = {"high_risk_audit", "high_risk_summary", "outside_matches", "composite_audit", "composite_audit_summary", "calibration_errors", "review_requests", "review_candidates", "script_rescue_v2", "script_rescue_v3", "script_rescue_v4", "rescued_requests", "pilot_selection", "approximate_sketches", "fuzzy_best_block", "split_long_events", "cursor_retrieval", "align_lines"}
 
 
 def test_all_queries_are_tested(spark):
