@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,41 +22,89 @@ def normalized(rows: DataFrame, vector: str) -> DataFrame:
     return out.withColumn("x", F.when(F.col("_n") > 0, F.transform("x", lambda e: e / F.col("_n")))).drop("_n", vector)
 
 
-#: Gallery vectors of a block, and queries that meet a block in one partition key, about.
-GALLERY_BLOCK, QUERY_BLOCK = 256, 20_000
+#: Gallery vectors of a block, queries that meet a block in one partition key, and queries of one product, about.
+GALLERY_BLOCK, QUERY_BLOCK, PRODUCT = 4096, 20_000, 512
 
 
-def _against(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str], best: Callable[[Column], Column]) -> DataFrame:
-    """query_id, ``keep`` and ``best`` of the array (cosine, id) of each query with each block of the gallery.
+class BlockProduct:
+    """For ``mapInArrow`` over rows sorted by block, key, length and side (0 the gallery, 1 the queries): the ``k`` best of each block.
+
+    A block of the gallery is held as a matrix; queries stream past it, some hundred to a product.
+    """
+
+    def __init__(self, k: int, keep: list[str]):
+        self.k, self.keep = k, keep
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, held, gallery = None, [], [], None
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "key", "length", "side")], axis=1)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if start == stop:
+                    continue
+                own, side, rows = tuple(group[start, :3]), group[start, 3], batch.slice(start, stop - start)
+                if own != name:
+                    name, ids, held, gallery = own, [], [], None
+                x = rows.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                if side == 0:
+                    ids.append(rows.column("id").to_numpy(zero_copy_only=False))
+                    held.append(x)
+                elif held:
+                    if gallery is None:
+                        known = np.concatenate(ids)
+                        order = np.argsort(known, kind="stable")
+                        known, gallery = known[order], np.concatenate(held)[order]
+                    for at in range(0, len(rows), PRODUCT):
+                        yield self.best(rows.slice(at, PRODUCT), x[at : at + PRODUCT], known, gallery)
+
+    def best(self, rows: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, gallery: np.ndarray) -> pa.RecordBatch:
+        cosine = x @ gallery.T
+        o = -np.round(cosine, 9)
+        o[~np.isfinite(o) | (rows.column("id").to_numpy(zero_copy_only=False)[:, None] == ids[None, :])] = np.inf
+        k = min(self.k, len(ids))
+        row, col = np.nonzero((o <= np.partition(o, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(o))
+        order = np.lexsort((col, o[row, col], row))  # columns are in the order of the ids
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        taken = rows.take(pa.array(row))
+        columns = [taken.column("id"), *[taken.column(c) for c in self.keep], pa.array(o[row, col]), pa.array(ids[col]), pa.array(cosine[row, col])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", *self.keep, "o", "found", "cosine"])
+
+
+def _against(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str], k: int) -> DataFrame:
+    """query_id, ``keep``, o (minus the rounded cosine), found, cosine: of each query and each block of the gallery the ``k`` best.
 
     The gallery is dealt by a hash into bounded blocks, the queries into as many keys as they
-    need; they meet by an equality join on (block, key), so neither side is gathered or broadcast
-    whole, and only the best of a block goes on.
+    need; both are shuffled by (block, key), so neither side is gathered or broadcast whole, and only
+    the best of a block goes on.  Vectors that are null, of another length or with components that
+    are not finite are not found and find nothing.  Ids are whole numbers.
     """
     blocks = max(1, -(-gallery.count() // GALLERY_BLOCK))
     keys = max(1, -(-queries.count() // QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    g = gallery.select(F.pmod(F.xxhash64(vec_id), F.lit(blocks)).alias("block"), F.struct(F.col(vec_id).alias("id"), F.col("x").alias("x")).alias("g"))
-    g = g.groupBy("block").agg(F.collect_list("g").alias("g")).withColumn("key", each(keys))
-    q = queries.select(F.col(vec_id).alias("query_id"), F.col("x").alias("_q"), *keep, F.pmod(F.xxhash64(F.col(vec_id), F.lit(1)), F.lit(keys)).alias("key")).withColumn("block", each(blocks))
-    q = q.withColumn("key", F.col("key").cast("int")).withColumn("block", F.col("block").cast("long"))
-    own = F.filter("g", lambda e: e["id"] != F.col("query_id"))
-    scored = F.transform(own, lambda e: F.struct(dot(F.col("_q"), e["x"]).alias("cosine"), e["id"].alias(vec_id)))
-    return q.join(g, ["block", "key"]).select("query_id", *keep, best(scored).alias("best"))
+    dealt = lambda n, *seed: F.pmod(F.xxhash64(F.col(vec_id), *map(F.lit, seed)), F.lit(n)).cast("int")
+    types = {f.name: f.dataType for f in queries.schema}
+    none = [F.lit(None).cast(types[c]).alias(c) for c in keep]
+    g = gallery.select(dealt(blocks).alias("block"), each(keys).alias("key"), F.lit(0).alias("side"), F.col(vec_id).cast("long").alias("id"), "x", *none)
+    q = queries.select(each(blocks).alias("block"), dealt(keys, 1).alias("key"), F.lit(1).alias("side"), F.col(vec_id).cast("long").alias("id"), "x", *keep)
+    both = g.unionByName(q).where("x IS NOT NULL AND size(x) > 0 AND NOT exists(x, e -> e IS NULL)").withColumn("length", F.size("x"))
+    both = both.repartition("block", "key", "length").sortWithinPartitions("block", "key", "length", "side")
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *[T.StructField(c, types[c]) for c in keep], T.StructField("o", T.DoubleType()), T.StructField("found", T.LongType()), T.StructField("cosine", T.DoubleType())])
+    return both.mapInArrow(BlockProduct(k, keep), schema)
 
 
 def gallery_top_k(queries: DataFrame, gallery: DataFrame, vec_id: str, k: int) -> DataFrame:
     """query_id, rank, id and cosine of the ``k`` most similar gallery vectors but the query itself (cosines equal to 9 digits: the smaller id)."""
-    ordered = lambda a: F.array_sort(F.transform(a, lambda e: F.struct((-F.round(e["cosine"], 9)).alias("o"), e[vec_id].alias(vec_id), e["cosine"].alias("cosine"))))
-    found = _against(queries, gallery, vec_id, [], lambda a: F.slice(ordered(a), 1, k)).select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
-    w = Window.partitionBy("query_id").orderBy("o", vec_id)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("o")
+    w = Window.partitionBy("query_id").orderBy("o", "found")
+    found = _against(queries, gallery, vec_id, [], k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.select("query_id", F.col("found").alias(vec_id), "cosine", "rank")
 
 
 def best_similarity(queries: DataFrame, gallery: DataFrame, vec_id: str, keep: list[str]) -> DataFrame:
-    """Each query with its largest similarity to the gallery, but to itself."""
-    found = _against(queries, gallery, vec_id, keep, lambda a: F.array_max(F.transform(a, lambda e: e["cosine"])))
-    return found.groupBy("query_id", *keep).agg(F.max("best").alias("similarity")).where("similarity IS NOT NULL")
+    """Each query with its largest similarity to the gallery, but to itself; queries that find nothing are left out."""
+    return _against(queries, gallery, vec_id, keep, 1).groupBy("query_id", *keep).agg(F.max("cosine").alias("similarity"))
 
 
 def calibrate(positives: DataFrame, negatives: DataFrame, vec_id: str) -> DataFrame:
