@@ -2,9 +2,14 @@
 
 Coarse centroids and the codebooks of the residuals are fitted by k-means on a
 bounded sample (one row for each of ``SAMPLE`` hash buckets).  Every row is
-filed in the list of its nearest centroid with the codes of its residual.  A
-query probes the lists of its nearest centroids; in each list a table of
-asymmetric distances ranks the codes, and the best are scored exactly.
+filed in the list of its nearest centroid with the codes of its residual and how
+far the codes are off.  A query has a floor, the k-th best score in the sample,
+and probes each list that can reach it: the product with the centroid plus the
+list's radius times the query's length.  There a table of asymmetric distances
+ranks the codes, the best are scored exactly, and so is every other row whose
+distance by codes, plus what these are off, can reach the k-th best.  No row is
+lost, whatever the lengths and clusters of the vectors; these decide how many
+lists and rows are left out.
 
 A list is one key, and a frequent vector can make one list hold a third of all
 rows, so a list of more than ``GROUP`` rows is dealt by a hash to as many groups
@@ -33,15 +38,14 @@ from sceneline.llm.vectors import best_of, dot, matrix, usable
 SAMPLE = 8192
 #: Coarse lists: square root of the rows, within these limits.
 MIN_LISTS, MAX_LISTS = 16, 4096
-#: Lists probed by a query: this many, and this share of all lists, at least.  Near neighbours in
-#: data without clusters lie in many lists; the share is what recall 0.9 takes on such data.
-PROBES, PROBE_SHARE = 24, 0.65
 #: Subspaces of the residual and code words of each (codes fit in a byte).
 SUBSPACES, WORDS = 32, 256
 #: Rows of a group, about.  Each gives its best rows for each query, so small groups make many partial results.
 GROUP = 8192
-#: Rows scored exactly for a query in each group.
+#: Rows scored exactly for a query in each group, before the bounds say which others have to be.
 RERANK = 200
+#: Added to bounds for rounding, as a share of the lengths.
+SLACK = 2e-9
 #: Queries worked on at once.
 QUERY_BLOCK = 128
 
@@ -73,6 +77,13 @@ class Index:
     def codes(self, residuals: np.ndarray) -> np.ndarray:
         return np.stack([nearest(residuals[:, a:b], book) for (a, b), book in zip(self.spans, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
 
 def fit(sample: np.ndarray, lists: int) -> Index:
     coarse = kmeans(sample, lists)
@@ -83,7 +94,7 @@ def fit(sample: np.ndarray, lists: int) -> Index:
 
 
 class File:
-    """For ``mapInPandas``: the list and codes of each row."""
+    """For ``mapInPandas``: the list and codes of each row; how far it is from the centroid, and the codes from it, at most."""
 
     def __init__(self, index):
         self.index = index
@@ -94,32 +105,55 @@ class File:
             if len(batch):
                 x = matrix(batch["x"])
                 lists = nearest(x, index.coarse)
-                codes = index.codes(x - index.coarse[lists])
-                yield batch.assign(list=lists.astype(np.int32), codes=[c.tobytes() for c in codes])
+                residuals = x - index.coarse[lists]
+                codes = index.codes(residuals)
+                far, slack = lengths(residuals), SLACK * lengths(x)
+                off = lengths(residuals - index.decoded(codes))
+                yield batch.assign(list=lists.astype(np.int32), codes=[c.tobytes() for c in codes], far=far * (1 + SLACK) + slack, off=off * (1 + SLACK) + slack)
 
 
 class Probe:
-    """For ``mapInPandas``: a row for each group that a query goes to, with the lists it probes there."""
+    """For ``mapInPandas``: a row for each group that a query goes to, with its floor and the lists it probes there.
+
+    ``sample`` (ids and vectors) has rows of the table; a query's floor is the ``k``-th best score in it.
+    """
 
-    def __init__(self, index, groups: dict[int, range], probes: int):
-        self.index, self.groups, self.probes = index, groups, probes
+    def __init__(self, index, sample, groups: dict[int, range], radius: dict[int, float], k: int):
+        self.index, self.sample, self.groups, self.radius, self.k = index, sample, groups, radius, k
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coarse = self.index.value.coarse
+        names = np.array(sorted(self.groups), dtype=np.intp)
+        radius = np.array([self.radius[c] for c in names.tolist()])
         for batch in batches:
-            at, groups, lists = [], [], []
-            x = matrix(batch["x"], coarse.shape[1])
-            far = (coarse * coarse).sum(axis=1)[None, :] - 2 * x @ coarse.T
-            for i, order in enumerate(np.argsort(far, axis=1, kind="stable")[:, : self.probes]):
-                own: dict[int, list[int]] = {}
-                for c in order.tolist():
-                    for g in self.groups.get(c, ()):
-                        own.setdefault(g, []).append(c)
-                at += [i] * len(own)
-                groups += own
-                lists += own.values()
-            if at:
-                yield batch.iloc[at].assign(group=np.array(groups, dtype=np.int32), probed=lists)
+            for start in range(0, len(batch), QUERY_BLOCK):
+                part = batch.iloc[start : start + QUERY_BLOCK]
+                x = matrix(part["x"], coarse.shape[1])
+                floors = self.floors(x, part["vec_id"].to_numpy())
+                most = x @ coarse[names].T + lengths(x)[:, None] * radius
+                at, groups, lists = [], [], []
+                for i, reach in enumerate(~(most < floors[:, None])):  # a bound that is no number leaves nothing out
+                    own: dict[int, list[int]] = {}
+                    for c in names[reach].tolist():
+                        for g in self.groups[c]:
+                            own.setdefault(g, []).append(c)
+                    at += [i] * len(own)
+                    groups += own
+                    lists += own.values()
+                if at:
+                    yield part.iloc[at].assign(group=np.array(groups, dtype=np.int32), probed=lists, floor=floors[at])
+
+    def floors(self, x: np.ndarray, me: np.ndarray) -> np.ndarray:
+        ids, rows = self.sample.value
+        out = np.full(len(x), -np.inf)
+        about = x @ rows.T
+        about[me[:, None] == ids[None, :]] = -np.inf
+        for i, row in enumerate(about):
+            if len(ids) > self.k:
+                at = np.argpartition(row, len(row) - self.k)[len(row) - self.k :]
+                if (ids[at] != me[i]).all():
+                    out[i] = dot(rows[at], x[i]).min()
+        return out
 
 
 class Group:
@@ -128,38 +162,54 @@ class Group:
     def __init__(self, index: Index, rows: pd.DataFrame):
         rows = rows.sort_values(["list", "vec_id"], kind="stable")
         self.index, self.ids, self.x = index, rows["vec_id"].to_numpy(), matrix(rows["x"])
+        self.off = rows["off"].to_numpy()
         self.codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1).astype(np.intp)
         names, first = np.unique(rows["list"].to_numpy().astype(np.int64), return_index=True)
         self.lists = list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True))
 
     def search(self, queries: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
-        """The ``k`` best rows for each query: by codes in the lists it probes, then exactly."""
-        found, index, ids, x = [], self.index, self.ids, self.x
+        """The ``k`` best rows for each query in the lists it probes: by codes, then exactly."""
+        found, ids, x = [], self.ids, self.x
         q = matrix(queries["x"])
-        tables = [q[:, a:b] @ book.T for (a, b), book in zip(index.spans, index.books, strict=True)]
-        about = np.full((len(q), len(ids)), -np.inf)
-        probed = [frozenset(map(int, p)) for p in queries["probed"]]
-        for name, a, b in self.lists:
-            who = np.array([i for i, p in enumerate(probed) if name in p], dtype=np.intp)
-            if len(who):
-                sums = np.repeat((q[who] @ index.coarse[name])[:, None], b - a, axis=1)
-                for s, table in enumerate(tables):
-                    sums += table[who][:, self.codes[a:b, s]]
-                about[who, a:b] = sums
-        for i, me in enumerate(queries["vec_id"]):
-            row = about[i]
-            row[ids == me] = -np.inf
-            m = min(rerank, len(row))
-            edge = np.partition(row, len(row) - m)[len(row) - m]
-            at = np.flatnonzero(row > edge)
-            if np.isfinite(edge):
-                tied = np.flatnonzero(row == edge)  # of equal codes the smaller ids
-                at = np.concatenate((at, tied[np.argsort(ids[tied], kind="stable")][:m]))
+        about = self.about(q, queries["probed"])
+        most = about + lengths(q)[:, None] * self.off
+        for i, (me, floor) in enumerate(zip(queries["vec_id"], queries["floor"], strict=True)):
+            open_ = (about[i] != -np.inf) & (ids != me)
+            at = np.flatnonzero(open_)
+            if len(at) > rerank:
+                at = at[np.argpartition(about[i][at], len(at) - rerank)[len(at) - rerank :]]
             score = dot(x[at], q[i])
+            if len(at) >= k:
+                floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
+            open_[at] = False
+            more = np.flatnonzero(open_ & ~(most[i] < floor))  # a bound that is no number leaves nothing out
+            at, score = np.concatenate((at, more)), np.concatenate((score, dot(x[more], q[i])))
             top = np.lexsort((ids[at], -score))[:k]
+            top = top[score[top] >= floor]
             found.append(pd.DataFrame({"query_id": me, "vec_id": ids[at][top], "score": score[top]}))
         return pd.concat(found)
 
+    def about(self, q: np.ndarray, probed: pd.Series) -> np.ndarray:
+        """The score of each row by its codes, minus infinity in lists that the query does not probe."""
+        index = self.index
+        tables = [q[:, a:b] @ book.T for (a, b), book in zip(index.spans, index.books, strict=True)]
+        about = np.full((len(q), len(self.ids)), -np.inf)
+        sets = [frozenset(map(int, p)) for p in probed]
+        runs: list[tuple[list[int], int, int, list[int]]] = []  # lists next to each other that the same queries probe
+        for name, a, b in self.lists:
+            who = [i for i, p in enumerate(sets) if name in p]
+            if runs and runs[-1][0] == who and runs[-1][2] == a:
+                runs[-1] = (who, runs[-1][1], b, [*runs[-1][3], *[name] * (b - a)])
+            elif who:
+                runs.append((who, a, b, [name] * (b - a)))
+        for who, a, b, names in runs:
+            at = slice(None) if len(who) == len(q) else np.array(who, dtype=np.intp)
+            sums = (q[at] @ index.coarse.T)[:, names]
+            for s, table in enumerate(tables):
+                sums += table[at][:, self.codes[a:b, s]]
+            about[at, a:b] = sums
+        return about
+
 
 class SearchGroups:
     """For ``mapInPandas`` over rows sorted by group, those of the index before the queries."""
@@ -200,8 +250,8 @@ def pack(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
     return table
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBES, share: float = PROBE_SHARE, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score of the ``k`` nearest rows found for each row whose id is divisible by ``every``.
+def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK) -> DataFrame:
+    """query_id, rank, vec_id, score of the ``k`` nearest rows for each row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision.  Vectors that are null, empty, zero or
     hold a null or non-finite component take no part, nor do those of another length than the
@@ -222,15 +272,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROBE
     lists = min(MAX_LISTS, max(MIN_LISTS, math.isqrt(total)))
     index = spark.sparkContext.broadcast(fit(matrix(got["x"]), lists))
 
-    filed = materialize(rows.mapInPandas(File(index), "vec_id long, x array<double>, list int, codes binary"), "ivf-lists")
-    table = pack(dict(filed.groupBy("list").count().collect()))  # MAX_LISTS rows
+    filed = materialize(rows.mapInPandas(File(index), "vec_id long, x array<double>, list int, codes binary, far double, off double"), "ivf-lists")
+    of_lists = filed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # MAX_LISTS rows
+    table = pack({r["list"]: r["n"] for r in of_lists})
     groups = {name: range(first, first + parts) for name, first, parts in table}
     of_list = F.broadcast(spark.createDataFrame(table, "list int, first int, parts int"))  # MAX_LISTS rows
     dealt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))
-    filed = filed.join(of_list, "list").select("vec_id", "x", "list", "codes", (F.col("first") + dealt).cast("int").alias("group"), F.lit(False).alias("query"))
-    n_probes = min(lists, max(probes, math.ceil(share * lists)))
+    filed = filed.join(of_list, "list").select("vec_id", "x", "list", "codes", "off", (F.col("first") + dealt).cast("int").alias("group"), F.lit(False).alias("query"))
+    known = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), matrix(got["x"])))
+    radius = {r["list"]: r["radius"] for r in of_lists}
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    probed = queries.mapInPandas(Probe(index, groups, n_probes), "vec_id long, x array<double>, group int, probed array<int>")
+    probed = queries.mapInPandas(Probe(index, known, groups, radius, k), "vec_id long, x array<double>, group int, probed array<int>, floor double")
     both = filed.unionByName(probed.withColumn("query", F.lit(True)), allowMissingColumns=True)
     n_groups = max(first + parts for _, first, parts in table)
     both = both.repartition(n_groups, "group").sortWithinPartitions("group", "query")

@@ -132,3 +132,28 @@ def test_ann_repeated_ids(spark):
     table = ivfpq.pack({0: 10, 1: 20_000, 2: 20, 3: 8100, 4: 5})
     spans = [range(first, first + parts) for _, first, parts in table]
     assert [len(s) for s in spans] == [1, 3, 1, 1, 1] and not set(spans[1]) & {s[0] for s in (spans[0], *spans[2:])}
+
+
+@pytest.mark.parametrize("kind", ["lengths", "few long", "two components", "shifted", "clusters", "heavy tails"])
+def test_ann_kinds_of_vectors(spark, monkeypatch, kind):
+    """The largest inner products are of long vectors in any list: the bounds find them all, whatever the table looks like."""
+    monkeypatch.setattr(ivfpq, "GROUP", 500)
+    monkeypatch.setattr(ivfpq, "SAMPLE", 256)
+    rng = np.random.default_rng(11)
+    n, dim = 1200, 2 if kind == "two components" else 16
+    x = rng.normal(0, 1, (n, dim))
+    if kind in ("lengths", "two components"):
+        x *= np.exp(rng.normal(0, 1.5, (n, 1)))
+    elif kind == "few long":
+        x[1:40] *= 50
+    elif kind == "shifted":
+        x += 5
+    elif kind == "clusters":
+        x = rng.normal(0, 1, (60, dim))[rng.integers(0, 60, n)] + 0.1 * x
+    elif kind == "heavy tails":
+        x = np.exp(2 * x) * rng.choice([-1, 1], (n, dim))
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    got = sorted(tuple(r) for r in ivfpq.search(frame(spark, rows), 5, 60, 10).collect())
+    want = brute(rows, 5, 60, zero=False)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) <= 1e-9 * max(1.0, abs(w[3])) for g, w in zip(got, want, strict=True))
