@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from sceneline.llm.common import map_texts
 
-#: Words kept encoded between batches; the table is emptied when it is full, so memory is bounded.
+#: Words kept encoded between batches of a task; the table is emptied when it is full, so memory is bounded.
 MAX_CACHED_WORDS = 400_000
 #: Longer words are encoded without being kept.
 MAX_CACHED_LENGTH = 64
@@ -193,6 +193,11 @@ class WordBpe:
                         del table[run]
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty the tables of words and pairs: a worker goes on to other tasks, which need the memory."""
+        for table in (self.cache, self.runs, self.pairs):
+            table.clear()
+
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece of text without special tokens."""
         if piece.isascii() or max(piece, default="") < "\u0530":
@@ -252,6 +257,9 @@ class Encode:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x.encode("utf-8")) for x in decoded]
 
+    def done(self) -> None:
+        load(self.path).forget()
+
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32) and decoded text of every row of ``docs``.

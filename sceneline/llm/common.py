@@ -62,7 +62,10 @@ def trim() -> None:
 
 
 class TextMap:
-    """For ``mapInArrow``: passes a key column through and computes columns from the texts, a few rows at a time."""
+    """For ``mapInArrow``: passes a key column through and computes columns from the texts, a few rows at a time.
+
+    What ``func`` keeps between texts it gives up in its method ``done``, if it has one, at the end of a task.
+    """
 
     def __init__(self, func, fields: dict[str, str], step: int):
         self.func, self.fields, self.step = func, fields, step
@@ -77,6 +80,8 @@ class TextMap:
                 found = self.func(part.column(1).to_pylist())
                 cols = [pa.array(v, type=types[t]) for v, t in zip(found, self.fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[part.schema.names[0], *self.fields])
+        if hasattr(self.func, "done"):
+            self.func.done()
         trim()
 
 

@@ -59,3 +59,17 @@ def test_small_tables(monkeypatch, library):
     mine = bpe.WordBpe(PATH)
     for text in ["one two three four five six seven eight nine ten", "one two eleven twelve one, two! " * 5]:
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tables_end_with_the_task():
+    """Workers are used again by stages that need the memory: a task leaves no word and no pair behind."""
+    import pyarrow as pa
+
+    from sceneline.llm.common import TextMap
+
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of a text", None])], names=["doc_id", "text"])
+    encode = bpe.Encode(bpe.default_path(), False)
+    got = list(TextMap(encode, {"ids": "binary", "decoded": "string"}, 32)([rows]))
+    assert got[0].column(2).to_pylist()[0] and got[0].column(2).to_pylist()[1] == ""
+    encoder = bpe.load(bpe.default_path())
+    assert not encoder.cache and not encoder.runs and not encoder.pairs
