@@ -14,7 +14,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 
-from sceneline.functions.text import fuzzy
+from sceneline.functions.text import fuzzy, token_set_ratio
 
 #: Words that say nothing about their place in a script.
 FUNCTION_WORDS = frozenset(
@@ -140,15 +140,16 @@ class Stack:
             held.append(t)
             n += len(t) + 1
             if n >= self.PILE or i == len(texts) - 1:
-                codes = np.concatenate([np.append(np.frombuffer(h.encode("utf-32-le", "surrogatepass"), dtype="<u4"), _END) for h in held])
-                first = np.cumsum([0, *(len(h) + 1 for h in held[:-1])])
+                codes = np.frombuffer(" ".join([*held, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+                first = np.cumsum([0, *(len(h) + 1 for h in held)])
+                codes[first[1:] - 1], first = _END, first[:-1]
                 self.piles.append((codes, first, _bits(codes != _END), {}))
                 held, n = [], 0
 
-    def common(self, line: str) -> np.ndarray:
-        """Length of the longest common subsequence of the line with each text."""
+    def unmatched(self, line: str) -> list[np.ndarray]:
+        """For each pile 1 at a character that adds nothing to the longest common subsequence of the line with its text up to there, else 0."""
         left = []
-        for codes, first, full, masks in self.piles:
+        for codes, _, full, masks in self.piles:
             if len(masks) > self.MASKS:
                 masks.clear()
             for c in set(line).difference(masks):
@@ -158,8 +159,12 @@ class Stack:
                 if mask:
                     u = row & mask
                     row = (row + u | row - u) & full
-            bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(codes) // 8), "little"), dtype=np.uint8), count=len(codes), bitorder="little")
-            left.append(np.add.reduceat(bits, first, dtype=np.int64))
+            left.append(np.unpackbits(np.frombuffer(row.to_bytes(-(-len(codes) // 8), "little"), dtype=np.uint8), count=len(codes), bitorder="little"))
+        return left
+
+    def common(self, line: str) -> np.ndarray:
+        """Length of the longest common subsequence of the line with each text."""
+        left = [np.add.reduceat(bits, pile[1], dtype=np.int64) for pile, bits in zip(self.piles, self.unmatched(line), strict=True)]
         return self.chars - np.concatenate(left) if left else self.chars
 
 
@@ -170,6 +175,18 @@ def _bits(at: np.ndarray) -> int:
     return int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
 
 
+def _set_bound(n: np.ndarray, both: np.ndarray, one: int, two: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What the token-set ratio can be at most of texts that share ``n`` different words of ``both`` characters.
+
+    ``one`` and ``two`` are the lengths of the sorted different words, ``common`` their longest common subsequence.
+    """
+    base = both + np.maximum(0, n - 1)
+    more = np.minimum(common, np.minimum(one, two) - base)
+    by_set = 2 * (both + n + more) / np.maximum(1, one + two)
+    by_base = np.where(n > 0, 2 * base / np.maximum(1, base + np.minimum(one, two)), 0.0)
+    return np.where((n > 0) & (base >= np.minimum(one, two)), 1.0, np.minimum(1.0, np.maximum(by_set, by_base)))
+
+
 def _bag(text: str) -> np.ndarray:
     return np.bincount([ord(c) % _BAG for c in text], minlength=_BAG).astype(np.int32)
 
@@ -264,12 +281,7 @@ class Dialogue:
             if (at := self.postings.get(t)) is not None:
                 n[at] += 1
                 both[at] += len(t)
-        base = both + np.maximum(0, n - 1)
-        one, two = len(distinct), sets.chars
-        more = np.minimum(sets.common(distinct), np.minimum(one, two) - base)
-        by_set = 2 * (both + n + more) / np.maximum(1, one + two)
-        by_base = np.where(n > 0, 2 * base / np.maximum(1, base + np.minimum(one, two)), 0.0)
-        by_set = np.where((n > 0) & (base >= np.minimum(one, two)), 1.0, np.minimum(1.0, np.maximum(by_set, by_base)))
+        by_set = _set_bound(n, both, len(distinct), sets.chars, sets.common(distinct))
         coverage = np.minimum(self.words, len(line)) / np.maximum(1, np.maximum(self.words, len(line)))
         return np.where(self.words > 0, np.maximum(plain, by_set * coverage), 0.0)
 
@@ -326,3 +338,52 @@ class Dialogue:
             found = (-round(fuzzy(line, self.texts[i]), digits), self.numbers[i][0])
             best = found if best is None else min(best, found)
         return None if best is None else (-best[0], best[1])
+
+
+class Spans:
+    """The spans of a block that are ``narrow`` to ``wide`` words long, for the one that agrees best with a line.
+
+    Spans of one beginning are prefixes of the widest, so a step for each character of the line gives the
+    plain ratio of all of them; the token-set ratio is bounded as in :meth:`Dialogue.tight`.  Only spans
+    whose bound reaches the best so far are compared.
+    """
+
+    def __init__(self, block: list[str], narrow: int, wide: int):
+        self.block = block
+        widths = range(narrow, min(wide, len(block)) + 1)
+        self.at = [(w, a) for w in widths for a in range(len(block) - w + 1)]
+        self.width, self.begin = (np.array([p[k] for p in self.at], dtype=np.int64) for k in (0, 1))
+        texts = [" ".join(block[a : a + wide]) for a in range(len(block))]
+        sums = np.cumsum([0, *(len(t) for t in block)])
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.chars = sums[self.begin + self.width] - sums[self.begin] + self.width - 1
+        self.first, self.last = first[self.begin], first[self.begin] + self.chars
+        self.whole, self.sets = Stack(texts), Stack([" ".join(sorted(set(block[a : a + w]))) for w, a in self.at])
+
+    def best(self, line: list[str], start: int) -> tuple[float, int, int] | None:
+        """(fuzzy score, first word, width) of the best span from ``start`` on; ties to the narrowest, then to the first."""
+        if not np.any(self.begin >= start):
+            return None
+        text, own = " ".join(line), set(line)
+        distinct = " ".join(sorted(own))
+        left = np.cumsum(np.concatenate([[0], *self.whole.unmatched(text)]), dtype=np.int64)
+        both_chars = self.chars + len(text)
+        plain = np.where(both_chars > 0, 2 * (self.chars - (left[self.last] - left[self.first])) / np.maximum(1, both_chars), 1.0)
+        n, both = np.zeros(len(self.at), dtype=np.int64), np.zeros(len(self.at), dtype=np.int64)
+        for t in own.intersection(self.block):
+            seen = np.cumsum([0, *(t == word for word in self.block)])
+            here = seen[self.begin + self.width] > seen[self.begin]
+            n += here
+            both += here * len(t)
+        by_set = _set_bound(n, both, len(distinct), self.sets.chars, self.sets.common(distinct))
+        can = by_set * np.minimum(self.width, len(line)) / np.maximum(self.width, len(line))
+        plain[self.begin < start] = can[self.begin < start] = -1.0
+        first = int(np.argmax(plain))
+        best = (-float(plain[first]), first)
+        for i in np.argsort(-can, kind="stable").tolist():
+            if can[i] < 0 or can[i] < -best[0] - _EPS:
+                break
+            w, a = self.at[i]
+            by_set = token_set_ratio(line, self.block[a : a + w]) * min(w, len(line)) / max(w, len(line))
+            best = min(best, (-max(float(plain[i]), by_set), i))
+        return (-best[0], self.at[best[1]][1], self.at[best[1]][0])

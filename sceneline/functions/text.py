@@ -113,10 +113,12 @@ def token_set_ratio(a: list[str], b: list[str]) -> float:
     both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
     if both and (not left or not right):
         return 1.0
-    base = " ".join(both)
-    one, two = " ".join([*both, *left]), " ".join([*both, *right])
-    best = ratio(one, two)
-    return max(best, ratio(base, one), ratio(base, two)) if both else best
+    one, two = " ".join(left), " ".join(right)
+    if not both:
+        return ratio(one, two)
+    n = sum(map(len, both)) + len(both)  # what comes first in both strings, with a blank after it
+    a, b = n + len(one), n + len(two)
+    return max(2 * (n + lcs(one, two)) / (a + b), 2 * (n - 1) / (n - 1 + a), 2 * (n - 1) / (n - 1 + b))
 
 
 def fuzzy(a: list[str], b: list[str]) -> float:

@@ -3,20 +3,24 @@
 Lines that stand at exactly one place of the script are anchors; the longest
 monotone chain of them cuts a film into regions that do not depend on each
 other.  Within a region lines are aligned one after the other with a cursor,
-which is a fold: a region - some hundred short rows - is one group of a grouped
-map, so the work spreads over films and regions.
+which is a fold: the rows of a region - some hundred short ones - come together
+and regions stream through a task, so the work spreads over films and regions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneline.functions.evidence import Spans
 from sceneline.functions.text import GENERIC, fuzzy
 from sceneline.operators.matching import containment_join, unique_places
+from sceneline.sources.scratch import scratch_path
 
 
 @dataclass(frozen=True)
@@ -105,8 +109,15 @@ def _places(needle: list[str], hay: list[str]) -> list[int]:
     return [i for i in range(len(hay) - n + 1) if hay[i : i + n] == needle] if n else []
 
 
-def _one_block(line: list[str], block: list[str], start: int) -> tuple[float, int, int, str] | None:
-    """Score, token span and method of a line in one block: contained anywhere, else containing, else the best span from ``start`` on."""
+#: Spans of blocks that a region keeps for its next lines.
+_KEPT = 128
+
+
+def _one_block(line: list[str], block: list[str], start: int, spans) -> tuple[float, int, int, str] | None:
+    """Score, token span and method of a line in one block: contained anywhere, else containing, else the best span from ``start`` on.
+
+    ``spans`` gives the :class:`Spans` of the block for a number of words.
+    """
     at = _places(line, block)
     if at:
         first = next((a for a in at if a >= start), at[0])
@@ -114,15 +125,10 @@ def _one_block(line: list[str], block: list[str], start: int) -> tuple[float, in
     rest = block[start:]
     if rest and _places(rest, line):
         return 0.99 * len(rest) / len(line), start, len(block), "reverse_substring"
-    best = None
-    for width in range(max(1, len(line) - 3), len(line) + 6):
-        for a in range(start, len(block) - width + 1):
-            s = fuzzy(line, block[a : a + width])
-            if best is None or s > best[0]:
-                best = (s, a, a + width, "fuzzy")
-    if best is None and rest:
-        best = (fuzzy(line, rest), start, len(block), "fuzzy")
-    return best
+    if found := spans(len(line)).best(line, start):
+        score, a, width = found
+        return score, a, a + width, "fuzzy"
+    return (fuzzy(line, rest), start, len(block), "fuzzy") if rest else None
 
 
 def _two_blocks(line: list[str], left: list[str], right: list[str], start: int) -> tuple[float, int, int, str] | None:
@@ -150,7 +156,15 @@ def align_region(lines: list[tuple[int, list[str]]], blocks: dict[int, list[str]
             hits = [(b, a) for b, h in tokens.items() for a in _places(t, h) if b > low or a >= first_token]
             if len(hits) == 1:
                 places[n] = hits[0]
-    cursor, out = (low, first_token), []
+    cursor, out, kept = (low, first_token), [], {}
+
+    def spans(b: int, n: int) -> Spans:
+        if (b, n) not in kept:
+            if len(kept) >= _KEPT:
+                kept.clear()
+            kept[b, n] = Spans(tokens.get(b, []), max(1, n - 3), n + 5)
+        return kept[b, n]
+
     for i, (n, t) in enumerate(lines):
         future = min((places[m] for m, _ in lines[i + 1 :] if m in places and places[m] >= cursor), default=(high, 0))[0]
         cands = []
@@ -161,7 +175,7 @@ def align_region(lines: list[tuple[int, list[str]]], blocks: dict[int, list[str]
             for b in range(cursor[0], min(high, future) + 1):
                 start = cursor[1] if b == cursor[0] else 0
                 gap = min(policy.gap_most, policy.gap_penalty * (b - cursor[0]))
-                one = _one_block(t, tokens.get(b, []), start)
+                one = _one_block(t, tokens.get(b, []), start, partial(spans, b))
                 if one:
                     cands.append((one[0] - gap, b, b, one[1], one[2], one[3]))
                 if b + 1 <= high and (two := _two_blocks(t, tokens.get(b, []), tokens.get(b + 1, []), start)):
@@ -189,6 +203,45 @@ def align_region(lines: list[tuple[int, list[str]]], blocks: dict[int, list[str]
     return out
 
 
+class Regions:
+    """For ``mapInPandas`` over rows sorted by film and region, blocks (without a line) before lines: a region is done when the next one begins."""
+
+    NAMES = ("movie_key", "line", "status", "method", "block_start", "block_end", "token_start", "token_end", "score", "margin", "reason")
+    WHOLE = ("line", "block_start", "block_end", "token_start", "token_end")
+
+    def __init__(self, policy: Policy):
+        self.policy = policy
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, texts, lines, out = None, {}, [], []
+        for batch in batches:
+            cols = [batch[c] for c in ("movie_key", "region", "line", "block", "tokens", "low", "high", "first_token", "last_token")]
+            for movie, region, line, block, tokens, *bounds in zip(*cols, strict=True):
+                if own != (movie, region):
+                    out += self.region(own, texts, lines)
+                    own, texts, lines = (movie, region), {}, []
+                if pd.isna(line):
+                    texts[int(block)] = list(tokens)
+                else:
+                    lines.append((int(line), list(tokens), bounds))
+            if out:
+                yield self.frame(out)
+                out = []
+        if lines:
+            yield self.frame(self.region(own, texts, lines))
+
+    def region(self, own: tuple[str, int] | None, texts: dict[int, list[str]], lines: list[tuple]) -> list[tuple]:
+        if not lines:
+            return []
+        low, high, first, last = (None if pd.isna(b) else int(b) for b in lines[0][2])
+        low, high = (low, min(high, max(texts))) if low is not None and high is not None and texts else (0, -1)
+        return [(own[0], *found) for found in align_region([(n, t) for n, t, _ in lines], texts, low, high, first or 0, last, self.policy)]
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.NAMES)
+        return out.astype(dict.fromkeys(self.WHOLE, "Int64") | dict.fromkeys(("score", "margin"), "float64"))
+
+
 def align(lines: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Every line with its status and place (see ``ALIGNED``); lines have movie_key (string), line and tokens."""
     chain = anchor_chain(anchors(lines, blocks))
@@ -203,6 +256,9 @@ def align(lines: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> Dat
             "right": F.first("anchor", True).over(w.rowsBetween(*after)),
         }
     )
+    path = scratch_path(lines.sparkSession, "regions")
+    rows.write.parquet(path)  # anchored and open lines, and the regions' bounds, are read from it
+    rows = lines.sparkSession.read.parquet(path)
     done = rows.where("anchor IS NOT NULL").select(
         "movie_key",
         "line",
@@ -216,30 +272,14 @@ def align(lines: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> Dat
         F.lit(1.0).alias("margin"),
         F.lit(None).cast("string").alias("reason"),
     )
-    open_ = rows.where("anchor IS NULL").drop("anchor")
-    bounds = open_.groupBy("movie_key", "region").agg(F.first("left").alias("left"), F.first("right").alias("right"))
     low = F.when(F.col("left").isNotNull(), F.col("left.block")).otherwise(F.greatest(F.lit(0), F.col("right.block") - policy.window))
     high = F.when(F.col("right").isNotNull(), F.col("right.block")).otherwise(F.col("left.block") + policy.window)
-    bounds = bounds.select("movie_key", "region", low.alias("low"), high.alias("high"), F.col("left.token_end").alias("first_token"), F.col("right.token_start").alias("last_token"))
+    open_ = rows.where("anchor IS NULL AND movie_key IS NOT NULL").select(
+        "movie_key", "region", "line", F.lit(None).cast("long").alias("block"), "tokens", low.alias("low"), high.alias("high"), F.col("left.token_end").alias("first_token"), F.col("right.token_start").alias("last_token")
+    )
     # Each region gets the blocks between its anchors, no others.
-    own = blocks.join(bounds, "movie_key").where("block BETWEEN low AND high").select(*[F.col(c).alias(c) for c in ("movie_key", "region", "block", "tokens")])  # columns of their own
-    left = open_.select("movie_key", "region", "line", "tokens").join(bounds, ["movie_key", "region"])
-
-    def per_region(rows: pd.DataFrame, script: pd.DataFrame) -> pd.DataFrame:
-        names = ["line", "status", "method", "block_start", "block_end", "token_start", "token_end", "score", "margin", "reason"]
-        if not len(rows):
-            return pd.DataFrame(columns=["movie_key", *names])
-        rows = rows.sort_values("line")
-        r = rows.iloc[0]
-        texts = {int(b): list(t) for b, t in zip(script["block"], script["tokens"], strict=True)}
-        known = pd.notna(r["low"]) and pd.notna(r["high"])
-        low, high = (int(r["low"]), min(int(r["high"]), max(texts))) if known and texts else (0, -1)
-        got = align_region([(int(n), list(t)) for n, t in zip(rows["line"], rows["tokens"], strict=True)], texts, low, high, int(r["first_token"]) if pd.notna(r["first_token"]) else 0, int(r["last_token"]) if pd.notna(r["last_token"]) else None, policy)
-        out = pd.DataFrame(got, columns=names)
-        for c in ("block_start", "block_end", "token_start", "token_end"):
-            out[c] = out[c].astype("Int64")
-        out.insert(0, "movie_key", r["movie_key"])
-        return out
-
-    aligned = left.groupBy("movie_key", "region").cogroup(own.groupBy("movie_key", "region")).applyInPandas(per_region, ALIGNED)
-    return done.unionByName(aligned)
+    bounds = open_.where("low <= high").groupBy("movie_key", "region").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    own = bounds.select("movie_key", "region", F.explode(F.sequence("low", "high")).alias("block")).join(blocks.select("movie_key", "block", "tokens"), ["movie_key", "block"])
+    none = [F.lit(None).cast(open_.schema[c].dataType).alias(c) for c in ("line", "low", "high", "first_token", "last_token")]
+    both = open_.unionByName(own.select("movie_key", "region", "block", "tokens", *none)).repartition("movie_key", "region").sortWithinPartitions("movie_key", "region", F.col("line").isNotNull(), "line")
+    return done.unionByName(both.mapInPandas(Regions(policy), ALIGNED))

@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions_of(needle: Column, hay: Column) -> Column:
-    """0-based positions at which the array ``needle`` stands in the array ``hay``."""
-    last = F.size(hay) - F.size(needle)
-    at = F.when((last >= 0) & (F.size(needle) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.slice(hay, i + 1, F.size(needle)) == needle)
-
-
 def containment_join(lines: DataFrame, blocks: DataFrame, keys: list[str], line_id: str, block_id: str, toks: str = "tokens") -> DataFrame:
     """All places where a line's token array stands in a block's: keys, line_id, block_id, token_start.
 
-    Pruned by an equality join on the line's rarest token.  Of the blocks only tokens of some line
-    are shuffled; how often they stand in blocks is summed before the shuffle.  Whole arrays come
-    in last, for the pairs that are left.
+    Pruned by an equality join on the line's rarest token, which comes with its positions on both
+    sides: each tells the one place of the line that can go with it, so a pair costs one comparison
+    of arrays.  Of the blocks only tokens of some line are shuffled; how often they stand in blocks
+    is summed before the shuffle.  Whole arrays come in last, for the pairs that are left.
     """
     own = lines.select(*keys, line_id, F.explode(F.array_distinct(toks)).alias("_t"))
-    posts = blocks.select(*keys, block_id, F.explode(F.array_distinct(toks)).alias("_t")).join(own.select(*keys, "_t").distinct(), [*keys, "_t"], "left_semi")
+    posts = blocks.select(*keys, block_id, F.posexplode(toks).alias("_p", "_t")).join(own.select(*keys, "_t").distinct(), [*keys, "_t"], "left_semi")
     rare = posts.groupBy(*keys, "_t").agg(F.count("*").alias("_df"))
     n = F.size(F.array_distinct(toks)).alias("_n")
     heads = own.join(rare, [*keys, "_t"]).groupBy(*keys, line_id).agg(F.min(F.struct("_df", "_t")).alias("_m"), F.count("*").alias("_found"))
-    heads = heads.join(lines.select(*keys, line_id, n), [*keys, line_id]).where("_found = _n")  # a line with a token of no block is nowhere
-    heads = heads.select(*keys, line_id, F.col("_m._t").alias("_t"))
+    heads = heads.join(lines.select(*keys, line_id, n, F.col(toks).alias("_needle")), [*keys, line_id]).where("_found = _n")  # a line with a token of no block is nowhere
+    heads = heads.select(*keys, line_id, F.col("_m._t").alias("_t"), "_needle", (F.array_position("_needle", F.col("_m._t")) - 1).cast("int").alias("_at"))
     hays = blocks.select(*keys, block_id, F.col(toks).alias("_hay"))
-    pairs = heads.join(posts, [*keys, "_t"]).join(lines.select(*keys, line_id, F.col(toks).alias("_needle")), [*keys, line_id]).join(hays, [*keys, block_id])
-    found = pairs.withColumn("token_start", F.explode(positions_of(F.col("_needle"), F.col("_hay"))))
+    pairs = heads.join(posts, [*keys, "_t"]).withColumn("token_start", F.col("_p") - F.col("_at")).where("token_start >= 0").join(hays, [*keys, block_id])
+    found = pairs.where(F.slice("_hay", F.col("token_start") + 1, F.size("_needle")) == F.col("_needle"))
     return found.select(*keys, line_id, block_id, "token_start", F.size("_needle").alias("line_tokens"), F.size("_hay").alias("block_tokens"))
 
 

@@ -272,3 +272,46 @@ def test_align_lines_equals_the_plain_version(spark):
     want = {k: (*v[:6], None if v[6] is None else round(v[6], 9), v[7]) for k, v in want.items()}
     assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {} and set(got) == set(want)
     assert {v[0] for v in want.values()} == {"auto_aligned", "needs_review", "no_match"}
+
+
+def test_spans_have_the_plain_best_and_compare_few(monkeypatch):
+    """The first of the best spans, as by trying all; of a long block few spans are compared by their words."""
+    from sceneline.functions import evidence
+
+    rng = random.Random(8)
+    words = ["a", "the", "of", "keys", "red", "car", "old", "friend", "ab", "ba", "é"]
+    for _ in range(400):
+        block, line = [rng.choice(words) for _ in range(rng.randrange(15))], [rng.choice(words) for _ in range(rng.randrange(1, 9))]
+        narrow, wide, start = max(1, len(line) - 3), len(line) + 5, rng.randrange(4)
+        want = None
+        for w in range(narrow, wide + 1):
+            for a in range(start, len(block) - w + 1):
+                s = tx.fuzzy(line, block[a : a + w])
+                if want is None or s > want[0]:
+                    want = (s, a, w)
+        assert evidence.Spans(block, narrow, wide).best(line, start) == want
+    seen = []
+    monkeypatch.setattr(evidence, "token_set_ratio", lambda a, b: seen.append(b) or tx.token_set_ratio(a, b))
+    block = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    line = [*block[40:45], "zzz"]
+    assert evidence.Spans(block, 3, 11).best(line, 0)[1] == 40
+    assert len(seen) < 60  # of some 1700
+
+
+def test_places_of_repeated_words(spark):
+    """A line whose rarest word is repeated, in itself and in the block, has every place once."""
+    from sceneline.operators import matching as mt
+
+    line = [("m", 1, "x a x".split()), ("m", 2, "x x".split()), ("m", 3, ["q", "x"])]
+    block = [("m", 7, "x a x a x x x".split()), ("m", 8, "a x".split())]
+    lines, blocks = spark.createDataFrame(line, "movie_key string, line long, tokens array<string>"), spark.createDataFrame(block, "movie_key string, block long, tokens array<string>")
+    got = sorted((r["line"], r["block"], r["token_start"]) for r in mt.containment_join(lines, blocks, ["movie_key"], "line", "block").collect())
+    assert got == [(1, 7, 0), (1, 7, 2), (2, 7, 4), (2, 7, 5)]
+
+
+def test_regions_and_places_are_no_grouped_maps_and_no_searches(spark):
+    """Lines between anchors stream through their tasks, and a pair of line and block costs one comparison, not one for each place."""
+    lines, blocks = frames(spark, ["good evening everybody", "nothing much reely"], "line"), frames(spark, SCRIPT, "block")
+    plan = al.align(lines, blocks)._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapCoGroups" not in plan
+    assert "lambda" not in al.anchors(lines, blocks)._jdf.queryExecution().toString()
