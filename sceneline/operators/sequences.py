@@ -7,11 +7,13 @@ by an explicit position, so work spreads over keys and no global sort is made.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
@@ -104,6 +106,43 @@ def bounded_islands(rows: DataFrame, key: str, order: list[str], at: str, gap: f
     return out.withColumn("chunk", F.floor(n / most))
 
 
+class GroupStream:
+    """For ``mapInArrow`` over rows sorted by their first ``keys`` columns: ``func`` makes rows of the rows (tuples) of one key.
+
+    Only one key's rows are held, and results go out in batches, so many small keys cost little each.
+    """
+
+    BATCH = 10_000
+
+    def __init__(self, keys: int, func, schema):
+        self.keys, self.func, self.schema = keys, func, schema
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
+        held, out = [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[: self.keys] != held[0][: self.keys]:
+                    out += self.func(held)
+                    held = []
+                held.append(row)
+            while len(out) >= self.BATCH:
+                yield frame(out[: self.BATCH])
+                out = out[self.BATCH :]
+        if held:
+            out += self.func(held)
+        if out:
+            yield frame(out)
+
+
+def stream_groups(rows: DataFrame, keys: list[str], order: list, func, schema: str) -> DataFrame:
+    """What ``func`` makes of the rows of each key, ``keys`` first in them, in order; nulls are a key.  One shuffle by key."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(GroupStream(len(keys), func, arrow), schema)
+
+
 class OrderedFold:
     """For ``mapInPandas`` over rows sorted by key and order: a value for each row from what came before it within its key.
 
@@ -283,25 +322,24 @@ def split_long(events: DataFrame, key: list[str], most: float) -> DataFrame:
     """Members (key, index, start, end, score) with part: an event longer than ``most`` is cut where the smaller neighbouring score is least.
 
     Ties go to the cut nearest the middle, then to the first.  Cuts depend on cuts before, so each
-    event - some rows - is done by a grouped map.
+    event - some rows - is done in one piece.
     """
     schema = ", ".join([*(f"{k} {events.schema[k].dataType.simpleString()}" for k in key), "index long, start double, end double, score double, part int"])
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("index").reset_index(drop=True)
-        todo, done = [(0, len(rows))], []
-        while todo:
-            a, b = todo.pop()
-            span = rows["end"].iloc[a:b].max() - rows["start"].iloc[a]
-            if span <= most or b - a == 1:
-                done.append((a, b))
-                continue
-            middle = (rows["start"].iloc[a] + rows["end"].iloc[b - 1]) / 2
-            best = min(range(a + 1, b), key=lambda i: (min(rows["score"].iloc[i - 1], rows["score"].iloc[i]), abs(rows["start"].iloc[i] - middle), i))
-            todo += [(best, b), (a, best)]
-        part = [0] * len(rows)
-        for n, (a, b) in enumerate(sorted(done)):
-            part[a:b] = [n] * (b - a)
-        return rows.assign(part=part)[[*key, "index", "start", "end", "score", "part"]]
-
-    return events.select(*key, "index", "start", "end", "score").groupBy(*key).applyInPandas(cut, schema)
+    columns = [F.col("index").cast("long"), *(F.col(c).cast("double") for c in ("start", "end", "score"))]
+    return stream_groups(events.select(*key, *columns), key, ["index"], partial(_cut, most, len(key)), schema)
+
+
+def _cut(most: float, keys: int, rows: list[tuple]) -> list[tuple]:
+    nan = float("nan")
+    start, end, score = ([nan if r[keys + k] is None else r[keys + k] for r in rows] for k in (1, 2, 3))
+    todo, done = [(0, len(rows))], []
+    while todo:
+        a, b = todo.pop()
+        span = max((e for e in end[a:b] if e == e), default=nan) - start[a]
+        if span <= most or b - a == 1:
+            done.append((a, b))
+            continue
+        middle = (start[a] + end[b - 1]) / 2
+        best = min(range(a + 1, b), key=lambda i: (min(score[i - 1], score[i]), abs(start[i] - middle), i))
+        todo += [(best, b), (a, best)]
+    return [(*r, n) for n, (a, b) in enumerate(sorted(done)) for r in rows[a:b]]
