@@ -46,15 +46,19 @@ class Bridge(StatefulProcessor):
         self.number = handle.getValueState("number", "event long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = []
         for batch in rows:
             for r in batch.itertuples():
                 self.waiting.updateValue((int(r.shot),), (int(r.scene), bool(r.selected), float(r.start), float(r.end)))
-                self.handle.registerTimer(int(r.end * 1000) + 1)
-        yield pd.DataFrame(columns=[c.split()[0] for c in SESSIONS.split(", ")])
+                ends.append(float(r.end))
+        if ends:  # one timer for the first row to be taken: what still waits then sets the next
+            self.handle.registerTimer(int(min(ends) * 1000) + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if v[3] <= now)
+        waiting = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
+        ready, later = [w for w in waiting if w[1][3] <= now], [w[1][3] for w in waiting if w[1][3] > now]
         out = []
         open_ = tuple(self.open.get()) if self.open.exists() else None
         last = tuple(self.last.get()) if self.last.exists() else None
@@ -73,10 +77,12 @@ class Bridge(StatefulProcessor):
                     open_ = (number, 1, shot, shot, start, end, shot * (end - start), end - start)
             last = (shot, scene, end - start, shot if selected else (last[3] if last else 0), scene if selected else (last[4] if last else 0))
             self.waiting.removeKey((shot,))
+        if later:
+            self.handle.registerTimer(int(min(later) * 1000) + 1)
         if ready:
             self.last.update(last)
             self.number.update((number,))
-        if open_ is not None and not any(True for _ in self.waiting.keys()):
+        if open_ is not None and not later:
             until = open_[5] + self.idle
             if now >= until:
                 out.append(self.closed(key, open_))
@@ -84,7 +90,8 @@ class Bridge(StatefulProcessor):
             else:
                 self.handle.registerTimer(int(until * 1000) + 1)
         self.open.update(open_) if open_ is not None else self.open.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SESSIONS.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SESSIONS.split(", ")])
 
     def closed(self, key, session: tuple) -> tuple:
         event, members, first, last, start, end, weighted, seconds = session

@@ -61,3 +61,58 @@ def test_idle_film_ends(spark, tmp_path):
     parts = [one, [(2, 1, 1, True, 500.0, 501.0)]]
     assert streamed(spark, str(tmp_path), parts, idle=50.0) == [(1, 1, 2, 1, 2)]
     assert streamed(spark, str(tmp_path), [[(1, 3, 1, True, 600.0, 601.0)], [END]], idle=50.0) == [(1, 1, 2, 1, 2), (1, 2, 1, 3, 3), (2, 1, 1, 1, 1)]
+
+
+def test_one_timer_for_all_that_waits():
+    """Rows of a batch set one timer, what still waits sets the next: not one for each row."""
+    import pandas as pd
+
+    from sceneline.streaming import bridges
+
+    class Kept:
+        def __init__(self):
+            self.held = {}
+
+        def updateValue(self, k, v):
+            self.held[k] = v
+
+        def removeKey(self, k):
+            del self.held[k]
+
+        def iterator(self):
+            return iter(list(self.held.items()))
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            return self.held[0]
+
+        def update(self, v):
+            self.held = {0: v}
+
+        def clear(self):
+            self.held = {}
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getMapState(self, *_):
+            return Kept()
+
+        getValueState = getMapState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 25_000
+
+    bridge, handle = bridges.Bridge(60.0, 1000.0), Handle()
+    bridge.init(handle)
+    rows = pd.DataFrame([(n, 1, True, 10.0 * n, 10.0 * n + 4) for n in range(5, 0, -1)], columns=["shot", "scene", "selected", "start", "end"])
+    assert list(bridge.handleInputRows((7,), iter([rows]), Now())) == [] and handle.timers == [14_001]
+    assert list(bridge.handleExpiredTimer((7,), Now(), None)) == [] and handle.timers == [14_001, 34_001]
+    assert sorted(k[0] for k in bridge.waiting.held) == [3, 4, 5]
