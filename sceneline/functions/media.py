@@ -108,8 +108,8 @@ CATEGORIES = {
 def file_category(name: Column) -> Column:
     """By the extension; a name that only begins with a dot has none."""
     ext = F.lower(F.regexp_extract(name, r"[^/]\.([^./]+)$", 1))
-    found = F.coalesce(*[F.when(ext.isin(*e), c) for c, e in CATEGORIES.items()])
-    return F.coalesce(found, F.lit("UNKNOWN"))
+    known = F.create_map(*[F.lit(v) for c, e in CATEGORIES.items() for x in e for v in (x, c)])
+    return F.coalesce(F.try_element_at(known, ext), F.lit("UNKNOWN"))
 
 
 @F.pandas_udf(T.StringType())

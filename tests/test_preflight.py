@@ -86,3 +86,27 @@ def test_no_files(spark):
     chosen = pf.primaries(rows)
     (total,) = pf.preflight_summary(pf.preflight(rows, chosen), pf.plan(rows, chosen)).collect()
     assert set(total.asDict().values()) == {0}
+
+
+def test_files_are_read_and_shuffled_once(spark):
+    """Each query on one scan and one shuffle of the files: it had a scan and a shuffle of files and probes for each of its parts."""
+    from sceneline.plans.preflight_queries import QUERIES
+
+    for name in ("source_preflight", "cleanup_plan", "preflight_totals"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
+
+
+def test_probes_beside_or_in_the_files(spark):
+    """The same rows from files with probes of their own, repeated ones among them, and from two tables; with films chosen before or in the same pass."""
+    names = ["a.mkv", "B.mkv", "b.mkv", "x.en.srt", "X.en.srt", "y.vtt", "sample.mp4", "p.jpg", "r.zip", "q.bin"]
+    rows = [(f, f"{f}/{n}", n, n.rsplit(".", 1)[1], *probe("", d, t)[1:]) for i, f in enumerate(("tt0000001_a", "b", "c", "")) for k, n in enumerate(names[i:]) for d, t in ((3000.0 + i * k, ["eng"]), (None if (i + k) % 3 else 2900.0, ["fr"]), (3000.0, []))[: 1 + k % 3]]
+    both = spark.createDataFrame(rows, "folder string, relpath string, name string, extension string, " + PROBE.split(", ", 1)[1])
+    one, two = pf.described(both), pf.described(both.select("folder", "relpath", "name", "extension"), both.drop("folder", "name", "extension"))
+    same = lambda a, b: sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+    chosen = pf.primaries(two)
+    assert same(one, two) and one.count() == 27 and chosen.count() > 0
+    assert same(pf.preflight(one), pf.preflight(two, chosen)) and same(pf.plan(one), pf.plan(two, chosen)) and pf.plan(one).count() > 0
+    assert same(pf.preflight_summary(pf.preflight(one, planned=True)), pf.preflight_summary(pf.preflight(two, chosen), pf.plan(two, chosen)))
+    (empty,) = pf.preflight_summary(pf.preflight(pf.described(both.where("false")), planned=True)).collect()
+    assert set(empty.asDict().values()) == {0}
