@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sceneline.functions.evidence import Spans
 from sceneline.functions.text import GENERIC, fuzzy
 from sceneline.operators.matching import containment_join, unique_places
+from sceneline.operators.sequences import spread_out, stream_groups
 from sceneline.sources.scratch import scratch_path
 
 
@@ -96,12 +97,12 @@ def anchor_chain(found: DataFrame) -> DataFrame:
     """The rows of :func:`anchors` that make up the longest monotone chain of each film."""
     schema = "movie_key string, line long, block long, token_start int, token_end int, method string"
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line").reset_index(drop=True)
-        keep = longest_chain(list(rows[["line", "block", "token_start", "token_end"]].itertuples(index=False, name=None)))
-        return rows.iloc[keep]
+    found = found.select("movie_key", "line", "block", "token_start", "token_end", "method")
+    return stream_groups(found, ["movie_key"], ["line"], _chained, schema, spread=True)
 
-    return found.select("movie_key", "line", "block", "token_start", "token_end", "method").groupBy("movie_key").applyInPandas(chain, schema)
+
+def _chained(rows: list[tuple]) -> list[tuple]:
+    return [rows[i] for i in longest_chain([r[1:5] for r in rows])]
 
 
 def _places(needle: list[str], hay: list[str]) -> list[int]:
@@ -281,5 +282,5 @@ def align(lines: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> Dat
     bounds = open_.where("low <= high").groupBy("movie_key", "region").agg(F.first("low").alias("low"), F.first("high").alias("high"))
     own = bounds.select("movie_key", "region", F.explode(F.sequence("low", "high")).alias("block")).join(blocks.select("movie_key", "block", "tokens"), ["movie_key", "block"])
     none = [F.lit(None).cast(open_.schema[c].dataType).alias(c) for c in ("line", "low", "high", "first_token", "last_token")]
-    both = open_.unionByName(own.select("movie_key", "region", "block", "tokens", *none)).repartition("movie_key", "region").sortWithinPartitions("movie_key", "region", F.col("line").isNotNull(), "line")
+    both = spread_out(open_.unionByName(own.select("movie_key", "region", "block", "tokens", *none)), "movie_key", "region").sortWithinPartitions("movie_key", "region", F.col("line").isNotNull(), "line")
     return done.unionByName(both.mapInPandas(Regions(policy), ALIGNED))

@@ -137,10 +137,16 @@ class GroupStream:
             yield frame(out)
 
 
-def stream_groups(rows: DataFrame, keys: list[str], order: list, func, schema: str) -> DataFrame:
-    """What ``func`` makes of the rows of each key, ``keys`` first in them, in order; nulls are a key.  One shuffle by key."""
+def spread_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by key into as many tasks as shuffles have: adaptive execution joins small partitions, also where a row is much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def stream_groups(rows: DataFrame, keys: list[str], order: list, func, schema: str, spread: bool = False) -> DataFrame:
+    """What ``func`` makes of the rows of each key, ``keys`` first in them, in order; nulls are a key.  One shuffle by key, with ``spread`` that of :func:`spread_out`."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(GroupStream(len(keys), func, arrow), schema)
+    rows = spread_out(rows, *keys) if spread else rows.repartition(*keys)
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(GroupStream(len(keys), func, arrow), schema)
 
 
 class OrderedFold:

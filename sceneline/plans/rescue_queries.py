@@ -27,26 +27,31 @@ def query(f):
     return f
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` worked out once, for several steps to read."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def spoken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(rows, blocks) as :mod:`sceneline.operators.requests` takes them, with the position of each line in its film."""
     lines, blocks = script(spark, sf_dir)
     c = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 5).cast("string").alias("movie_key"), (F.col("conv_id") % 5).alias("scene"), "conv_id", "turn")
     place = c.select("movie_key", "scene", (F.row_number().over(Window.partitionBy("movie_key").orderBy("conv_id", "turn")) - 1).cast("long").alias("block"))
-    blocks = blocks.join(place, ["movie_key", "block"])
+    blocks, lines = stored(blocks.join(place, ["movie_key", "block"]), "blocks"), stored(lines, "lines")
     aligned = al.align(lines, blocks).select("movie_key", "line", "status", "method", "block_start", "block_end")
     position = (F.row_number().over(Window.partitionBy("movie_key").orderBy("line")) - 1).cast("long")
     rows = lines.join(aligned, ["movie_key", "line"]).withColumn("position", position)
     rows = rows.withColumns({"start": F.col("position") * 2.0, "end": F.col("position") * 2.0 + 1.5, "reliable": F.col("method").startswith("anchor_") & F.col("method").isNotNull(), "needs_review": F.col("status") != "auto_aligned"})
-    path = scratch_path(spark, "spoken")
-    rows.drop("status", "method").write.parquet(path)  # several steps read it
-    return spark.read.parquet(path), blocks
+    return stored(rows.drop("status", "method"), "spoken"), blocks
 
 
 def asked(spark, sf_dir):
     """(spoken rows, blocks, grouped rows, requests, candidates)."""
     rows, blocks = spoken(spark, sf_dir)
-    grouped = rq.grouped(rq.intervals(rows, blocks))
-    requests = rq.requests(grouped)
+    grouped = stored(rq.grouped(rq.intervals(rows, blocks)), "grouped")
+    requests = stored(rq.requests(grouped), "requests")
     return rows, blocks, grouped, requests, rq.candidates(requests, grouped, blocks)
 
 
@@ -160,9 +165,7 @@ def decided(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     script are those of the requests.  Of every third request only one candidate in three is supplied.
     """
     _, blocks, grouped, requests, candidates = asked(spark, sf_dir)
-    path = scratch_path(spark, "supplied")
-    candidates.where((F.col("request_id") % 3 > 0) | (F.col("block") % 3 == 0)).select("movie_key", "request_id", "block").write.parquet(path)  # several steps read it
-    candidates = spark.read.parquet(path)
+    candidates = stored(candidates.where((F.col("request_id") % 3 > 0) | (F.col("block") % 3 == 0)).select("movie_key", "request_id", "block"), "supplied")
     own = candidates.groupBy("movie_key", "request_id").agg(F.array_sort(F.collect_list("block")).alias("ids"))  # 36 blocks at most
     k = F.col("line") + F.col("request_id")
     words = lambda a, n: F.array_join(F.slice("tokens", a, n), " ")
