@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneline.functions.evidence import VERSIONS, Dialogue
+from sceneline.operators.sequences import spread_out
 
 #: Blocks of a tile, and lines of a part, about.
 TILE, PART = 4096, 16_384
@@ -105,7 +106,7 @@ def _tiled(lines: DataFrame, blocks: DataFrame, search: SearchTiles, most: int |
     tile = F.floor(F.col("block") / TILE).cast("int").alias("tile")
     none = lambda t: F.lit(None).cast(t)
     held = held.select("movie_key", tile, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("block").cast("long").alias("block"), none("long").alias("request_id"), none("long").alias("line"), none("string").alias("source"), "tokens", none("array<long>").alias("existing"), none("array<long>").alias("anchors"))
-    both = held.unionByName(asked).repartition("movie_key", "tile", "part").sortWithinPartitions("movie_key", "tile", "part", F.col("request_id").isNotNull(), "request_id", "line")
+    both = spread_out(held.unionByName(asked), "movie_key", "tile", "part").sortWithinPartitions("movie_key", "tile", "part", F.col("request_id").isNotNull(), "request_id", "line")
     w = Window.partitionBy("movie_key", "request_id", "line").orderBy(F.desc("selection"), F.desc("score"), "block")
     found = both.mapInPandas(search, _FOUND).withColumn("place", F.row_number().over(w))
     return found if most is None else found.where(F.col("place") <= most)
